@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-INTEGER_PREFIX = r"(?U)^\s*([+-]?[0-9]+)"
-HEX_PREFIX = r"(?U)^\s*[+-]?0[xX]([0-9a-fA-F]+)"
-FLOAT_PREFIX = r"(?U)^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
-INFINITY_PREFIX = r"(?U)^\s*([+-]?)Infinity"
+from echolens.functions.text import WHITE_SPACE
+
+INTEGER_PREFIX = rf"^{WHITE_SPACE}*([+-]?[0-9]+)"
+HEX_PREFIX = rf"^{WHITE_SPACE}*[+-]?0[xX]([0-9a-fA-F]+)"
+FLOAT_PREFIX = rf"^{WHITE_SPACE}*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
+INFINITY_PREFIX = rf"^{WHITE_SPACE}*([+-]?)Infinity"
 
 
 def text_or(col: Column, default: str | None) -> Column:
@@ -30,7 +32,7 @@ def int_prefix(text: Column) -> Column:
     hexadecimal = F.regexp_extract(text, HEX_PREFIX, 1)
     magnitude = F.conv(hexadecimal, 16, 10).try_cast("double")
     return F.when(
-        hexadecimal != "", F.when(F.ltrim(text).startswith("-"), -magnitude).otherwise(magnitude)
+        hexadecimal != "", F.when(text.rlike(rf"^{WHITE_SPACE}*-"), -magnitude).otherwise(magnitude)
     ).otherwise(F.regexp_extract(text, INTEGER_PREFIX, 1).try_cast("double"))
 
 
@@ -52,35 +54,27 @@ def as_text(value: Column) -> Column:
     return F.try_variant_get(value, "$", "string")
 
 
-def kind(value: Column) -> Column:
-    """One of null, boolean, number, string, array, object; NULL for a missing value."""
-    schema = F.schema_of_variant(value)
-    return (
-        F.when(schema == "VOID", "null")
-        .when(schema == "BOOLEAN", "boolean")
-        .when(schema == "STRING", "string")
-        .when(schema.startswith("ARRAY<"), "array")
-        .when(schema.startswith("OBJECT<"), "object")
-        .when(schema.isNotNull(), "number")
-    )
+# Names under which a JSON value's schema shows each kind of value.
+_KIND_PATTERNS = {
+    "null": "VOID",
+    "boolean": "BOOLEAN",
+    "string": "STRING",
+    "number": "BIGINT|DECIMAL.*|DOUBLE|FLOAT",
+    "array": "ARRAY<.*",
+    "object": "OBJECT<.*",
+}
+_FALSY_JSON = ("null", "false", '""', "0", "-0", "0.0", "-0.0")
 
 
 def is_kind(value: Column, *kinds: str) -> Column:
-    """Never NULL: a missing value is of no kind."""
-    return F.coalesce(kind(value).isin(*kinds), F.lit(False))
+    """Whether the JSON value is of one of the kinds. Never NULL: a missing value is of no kind."""
+    pattern = "|".join(_KIND_PATTERNS[name] for name in kinds)
+    return F.coalesce(F.schema_of_variant(value).rlike(f"^(?:{pattern})$"), F.lit(False))
 
 
 def is_truthy(value: Column) -> Column:
     """False for missing, null, false, 0 and ''; true for everything else, so also for 'no' and []."""
-    of_kind = kind(value)
-    return F.coalesce(
-        F.when(of_kind == "null", False)
-        .when(of_kind == "boolean", F.try_variant_get(value, "$", "boolean"))
-        .when(of_kind == "string", as_text(value) != "")
-        .when(of_kind == "number", F.try_variant_get(value, "$", "double") != 0)
-        .when(of_kind.isNotNull(), True),
-        F.lit(False),
-    )
+    return F.coalesce(~F.to_json(value).isin(*_FALSY_JSON), F.lit(False))
 
 
 def truthy_text(value: Column, default: str) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The white space of the reference's pattern language, wider than that of Java and without U+0085.
+WHITE_SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 # Characters that may not appear in a file name on common systems, and the name of last resort.
 UNSAFE_NAME_CHARACTERS = r'[\\/:*?"<>|]'
 NAME_OF_LAST_RESORT = "app"
@@ -13,14 +15,14 @@ ISO_MILLIS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
 def unicode_trim(col: Column) -> Column:
-    """Trim every Unicode white space; the built-in ``trim`` leaves a no-break space in place."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    """Trim every kind of white space; the built-in ``trim`` leaves a no-break space in place."""
+    return F.regexp_replace(col, f"^{WHITE_SPACE}+|{WHITE_SPACE}+$", "")
 
 
 def sanitize_name(col: Column, legacy: bool = False) -> Column:
     """A name safe to use in an output path. The legacy order trims last, when blanks are already '_'."""
     source = col if legacy else unicode_trim(col)
-    cleaned = F.regexp_replace(F.regexp_replace(source, UNSAFE_NAME_CHARACTERS, ""), r"(?U)\s+", "_")
+    cleaned = F.regexp_replace(F.regexp_replace(source, UNSAFE_NAME_CHARACTERS, ""), f"{WHITE_SPACE}+", "_")
     return F.when(cleaned == "", NAME_OF_LAST_RESORT).otherwise(cleaned)
 
 

@@ -12,7 +12,6 @@ from echolens.functions.coercion import (
     int_prefix,
     is_kind,
     is_truthy,
-    kind,
     member,
     number_or,
     text_or,
@@ -165,7 +164,7 @@ def label_struct(element: Column, model: str) -> Column:
 def breaks_batch(element: Column) -> Column:
     """True for an element that fails its whole batch: null, or a truthy quote that is not sliceable."""
     quote = member(element, "directQuote")
-    return F.coalesce(kind(element) == "null", F.lit(True)) | (
+    return element.isNull() | is_kind(element, "null") | (
         is_truthy(quote) & ~is_kind(quote, "string", "array")
     )
 

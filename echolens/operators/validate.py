@@ -7,39 +7,44 @@ quarantine with the codes in ``errors``.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echolens import schemas as S
-from echolens.functions.coercion import as_text, is_kind, kind, member
 
 # Formats of the reference's schemas.
 URL_PATTERN = r"^(?i:(?:https?|ftp|wss?)://[^\s/?#]+\S*|(?!(?:https?|ftp|wss?):)[a-z][a-z0-9+.\-]*:\S*)$"
-UUID_PATTERN = r"^(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$"
-ISO_UTC_PATTERN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?Z$"
+UUID_PATTERN = "^(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$"
+ISO_UTC_PATTERN = "^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?Z$"
 RESULT_TYPES = ("scraped_reviews", "labeled_reviews", "exported_data")
 OUTPUT_FORMATS = ("csv", "json", "database")
 CLEANUP_TARGETS = ("old_reviews", "failed_jobs", "temp_files")
 EXPORT_FORMATS = ("csv", "json", "xlsx")
 
 Rule = tuple[str, Column]
+_BETWEEN_CODES = "\n"
 
 
-def with_errors(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Add ``errors``: the codes of the broken rules. A rule that evaluates to NULL is not broken."""
-    return df.withColumn("errors", F.array_compact(F.array(*[F.when(broken, F.lit(code)) for code, broken in rules])))
+def _checked(df: DataFrame, codes: Column, *others: Column) -> DataFrame:
+    """Add the codes as text in ``_errors``.
+
+    The generator keeps the filters below from being merged into the projection, which would evaluate every rule
+    twice per row.
+    """
+    return df.select("*", F.inline(F.array(F.struct(codes.alias("_errors"), *others))))
 
 
 def split(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
-    """(accepted without ``errors``, quarantined with ``errors``)."""
-    return split_errors(with_errors(df, rules))
+    """(accepted, quarantined with ``errors``). A rule that evaluates to NULL is not broken."""
+    codes = F.concat_ws(_BETWEEN_CODES, *[F.when(broken, F.lit(code)) for code, broken in rules])
+    return _split_checked(_checked(df, codes))
 
 
-def split_errors(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return checked.where(F.size("errors") == 0).drop("errors"), checked.where(F.size("errors") > 0)
+def _split_checked(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    bad = checked.where(F.col("_errors") != "").withColumn("errors", F.split("_errors", _BETWEEN_CODES))
+    return checked.where(F.col("_errors") == "").drop("_errors"), bad.drop("_errors")
 
 
 # --- reviews and stored rows ---------------------------------------------------------------------------------
@@ -98,110 +103,94 @@ def check_stored(rows: DataFrame, table: str, key: str = "id") -> tuple[DataFram
 
 
 # --- job payloads --------------------------------------------------------------------------------------------
+#
+# The rules of a payload are SQL text over three columns per member: its JSON kind (k_), its text (t_) and its
+# number (n_), all taken out of the payload once.
 
 
 class Field(NamedTuple):
-    """One payload member: its JSON kind, its default (None: none), whether required, and its checks.
+    """One payload member: its JSON kind, the default as SQL, whether it is required, and its rules.
 
-    ``broken`` maps the member to (problem, Column) pairs that are only looked at when the kind is right.
+    A rule is (problem, SQL condition that holds when it is broken); ``@`` stands for the member's name.
     """
 
     name: str
     kind: str
-    default: object = None
+    default: str | None = None
     required: bool = False
-    broken: Callable[[Column], list[Rule]] = lambda value: []
-
-
-def _number(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "double")
-
-
-def _items(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "array<variant>")
+    rules: tuple[tuple[str, str], ...] = ()
 
 
-def _whole(low: int, high: int | None = None) -> Callable[[Column], list[Rule]]:
-    def broken(value: Column) -> list[Rule]:
-        number = _number(value)
-        outside = (number < low) if high is None else ((number < low) | (number > high))
-        return [("integer", number != F.floor(number)), ("range", outside)]
-
-    return broken
-
-
-def _one_of(*names: str) -> Callable[[Column], list[Rule]]:
-    return lambda value: [("enum", ~as_text(value).isin(*names))]
+_KINDS = {
+    "string": "k_@ = 'STRING'",
+    "boolean": "k_@ = 'BOOLEAN'",
+    "number": "k_@ RLIKE '^(BIGINT|DECIMAL|DOUBLE|FLOAT)'",
+    "array": "k_@ LIKE 'ARRAY<%'",
+    "object": "k_@ LIKE 'OBJECT<%'",
+}
+_NOT_EMPTY = (("empty", "t_@ = ''"),)
 
 
-def _matches(pattern: str, problem: str) -> Callable[[Column], list[Rule]]:
-    return lambda value: [(problem, ~as_text(value).rlike(pattern))]
+def _list(names: Sequence[str]) -> str:
+    return ", ".join(f"'{name}'" for name in names)
 
 
-def _not_empty(value: Column) -> list[Rule]:
-    return [("empty", as_text(value) == "")]
+def _whole(low: int, high: int | None = None) -> tuple[tuple[str, str], ...]:
+    outside = f"n_@ < {low}" if high is None else f"n_@ NOT BETWEEN {low} AND {high}"
+    return ("integer", "n_@ <> floor(n_@)"), ("range", outside)
 
 
-def _text_items(item_broken: Callable[[Column], Column]) -> Callable[[Column], list[Rule]]:
-    def broken(value: Column) -> list[Rule]:
-        items = _items(value)
-        return [
-            ("empty", F.size(items) == 0),
-            ("item", F.exists(items, lambda item: ~is_kind(item, "string") | item_broken(as_text(item)))),
-        ]
+def _one_of(names: Sequence[str]) -> tuple[tuple[str, str], ...]:
+    return (("enum", f"t_@ NOT IN ({_list(names)})"),)
 
-    return broken
 
+def _text_items(broken: str) -> tuple[tuple[str, str], ...]:
+    """Rules of a list of texts; ``broken`` is a condition on the item text ``t``."""
+    items = "try_variant_get(v_@, '$', 'array<variant>')"
+    bad = f"schema_of_variant(e) <> 'STRING' OR {broken.replace('{t}', 'cast(e AS string)')}"
+    return ("empty", f"size({items}) = 0"), ("item", f"exists({items}, e -> {bad})")
 
-def _date_range(value: Column) -> list[Rule]:
-    def bad(name: str) -> Column:
-        text = as_text(member(value, name))
-        is_text = is_kind(member(value, name), "string")
-        return ~is_text | ~text.rlike(ISO_UTC_PATTERN) | F.try_to_timestamp(text).isNull()
 
-    return [("startDate", bad("startDate")), ("endDate", bad("endDate"))]
+def _bad_time(member: str) -> tuple[str, str]:
+    text = f"try_variant_get(v_@, '$.{member}', 'string')"
+    return member, f"coalesce(NOT {text} RLIKE '{ISO_UTC_PATTERN}' OR try_to_timestamp({text}) IS NULL, true)"
 
 
-CORRELATION = Field("correlationId", "string", broken=_matches(UUID_PATTERN, "uuid"))
-BASE_FIELDS = (
-    Field("priority", "number", S.DEFAULT_PRIORITY, broken=_whole(1, 10)),
-    Field("retryAttempts", "number", S.DEFAULT_ATTEMPTS, broken=_whole(0, 5)),
-    Field("delay", "number", S.DEFAULT_DELAY, broken=_whole(0)),
+COMMON_FIELDS = (
+    Field("correlationId", "string", rules=(("uuid", f"NOT t_@ RLIKE '{UUID_PATTERN}'"),)),
+    Field("priority", "number", str(S.DEFAULT_PRIORITY), rules=_whole(1, 10)),
+    Field("retryAttempts", "number", str(S.DEFAULT_ATTEMPTS), rules=_whole(0, 5)),
+    Field("delay", "number", str(S.DEFAULT_DELAY), rules=_whole(0)),
 )
 JOB_FIELDS: dict[str, tuple[Field, ...]] = {
     "scrape_reviews": (
-        Field("appId", "string", required=True, broken=_not_empty),
-        Field("countries", "array", list(S.DEFAULT_COUNTRIES), broken=_text_items(lambda t: F.length(t) != 2)),
-        Field("pages", "number", S.DEFAULT_PAGES, broken=_whole(1, S.MAX_PAGES)),
-        Field("sortMethods", "array", ["recent"], broken=_text_items(lambda t: ~t.isin(*S.SORT_METHODS))),
-        Field("throttleMs", "number", S.DEFAULT_THROTTLE_MS, broken=_whole(0, 5000)),
-        CORRELATION,
+        Field("appId", "string", required=True, rules=_NOT_EMPTY),
+        Field("countries", "array", f"array({_list(S.DEFAULT_COUNTRIES)})", rules=_text_items("length({t}) <> 2")),
+        Field("pages", "number", str(S.DEFAULT_PAGES), rules=_whole(1, S.MAX_PAGES)),
+        Field("sortMethods", "array", "array('recent')", rules=_text_items(f"{{t}} NOT IN ({_list(S.SORT_METHODS)})")),
+        Field("throttleMs", "number", str(S.DEFAULT_THROTTLE_MS), rules=_whole(0, 5000)),
     ),
     "label_reviews": (
-        Field("reviewIds", "array", required=True, broken=_text_items(lambda t: t == "")),
-        Field("batchSize", "number", S.DEFAULT_BATCH_SIZE, broken=_whole(1, 100)),
-        Field("model", "string", S.DEFAULT_PAYLOAD_MODEL),
+        Field("reviewIds", "array", required=True, rules=_text_items("{t} = ''")),
+        Field("batchSize", "number", str(S.DEFAULT_BATCH_SIZE), rules=_whole(1, 100)),
+        Field("model", "string", f"'{S.DEFAULT_PAYLOAD_MODEL}'"),
         Field("taxonomyPath", "string"),
-        CORRELATION,
     ),
     "process_results": (
-        Field("sourceJobId", "string", required=True, broken=_not_empty),
-        Field("resultType", "string", required=True, broken=_one_of(*RESULT_TYPES)),
-        Field("outputFormat", "string", "database", broken=_one_of(*OUTPUT_FORMATS)),
-        CORRELATION,
+        Field("sourceJobId", "string", required=True, rules=_NOT_EMPTY),
+        Field("resultType", "string", required=True, rules=_one_of(RESULT_TYPES)),
+        Field("outputFormat", "string", "'database'", rules=_one_of(OUTPUT_FORMATS)),
     ),
     "cleanup_data": (
-        Field("targetType", "string", required=True, broken=_one_of(*CLEANUP_TARGETS)),
-        Field("olderThanDays", "number", 30, broken=_whole(1)),
-        Field("dryRun", "boolean", False),
-        CORRELATION,
+        Field("targetType", "string", required=True, rules=_one_of(CLEANUP_TARGETS)),
+        Field("olderThanDays", "number", "30", rules=_whole(1)),
+        Field("dryRun", "boolean", "false"),
     ),
     "export_data": (
-        Field("appId", "string", required=True, broken=_not_empty),
-        Field("format", "string", "csv", broken=_one_of(*EXPORT_FORMATS)),
-        Field("includeLabels", "boolean", True),
-        Field("dateRange", "object", broken=_date_range),
-        CORRELATION,
+        Field("appId", "string", required=True, rules=_NOT_EMPTY),
+        Field("format", "string", "'csv'", rules=_one_of(EXPORT_FORMATS)),
+        Field("includeLabels", "boolean", "true"),
+        Field("dateRange", "object", rules=(_bad_time("startDate"), _bad_time("endDate"))),
     ),
 }
 RESULT_FIELDS = (
@@ -209,77 +198,80 @@ RESULT_FIELDS = (
     Field("message", "string"),
     Field("data", "object"),
     Field("error", "string"),
-    Field("processingTime", "number", broken=_whole(0)),
-    Field("itemsProcessed", "number", broken=_whole(0)),
+    Field("processingTime", "number", rules=_whole(0)),
+    Field("itemsProcessed", "number", rules=_whole(0)),
 )
 
 
-def _field_errors(payload: Column, fields: Sequence[Field]) -> Column:
-    codes = []
-    for field in fields:
-        value = member(payload, field.name)
-        if field.required:
-            codes.append(F.when(value.isNull(), F.lit(f"{field.name}: required")))
-        right_kind = is_kind(value, field.kind)
-        codes.append(F.when(value.isNotNull() & ~right_kind, F.lit(f"{field.name}: type")))
-        codes += [
-            F.when(right_kind & broken, F.lit(f"{field.name}: {problem}")) for problem, broken in field.broken(value)
-        ]
-    return F.array_compact(F.array(*codes))
+def _with_members(df: DataFrame, json_col: str, fields: Sequence[Field]) -> DataFrame:
+    names = sorted({field.name for field in fields})
+    members = {f"v_{name}": F.expr(f"try_variant_get(_json, '$.{name}', 'variant')") for name in names}
+    parts = {f"k_{name}": F.expr(f"schema_of_variant(v_{name})") for name in names}
+    parts |= {f"t_{name}": F.expr(f"try_variant_get(v_{name}, '$', 'string')") for name in names}
+    parts |= {f"n_{name}": F.expr(f"try_variant_get(v_{name}, '$', 'double')") for name in names}
+    return df.withColumn("_json", F.try_parse_json(json_col)).withColumns(members).withColumns(parts)
+
 
+def _codes(fields: Sequence[Field]) -> str:
+    """SQL text for the codes of the fields: the first broken rule of each."""
 
-_SQL_TYPES = {"string": "string", "boolean": "boolean", "array": "array<string>"}
+    def code(field: Field) -> str:
+        rules = [("required", "v_@ IS NULL")] if field.required else []
+        rules += [("type", f"NOT coalesce({_KINDS[field.kind]}, v_@ IS NULL)"), *field.rules]
+        cases = " ".join(f"WHEN {broken} THEN '@: {problem}'" for problem, broken in rules)
+        return f"CASE {cases} END".replace("@", field.name)
 
+    return f"concat_ws('{_BETWEEN_CODES}', {', '.join(code(field) for field in fields)})"
 
-def _filled(payload: Column, fields: Sequence[Field]) -> Column:
-    """The payload as JSON with defaults in place and unknown members dropped."""
 
-    def value_of(field: Field) -> Column:
+_OBJECT_TYPES = {"dateRange": "struct<startDate string, endDate string>"}
+_SQL_VALUES = {
+    "string": "t_@",
+    "number": "cast(n_@ AS bigint)",
+    "boolean": "try_variant_get(v_@, '$', 'boolean')",
+    "array": "try_variant_get(v_@, '$', 'array<string>')",
+}
+
+
+def _filled(fields: Sequence[Field]) -> str:
+    """SQL text for the payload with defaults in place and unknown members dropped."""
+
+    def value(field: Field) -> str:
         if field.kind == "object":
-            inner = "struct<startDate string, endDate string>" if field.name == "dateRange" else "map<string,variant>"
-            return F.try_variant_get(payload, f"$.{field.name}", inner)
-        value = F.try_variant_get(payload, f"$.{field.name}", _SQL_TYPES.get(field.kind, "bigint"))
-        if field.default is None:
-            return value
-        default = F.array(*map(F.lit, field.default)) if isinstance(field.default, list) else F.lit(field.default)
-        return F.coalesce(value, default)
-
-    return F.to_json(F.struct(*[value_of(field).alias(field.name) for field in fields]))
-
-
-def _by_type(type_col: Column, column_for: Callable[[str], Column]) -> Column:
-    first, *others = S.JOB_TYPES
-    start = F.when(type_col == first, column_for(first))
-    return reduce(lambda chain, name: chain.when(type_col == name, column_for(name)), others, start)
-
-
-def check_jobs(jobs: DataFrame) -> DataFrame:
-    """Jobs (``type``, ``payload`` JSON text) with ``errors`` and with defaults filled into valid payloads."""
-    parsed = F.col("_payload")
-    kind_of_job = F.col("type")
-    errors = _by_type(kind_of_job, lambda name: _field_errors(parsed, JOB_FIELDS[name] + BASE_FIELDS))
-    filled = _by_type(kind_of_job, lambda name: _filled(parsed, JOB_FIELDS[name] + BASE_FIELDS))
-    return (
-        jobs.withColumn("_payload", F.try_parse_json("payload"))
-        .withColumn(
-            "errors",
-            F.when(~F.coalesce(kind_of_job.isin(*S.JOB_TYPES), F.lit(False)), F.array(F.lit("type: unknown")))
-            .when(~is_kind(parsed, "object"), F.array(F.lit("payload: type")))
-            .otherwise(errors),
-        )
-        .withColumn("payload", F.when(F.size("errors") == 0, filled).otherwise(F.col("payload")))
-        .drop("_payload")
-    )
+            return f"try_variant_get(v_{field.name}, '$', '{_OBJECT_TYPES[field.name]}')"
+        found = _SQL_VALUES[field.kind].replace("@", field.name)
+        return found if field.default is None else f"coalesce({found}, {field.default})"
+
+    members = ", ".join(f"'{field.name}', {value(field)}" for field in fields)
+    return f"to_json(named_struct({members}))"
+
+
+def _by_type(text_for: Callable[[tuple[Field, ...]], str], otherwise: str = "NULL") -> str:
+    cases = " ".join(f"WHEN '{name}' THEN {text_for(fields + COMMON_FIELDS)}" for name, fields in JOB_FIELDS.items())
+    return f"CASE type {cases} ELSE {otherwise} END"
 
 
 def validate_jobs(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return split_errors(check_jobs(jobs))
+    """(accepted, quarantined) jobs from ``type`` and the JSON text ``payload``.
+
+    Defaults are filled into accepted payloads; quarantined payloads stay as they came.
+    """
+    every_field = [field for fields in (*JOB_FIELDS.values(), COMMON_FIELDS) for field in fields]
+    known = f"coalesce(type IN ({_list(S.JOB_TYPES)}), false)"
+    codes = (
+        f"CASE WHEN NOT {known} THEN 'type: unknown' "
+        "WHEN NOT coalesce(schema_of_variant(_json) LIKE 'OBJECT<%', false) THEN 'payload: type' "
+        f"ELSE {_by_type(_codes)} END"
+    )
+    checked = _checked(_with_members(jobs, "payload", every_field), F.expr(codes))
+    ok, bad = _split_checked(checked)
+    ok = ok.withColumn("payload", F.expr(_by_type(_filled)))
+    return ok.select(*jobs.columns), bad.select(*jobs.columns, "errors")
 
 
 def validate_job_results(results: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Job results held as JSON text in ``result``."""
-    parsed = F.try_parse_json("result")
-    errors = F.when(kind(parsed) == "object", _field_errors(parsed, RESULT_FIELDS)).otherwise(
-        F.array(F.lit("result: type"))
-    )
-    return split_errors(results.withColumn("errors", errors))
+    """(accepted, quarantined) job results held as JSON text in ``result``."""
+    is_object = "coalesce(schema_of_variant(_json) LIKE 'OBJECT<%', false)"
+    codes = F.expr(f"CASE WHEN {is_object} THEN {_codes(RESULT_FIELDS)} ELSE 'result: type' END")
+    ok, bad = _split_checked(_checked(_with_members(results, "result", RESULT_FIELDS), codes))
+    return ok.select(*results.columns), bad.select(*results.columns, "errors")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from echolens.operators.crawl import CRAWL_ORDER, apply_early_stop, fold_versions
 from echolens.operators.merge import REVIEW_UPDATES
 from echolens.operators.normalize import normalize_reviews
-from echolens.operators.validate import review_rules, split_errors, with_errors
+from echolens.operators.validate import review_rules, split
 from echolens.sources.readers import explode_pages
 
 ORDINALS = ("app_ord", "sort_ord", "country_ord", "page", "pos")
@@ -24,8 +24,7 @@ class Collected(NamedTuple):
 
 def check_reviews(raw: DataFrame) -> Collected:
     """Normalise and validate raw review rows. Rows that would not store go to quarantine."""
-    accepted, quarantined = split_errors(with_errors(normalize_reviews(raw), review_rules()))
-    return Collected(accepted, quarantined)
+    return Collected(*split(normalize_reviews(raw), review_rules()))
 
 
 def collect_reviews(pages: DataFrame) -> Collected:

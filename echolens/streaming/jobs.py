@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from echolens.operators.deadletter import to_dead_letters
-from echolens.operators.validate import check_jobs, split_errors
+from echolens.operators.validate import validate_jobs
 from echolens.streaming.reviews import BATCH, start_batches
 
 
@@ -22,14 +22,14 @@ def stream_quarantine(
     """Accepted jobs to ``accepted``, jobs with broken rules to ``dead_letters``, in a folder per batch."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        checked = check_jobs(batch).persist()
+        batch = batch.persist()  # read once for each of the two outputs
         try:
-            accepted, bad = split_errors(checked)
+            accepted, bad = validate_jobs(batch)
             accepted.write.mode("overwrite").parquet(f"{out_root}/accepted/{BATCH}={batch_id}")
             reasons = bad.withColumn("error_message", F.array_join("errors", "; "))
             letters = to_dead_letters(reasons, F.current_timestamp())
             letters.write.mode("overwrite").parquet(f"{out_root}/dead_letters/{BATCH}={batch_id}")
         finally:
-            checked.unpersist()
+            batch.unpersist()
 
     return start_batches(jobs, each, checkpoint, trigger)

@@ -515,7 +515,6 @@ def label_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _elements_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One response element per document, with the kinds of value models return."""
     n = c("doc_id")
-    quote = F.get_json_object(F.to_json(F.struct(c("text").alias("t"))), "$.t")
     element = F.to_json(
         F.struct(
             T.review_id(n).alias("reviewId"),
@@ -523,7 +522,7 @@ def _elements_json(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(n % 4 == 0, "POSITIVE").when(n % 4 == 1, "positive").when(n % 4 == 2, "negative").alias("sentiment"),
             F.concat(((n % 9) - 2).cast("string"), F.lit(".7 of 5")).alias("severity"),
             F.when(n % 3 == 0, "no").when(n % 3 == 1, "").alias("featureRequest"),
-            quote.alias("directQuote"),
+            c("text").alias("directQuote"),
             F.when(n % 5 != 0, ((n % 150) / F.lit(100.0))).alias("confidence"),
         )
     )
