@@ -216,10 +216,10 @@ def _codes(fields: Sequence[Field]) -> str:
     """SQL text for the codes of the fields: the first broken rule of each."""
 
     def code(field: Field) -> str:
-        rules = [("required", "v_@ IS NULL")] if field.required else []
-        rules += [("type", f"NOT coalesce({_KINDS[field.kind]}, v_@ IS NULL)"), *field.rules]
+        missing = "'@: required'" if field.required else "NULL"
+        rules = [("type", f"NOT ({_KINDS[field.kind]})"), *field.rules]
         cases = " ".join(f"WHEN {broken} THEN '@: {problem}'" for problem, broken in rules)
-        return f"CASE {cases} END".replace("@", field.name)
+        return f"CASE WHEN v_@ IS NULL THEN {missing} {cases} END".replace("@", field.name)
 
     return f"concat_ws('{_BETWEEN_CODES}', {', '.join(code(field) for field in fields)})"
 

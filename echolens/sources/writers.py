@@ -11,8 +11,15 @@ from echolens import schemas as S
 from echolens.functions.text import iso_millis
 from echolens.operators.backlog import enrich_reviews
 
-# Everything is quoted: review texts hold line breaks, quotes and commas.
-CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "quoteAll": "true"}
+# Everything is quoted and nothing trimmed: review texts hold line breaks, quotes, commas and outer blanks.
+CSV_OPTIONS = {
+    "header": "true",
+    "quote": '"',
+    "escape": '"',
+    "quoteAll": "true",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
 LABEL_COLUMNS = ("theme", "sentiment", "severity", "feature_request", "direct_quote")
 
 
