@@ -137,7 +137,7 @@ def theme_flags(themes: DataFrame, totals: DataFrame) -> DataFrame:
     c = F.col
     processed = totals.select("processed_reviews").scalar()
     return (
-        themes.withColumn("is_significant", c("mentions") / processed >= SIGNIFICANT_SHARE)
+        themes.withColumn("is_significant", F.try_divide(c("mentions"), processed) >= SIGNIFICANT_SHARE)
         .withColumns({"positive_share": c("positive") / c("mentions"), "negative_share": c("negative") / c("mentions")})
         .withColumns(
             {
@@ -179,8 +179,11 @@ def swot(themes: DataFrame, overall: DataFrame, requests: DataFrame, totals: Dat
     )
     processed = totals.select("processed_reviews").scalar()
     overall_rows = overall.withColumns(
-        {"positive_share": c("positive") / processed, "negative_share": c("negative") / processed}
-    ).where(processed > 0)
+        {
+            "positive_share": F.try_divide(c("positive"), processed),
+            "negative_share": F.try_divide(c("negative"), processed),
+        }
+    )
     by_overall = _entries(
         overall_rows,
         F.lit(0).cast("bigint"),
@@ -200,7 +203,7 @@ def swot(themes: DataFrame, overall: DataFrame, requests: DataFrame, totals: Dat
         _entry(
             some, "opportunities", 0,
             F.format_string(
-                REQUESTS_FOUND, "feature_requests", percent(c("feature_requests") / c("processed_reviews"), 1)
+                REQUESTS_FOUND, "feature_requests", percent(F.try_divide(c("feature_requests"), c("processed_reviews")), 1)
             ),
         ),
         _entry(~some, "opportunities", 0, F.lit(NO_REQUESTS)),
@@ -249,7 +252,7 @@ def swot_json(swot_rows: DataFrame) -> DataFrame:
 def _average_confidence() -> Column:
     # The sum of decimals is exact, so the result does not depend on the order of the rows.
     total = F.sum(F.col("confidence").cast(S.CONFIDENCE)).cast("double")
-    return F.coalesce(half_up(total / F.count("confidence"), 2), F.lit(0.0)).alias("average_confidence")
+    return F.coalesce(half_up(F.try_divide(total, F.count("confidence")), 2), F.lit(0.0)).alias("average_confidence")
 
 
 def average_confidence(labels: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -109,7 +109,7 @@ def labels_from_responses(responses: DataFrame, model: str = S.DEFAULT_LABEL_MOD
         elements.isNotNull(), F.transform(elements, lambda element: label_struct(element, model))
     ).otherwise(F.transform("review_ids", lambda review_id: _fallback(review_id, model)))
     return responses.select("review_ids", F.posexplode(labels).alias("_pos", "_label")).select(
-        "_label.*", F.struct(F.col("review_ids")[0].alias("batch"), F.col("_pos").alias("pos")).alias("answer_ord")
+        "_label.*", F.struct(F.get("review_ids", 0).alias("batch"), F.col("_pos").alias("pos")).alias("answer_ord")
     )
 
 

@@ -137,7 +137,7 @@ def _list(names: Sequence[str]) -> str:
 
 def _whole(low: int, high: int | None = None) -> tuple[tuple[str, str], ...]:
     outside = f"n_@ < {low}" if high is None else f"n_@ NOT BETWEEN {low} AND {high}"
-    return ("integer", "n_@ <> floor(n_@)"), ("range", outside)
+    return ("integer", "n_@ % 1 <> 0"), ("range", outside)
 
 
 def _one_of(names: Sequence[str]) -> tuple[tuple[str, str], ...]:
@@ -227,7 +227,7 @@ def _codes(fields: Sequence[Field]) -> str:
 _OBJECT_TYPES = {"dateRange": "struct<startDate string, endDate string>"}
 _SQL_VALUES = {
     "string": "t_@",
-    "number": "cast(n_@ AS bigint)",
+    "number": "try_cast(n_@ AS bigint)",
     "boolean": "try_variant_get(v_@, '$', 'boolean')",
     "array": "try_variant_get(v_@, '$', 'array<string>')",
 }
