@@ -6,15 +6,15 @@ string. Those rules decide stored values, so they are kept; here they are plain
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echolens.functions.text import WHITE_SPACE
 
-INTEGER_PREFIX = rf"^{WHITE_SPACE}*([+-]?[0-9]+)"
-HEX_PREFIX = rf"^{WHITE_SPACE}*[+-]?0[xX]([0-9a-fA-F]+)"
-FLOAT_PREFIX = rf"^{WHITE_SPACE}*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
-INFINITY_PREFIX = rf"^{WHITE_SPACE}*([+-]?)Infinity"
+INTEGER_PREFIX = rf"(?U)^{WHITE_SPACE}*([+-]?[0-9]+)"
+HEX_PREFIX = rf"(?U)^{WHITE_SPACE}*[+-]?0[xX]([0-9a-fA-F]+)"
+FLOAT_PREFIX = rf"(?U)^{WHITE_SPACE}*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
+INFINITY_PREFIX = rf"(?U)^{WHITE_SPACE}*([+-]?)Infinity"
 
 
 def text_or(col: Column, default: str | None) -> Column:
@@ -32,7 +32,7 @@ def int_prefix(text: Column) -> Column:
     hexadecimal = F.regexp_extract(text, HEX_PREFIX, 1)
     magnitude = F.conv(hexadecimal, 16, 10).try_cast("double")
     return F.when(
-        hexadecimal != "", F.when(text.rlike(rf"^{WHITE_SPACE}*-"), -magnitude).otherwise(magnitude)
+        hexadecimal != "", F.when(text.rlike(rf"(?U)^{WHITE_SPACE}*-"), -magnitude).otherwise(magnitude)
     ).otherwise(F.regexp_extract(text, INTEGER_PREFIX, 1).try_cast("double"))
 
 
@@ -82,12 +82,20 @@ def truthy_text(value: Column, default: str) -> Column:
     return F.when(is_truthy(value), as_text(value)).otherwise(F.lit(default))
 
 
-def exact_json(text: Column) -> Column:
-    """Parse a text that must be one JSON document and nothing else; NULL otherwise.
+def with_exact_json(df: DataFrame, text_col: str, name: str) -> DataFrame:
+    """Add the parsed text, which must be one JSON document and nothing else; NULL otherwise.
 
     The built-in parser ignores whatever follows the first document. Trailing text breaks at least one of
-    the two wrappings below, and a second document makes the array longer than one.
+    the two wrappings below, and a second document makes the array longer than one. The wrappings are columns
+    of their own so that each text is parsed twice and not once per reference.
     """
-    wrapped = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    text = F.col(text_col)
+    in_list = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     as_member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    return F.when((F.size(wrapped) == 1) & as_member.isNotNull(), wrapped[0])
+    documents = F.try_variant_get("_in_list", "$", "array<variant>")
+    return (
+        df.withColumns({"_in_list": in_list, "_as_member": as_member})
+        .withColumn("_documents", documents)
+        .withColumn(name, F.when((F.size("_documents") == 1) & F.col("_as_member").isNotNull(), F.get("_documents", 0)))
+        .drop("_in_list", "_as_member", "_documents")
+    )

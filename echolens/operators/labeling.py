@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echolens import schemas as S
-from echolens.functions.coercion import exact_json, is_kind, member
-from echolens.operators.normalize import breaks_batch, label_struct
+from echolens.functions.coercion import is_kind, with_exact_json
+from echolens.operators.normalize import breaks_batch, clean_labels
 
 # A labeler gets the system prompt and the (id, text) pairs of one batch, and returns the response text or raises.
 Labeler = Callable[[str, list[tuple[str, str]]], str]
@@ -61,26 +61,28 @@ def label_requests(batches: DataFrame, taxonomy: dict | list, by: Sequence[str]
     )
 
 
-def response_elements(content: Column) -> Column:
-    """The result array of a response, or NULL when the batch has failed."""
-    parsed = exact_json(content)
-    listed = F.when(is_kind(parsed, "array"), F.try_variant_get(parsed, "$", "array<variant>")).when(
-        is_kind(member(parsed, "results"), "array"), F.try_variant_get(parsed, "$.results", "array<variant>")
+def _with_elements(responses: DataFrame) -> DataFrame:
+    """Add ``_elements``: the result array of each response, NULL when the batch has failed."""
+    listed = F.when(is_kind(F.col("_json"), "array"), F.try_variant_get("_json", "$", "array<variant>")).when(
+        is_kind(F.try_variant_get("_json", "$.results", "variant"), "array"),
+        F.try_variant_get("_json", "$.results", "array<variant>"),
     )
-    return F.when(~F.exists(listed, breaks_batch), listed)
+    usable = F.when(~F.exists("_listed", breaks_batch), F.col("_listed"))
+    read = with_exact_json(responses, "content", "_json").withColumn("_listed", listed)
+    return read.withColumn("_elements", usable).drop("_json", "_listed")
 
 
 def parse_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(elements with one ``element`` variant per row, responses that failed). ``content`` is the response text."""
-    read = responses.withColumn("_elements", response_elements(F.col("content")))
+    read = _with_elements(responses)
     others = [name for name in responses.columns if name != "content"]
-    elements = read.where(F.col("_elements").isNotNull()).select(*others, F.explode("_elements").alias("element"))
+    elements = read.select(*others, F.explode("_elements").alias("element"))
     failed = read.where(F.col("_elements").isNull()).drop("_elements")
     return elements, failed
 
 
-def _fallback(review_id: Column, model: str) -> Column:
-    return F.struct(
+def _fallback_columns(review_id: Column, model: str) -> list[Column]:
+    return [
         review_id.alias("review_id"),
         F.lit(S.FALLBACK_THEME).alias("theme"),
         F.lit("neutral").alias("sentiment"),
@@ -89,13 +91,13 @@ def _fallback(review_id: Column, model: str) -> Column:
         F.lit("").alias("direct_quote"),
         F.lit(0).cast(S.CONFIDENCE).alias("confidence"),
         F.lit(model).alias("model_version"),
-    )
+    ]
 
 
 def fallback_labels(failed: DataFrame, members: DataFrame, model: str, on: Sequence[str] = ("batch_no",)) -> DataFrame:
     """A neutral label with confidence 0 for each review of a failed batch."""
     hit = members.join(failed.select(*on), list(on), "left_semi")
-    return hit.select(*on, _fallback(F.col("id"), model).alias("_label")).select(*on, "_label.*")
+    return hit.select(*on, *_fallback_columns(F.col("id"), model))
 
 
 def labels_from_responses(responses: DataFrame, model: str = S.DEFAULT_LABEL_MODEL) -> DataFrame:
@@ -104,23 +106,33 @@ def labels_from_responses(responses: DataFrame, model: str = S.DEFAULT_LABEL_MOD
     ``responses`` has ``review_ids`` and ``content``. One pass matters when ``responses`` makes the model calls:
     a second read of it would make them again. ``answer_ord`` orders the labels of a batch as answered.
     """
-    elements = response_elements(F.col("content"))
-    labels = F.when(
-        elements.isNotNull(), F.transform(elements, lambda element: label_struct(element, model))
-    ).otherwise(F.transform("review_ids", lambda review_id: _fallback(review_id, model)))
-    return responses.select("review_ids", F.posexplode(labels).alias("_pos", "_label")).select(
-        "_label.*", F.struct(F.get("review_ids", 0).alias("batch"), F.col("_pos").alias("pos")).alias("answer_ord")
+    answered = F.transform("_elements", lambda e: F.struct(e.alias("element"), F.lit(None).cast("string").alias("id")))
+    unanswered = F.transform("review_ids", lambda i: F.struct(F.lit(None).cast("variant").alias("element"), i.alias("id")))
+    items = F.when(F.col("_elements").isNotNull(), answered).otherwise(unanswered)
+    exploded = _with_elements(responses).select("review_ids", F.posexplode(items).alias("_pos", "_item")).select(
+        F.struct(F.get("review_ids", 0).alias("batch"), F.col("_pos").alias("pos")).alias("answer_ord"), "_item.*"
     )
+    cleaned = clean_labels(exploded, model)
+    fallback = _fallback_columns(F.col("id"), model)
+    names = [name for name in cleaned.columns if name not in ("answer_ord", "id")]
+    chosen = [
+        F.when(F.col("id").isNotNull(), default).otherwise(F.col(name)).alias(name)
+        for name, default in zip(names, fallback, strict=True)
+    ]
+    return cleaned.select(*chosen, "answer_ord")
 
 
 RESPONSE_SCHEMA = "review_ids array<string>, content string, error string"
 
 
-def call_labeler(reviews: DataFrame, taxonomy: dict | list, labeler: Labeler, batch_size: int) -> DataFrame:
+def call_labeler(
+    reviews: DataFrame, taxonomy: dict | list, labeler: Labeler, batch_size: int, concurrency: int | None = None
+) -> DataFrame:
     """Response table of the model, called in the executors once per batch.
 
-    Batches form inside each partition, so no shuffle is needed and the number of partitions bounds the number
-    of calls at a time. A call that raises leaves its batch with NULL content and the message in ``error``.
+    Batches form inside each partition, so the number of partitions bounds the number of calls at a time.
+    ``concurrency`` sets it, at the price of a shuffle that is small beside the calls; without it the input keeps
+    its partitions. A call that raises leaves its batch with NULL content and the message in ``error``.
     """
     prompt = system_prompt(taxonomy)
 
@@ -144,7 +156,10 @@ def call_labeler(reviews: DataFrame, taxonomy: dict | list, labeler: Labeler, ba
         if rest:
             yield frame([rest])
 
-    return reviews.select("id", "text").mapInPandas(run, RESPONSE_SCHEMA)
+    texts = reviews.select("id", "text")
+    if concurrency is not None:
+        texts = texts.repartition(concurrency, "id")  # by key, so that a recomputed partition holds the same rows
+    return texts.mapInPandas(run, RESPONSE_SCHEMA)
 
 
 def label_reviews(
@@ -153,9 +168,10 @@ def label_reviews(
     labeler: Labeler,
     batch_size: int = S.DEFAULT_BATCH_SIZE,
     model: str = S.DEFAULT_LABEL_MODEL,
+    concurrency: int | None = None,
 ) -> DataFrame:
     """Labels for all reviews, with the fallback where a call or a response failed."""
-    return labels_from_responses(call_labeler(reviews, taxonomy, labeler, batch_size), model)
+    return labels_from_responses(call_labeler(reviews, taxonomy, labeler, batch_size, concurrency), model)
 
 
 def split_unmatched(labels: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -139,26 +139,28 @@ def analyses_from_columns(rows: DataFrame) -> DataFrame:
     )
 
 
-def label_struct(element: Column, model: str) -> Column:
-    """One cleaned label from one element of a model response."""
-    sentiment = as_text(member(element, "sentiment"))
-    severity = F.coalesce(int_prefix(as_text(member(element, "severity"))), F.lit(0.0))
-    confidence = F.coalesce(float_prefix(as_text(member(element, "confidence"))), F.lit(0.0))
-    is_text = is_kind(member(element, "sentiment"), "string")
-    return F.struct(
-        truthy_text(member(element, "reviewId"), "").alias("review_id"),
-        truthy_text(member(element, "theme"), S.FALLBACK_THEME).alias("theme"),
-        F.when(is_text & sentiment.isin(*S.SENTIMENTS), sentiment).otherwise("neutral").alias("sentiment"),
-        F.greatest(F.lit(1), F.least(F.lit(5), F.when(severity == 0, 1.0).otherwise(severity)))
-        .cast("int")
-        .alias("severity"),
-        is_truthy(member(element, "featureRequest")).alias("feature_request"),
-        F.substring(truthy_text(member(element, "directQuote"), ""), 1, QUOTE_LENGTH).alias("direct_quote"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(confidence == 0, 0.5).otherwise(confidence)))
-        .cast(S.CONFIDENCE)
-        .alias("confidence"),
+LABEL_MEMBERS = ("reviewId", "theme", "sentiment", "severity", "featureRequest", "directQuote", "confidence")
+
+
+def _label_columns(model: str) -> list[Column]:
+    """The cleaned label from the columns ``_m_<member>``."""
+
+    def m(name: str) -> Column:
+        return F.col(f"_m_{name}")
+
+    sentiment = F.when(is_kind(m("sentiment"), "string"), as_text(m("sentiment")))
+    severity = number_or(F.coalesce(int_prefix(as_text(m("severity"))), F.lit(0.0)), 1.0)
+    confidence = number_or(F.coalesce(float_prefix(as_text(m("confidence"))), F.lit(0.0)), 0.5)
+    return [
+        truthy_text(m("reviewId"), "").alias("review_id"),
+        truthy_text(m("theme"), S.FALLBACK_THEME).alias("theme"),
+        F.when(sentiment.isin(*S.SENTIMENTS), sentiment).otherwise("neutral").alias("sentiment"),
+        F.greatest(F.lit(1.0), F.least(F.lit(5.0), severity)).cast("int").alias("severity"),
+        is_truthy(m("featureRequest")).alias("feature_request"),
+        F.substring(truthy_text(m("directQuote"), ""), 1, QUOTE_LENGTH).alias("direct_quote"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)).cast(S.CONFIDENCE).alias("confidence"),
         F.lit(model).alias("model_version"),
-    )
+    ]
 
 
 def breaks_batch(element: Column) -> Column:
@@ -170,9 +172,13 @@ def breaks_batch(element: Column) -> Column:
 
 
 def clean_labels(elements: DataFrame, model: str = S.DEFAULT_LABEL_MODEL) -> DataFrame:
-    """Cleaned labels from a table with an ``element`` variant column; other columns pass through."""
+    """Cleaned labels from a table with an ``element`` variant column; other columns pass through.
+
+    Every member is taken out once, as a column of its own.
+    """
     others = [name for name in elements.columns if name != "element"]
-    return elements.select(*others, label_struct(F.col("element"), model).alias("_label")).select(*others, "_label.*")
+    members = [member(F.col("element"), name).alias(f"_m_{name}") for name in LABEL_MEMBERS]
+    return elements.select(*others, *members).select(*others, *_label_columns(model))
 
 
 def restrict_to_taxonomy(labels: DataFrame, theme_names: list[str]) -> DataFrame:

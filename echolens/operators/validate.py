@@ -104,14 +104,15 @@ def check_stored(rows: DataFrame, table: str, key: str = "id") -> tuple[DataFram
 
 # --- job payloads --------------------------------------------------------------------------------------------
 #
-# The rules of a payload are SQL text over three columns per member: its JSON kind (k_), its text (t_) and its
-# number (n_), all taken out of the payload once.
+# The rules of a payload are SQL text over two columns per member, its value (v_) and its JSON kind (k_). In a rule
+# ``@`` is the member's name, ``t_@`` its text and ``n_@`` its number; these two are only worked out in the CASE
+# branches that need them.
 
 
 class Field(NamedTuple):
     """One payload member: its JSON kind, the default as SQL, whether it is required, and its rules.
 
-    A rule is (problem, SQL condition that holds when it is broken); ``@`` stands for the member's name.
+    A rule is (problem, SQL condition that holds when it is broken).
     """
 
     name: str
@@ -206,10 +207,13 @@ RESULT_FIELDS = (
 def _with_members(df: DataFrame, json_col: str, fields: Sequence[Field]) -> DataFrame:
     names = sorted({field.name for field in fields})
     members = {f"v_{name}": F.expr(f"try_variant_get(_json, '$.{name}', 'variant')") for name in names}
-    parts = {f"k_{name}": F.expr(f"schema_of_variant(v_{name})") for name in names}
-    parts |= {f"t_{name}": F.expr(f"try_variant_get(v_{name}, '$', 'string')") for name in names}
-    parts |= {f"n_{name}": F.expr(f"try_variant_get(v_{name}, '$', 'double')") for name in names}
-    return df.withColumn("_json", F.try_parse_json(json_col)).withColumns(members).withColumns(parts)
+    kinds = {f"k_{name}": F.expr(f"schema_of_variant(v_{name})") for name in names}
+    return df.withColumn("_json", F.try_parse_json(json_col)).withColumns(members).withColumns(kinds)
+
+
+def _spelled_out(text: str, name: str) -> str:
+    text = text.replace("t_@", "try_variant_get(v_@, '$', 'string')").replace("n_@", "try_variant_get(v_@, '$', 'double')")
+    return text.replace("@", name)
 
 
 def _codes(fields: Sequence[Field]) -> str:
@@ -219,7 +223,7 @@ def _codes(fields: Sequence[Field]) -> str:
         missing = "'@: required'" if field.required else "NULL"
         rules = [("type", f"NOT ({_KINDS[field.kind]})"), *field.rules]
         cases = " ".join(f"WHEN {broken} THEN '@: {problem}'" for problem, broken in rules)
-        return f"CASE WHEN v_@ IS NULL THEN {missing} {cases} END".replace("@", field.name)
+        return _spelled_out(f"CASE WHEN v_@ IS NULL THEN {missing} {cases} END", field.name)
 
     return f"concat_ws('{_BETWEEN_CODES}', {', '.join(code(field) for field in fields)})"
 
@@ -239,7 +243,7 @@ def _filled(fields: Sequence[Field]) -> str:
     def value(field: Field) -> str:
         if field.kind == "object":
             return f"try_variant_get(v_{field.name}, '$', '{_OBJECT_TYPES[field.name]}')"
-        found = _SQL_VALUES[field.kind].replace("@", field.name)
+        found = _spelled_out(_SQL_VALUES[field.kind], field.name)
         return found if field.default is None else f"coalesce({found}, {field.default})"
 
     members = ", ".join(f"'{field.name}', {value(field)}" for field in fields)

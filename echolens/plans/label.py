@@ -41,6 +41,7 @@ def label_backlog(
     limit: int | None = 100,
     batch_size: int = S.DEFAULT_BATCH_SIZE,
     model: str = S.DEFAULT_LABEL_MODEL,
+    concurrency: int | None = None,
 ) -> BacklogRun:
     """New label table, one-row summary, and labels for unknown reviews.
 
@@ -48,7 +49,7 @@ def label_backlog(
     a lost executor may repeat calls that were already answered and written.
     """
     backlog = unlabeled_reviews(reviews, labels, limit)
-    responses = materialize(call_labeler(backlog, taxonomy, labeler, batch_size))
+    responses = materialize(call_labeler(backlog, taxonomy, labeler, batch_size, concurrency))
     fresh = labels_from_responses(responses, model)
     matched, unmatched = split_unmatched(fresh, reviews)
     return BacklogRun(upsert_labels(labels, last_label_per_review(matched), as_of), backlog_summary(fresh), unmatched)

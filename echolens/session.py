@@ -11,6 +11,9 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call-site capture costs several milliseconds per Column on the driver; plans here hold hundreds of them.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    "spark.sql.dataFrameQueryContext.enabled": "false",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # A repeated key in a JSON object takes its last value, as the reference's JSON reader does.
     "spark.sql.variant.allowDuplicateKeys": "true",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echolens import schemas as S
-from echolens.functions.coercion import exact_json, is_kind
+from echolens.functions.coercion import is_kind, with_exact_json
 
 PAGE_NAMES = {
     "appId": "app_id",
@@ -69,15 +69,14 @@ def read_analyses(spark: SparkSession, path: str, lines: bool = False) -> DataFr
         return spark.read.text(path).select(
             F.try_variant_get(record, "$.ord", "bigint").alias("ord"), record.alias("record")
         )
-    document = exact_json(F.col("value"))
+    document = F.col("_document")
     listed = F.when(is_kind(F.try_variant_get(document, "$.analyses", "variant"), "array"), document)
     checked = F.coalesce(
         F.try_variant_get(listed, "$.analyses", "array<variant>"),
         F.raise_error(F.lit("the analyses document has no array member 'analyses'")).cast("array<variant>"),
     )
-    return spark.read.text(path, wholetext=True).select(F.posexplode(checked).alias("ord", "record")).withColumn(
-        "ord", F.col("ord").cast("bigint")
-    )
+    documents = with_exact_json(spark.read.text(path, wholetext=True), "value", "_document")
+    return documents.select(F.posexplode(checked).alias("ord", "record")).withColumn("ord", F.col("ord").cast("bigint"))
 
 
 def load_taxonomy(spark: SparkSession, path: str | None = None) -> dict | list:

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from echolens.functions.coercion import exact_json, float_prefix, int_prefix, is_truthy, number_or, text_or
+from echolens.functions.coercion import float_prefix, int_prefix, is_truthy, number_or, text_or, with_exact_json
 from echolens.functions.rounding import fixed, fixed_text, half_up
 from echolens.functions.text import sanitize_name
 
@@ -54,7 +54,8 @@ def test_truthiness(spark):
 def test_exact_json_rejects_trailing_text(spark):
     good = ["[1]", ' {"a": 1} ', "5", "null", '"x"']
     bad = ["[1] x", "[1],[2]", "[1] ]", "[1] }", '[1], "x": 2', "", "x", None, "{", "1] [2", '1} {"a":2']
-    got = column(spark, good + bad, "string", lambda c: exact_json(c).isNotNull())
+    frame = spark.createDataFrame(list(enumerate(good + bad)), "i int, v string")
+    got = [r[0] for r in with_exact_json(frame, "v", "j").orderBy("i").select(F.col("j").isNotNull()).collect()]
     assert got == [True] * len(good) + [False] * len(bad)
 
 

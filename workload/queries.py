@@ -57,6 +57,10 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid4()}"
 
 
+def _cores(spark: SparkSession) -> int:
+    return spark.sparkContext.defaultParallelism
+
+
 def _iso(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({name: iso_millis(c(name)) for name in names})
 
@@ -584,14 +588,14 @@ def labels_from_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def label_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = labeling.label_reviews(_to_label(spark, sf_dir), S.DEFAULT_TAXONOMY, LABELER, model="m1")
+    labels = labeling.label_reviews(_to_label(spark, sf_dir), S.DEFAULT_TAXONOMY, LABELER, model="m1", concurrency=_cores(spark))
     return _as_double(labels.drop("answer_ord"))
 
 
 def _backlog_run(spark: SparkSession, sf_dir: str):
     return label_backlog(
         T.stored_reviews(spark, sf_dir), T.stored_labels(spark, sf_dir), S.DEFAULT_TAXONOMY, LABELER, T.LATER,
-        limit=None, model="m2",
+        limit=None, model="m2", concurrency=_cores(spark),
     )
 
 
