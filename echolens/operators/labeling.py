@@ -76,7 +76,9 @@ def parse_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(elements with one ``element`` variant per row, responses that failed). ``content`` is the response text."""
     read = _with_elements(responses)
     others = [name for name in responses.columns if name != "content"]
-    elements = read.select(*others, F.explode("_elements").alias("element"))
+    # Over the plain column Spark would infer a filter and evaluate the parsing a second time in it.
+    present = F.coalesce("_elements", F.array().cast("array<variant>"))
+    elements = read.select(*others, F.explode(present).alias("element"))
     failed = read.where(F.col("_elements").isNull()).drop("_elements")
     return elements, failed
 

@@ -52,4 +52,7 @@ def label_backlog(
     responses = materialize(call_labeler(backlog, taxonomy, labeler, batch_size, concurrency))
     fresh = labels_from_responses(responses, model)
     matched, unmatched = split_unmatched(fresh, reviews)
-    return BacklogRun(upsert_labels(labels, last_label_per_review(matched), as_of), backlog_summary(fresh), unmatched)
+    # With a limit the new labels are few: counted from the written responses, they need not shuffle the table.
+    rows = None if limit is None else fresh.count()
+    merged = upsert_labels(labels, last_label_per_review(matched), as_of, rows)
+    return BacklogRun(merged, backlog_summary(fresh), unmatched)

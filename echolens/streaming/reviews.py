@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from echolens import schemas as S
 from echolens.operators.labeling import Labeler, label_reviews
-from echolens.operators.merge import LABEL_UPDATES, REVIEW_UPDATES, with_label_ids
+from echolens.operators.merge import BROADCAST_ROWS, LABEL_UPDATES, REVIEW_UPDATES, with_label_ids
 from echolens.plans.collect import check_reviews, reviews_to_store
 from echolens.plans.label import last_label_per_review
 from echolens.sources.readers import explode_pages, page_columns
@@ -117,6 +117,7 @@ def stream_label(
     labeler: Labeler,
     batch_size: int = S.DEFAULT_BATCH_SIZE,
     model: str = S.DEFAULT_LABEL_MODEL,
+    concurrency: int | None = None,
     trigger: dict | None = None,
     as_of: datetime | None = None,
 ) -> StreamingQuery:
@@ -130,14 +131,20 @@ def stream_label(
     nothing = spark.createDataFrame([], S.LABELS)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
         if batch_id == 0:
             _append(nothing, table_root, LABEL_LOG, -1, _stamp(as_of))
-        log = _read_log(session, table_root, LABEL_LOG, S.LABELS)
+        log = _read_log(batch.sparkSession, table_root, LABEL_LOG, S.LABELS)
         done = log.where(F.col(BATCH) < batch_id).select(F.col("review_id").alias("id"))
-        fresh = batch.groupBy("id").agg(F.max_by("text", BATCH).alias("text")).join(done, "id", "left_anti")
-        labels = last_label_per_review(label_reviews(fresh, taxonomy, labeler, batch_size, model))
-        _append(with_label_ids(labels), table_root, LABEL_LOG, batch_id, _stamp(as_of))
+        batch = batch.persist()
+        try:
+            if batch.count() <= BROADCAST_ROWS:
+                # Only the id column of the log is scanned and nothing of it is shuffled.
+                done = F.broadcast(done.join(F.broadcast(batch.select("id")), "id", "left_semi").distinct())
+            fresh = batch.groupBy("id").agg(F.max_by("text", BATCH).alias("text")).join(done, "id", "left_anti")
+            labels = last_label_per_review(label_reviews(fresh, taxonomy, labeler, batch_size, model, concurrency))
+            _append(with_label_ids(labels), table_root, LABEL_LOG, batch_id, _stamp(as_of))
+        finally:
+            batch.unpersist()
 
     return start_batches(arriving, each, checkpoint, trigger)
 
