@@ -104,7 +104,7 @@ def insight_totals(stats: DataFrame) -> DataFrame:
 
 
 def top_request_themes(requests: DataFrame, n: int = 5) -> DataFrame:
-    return requests.orderBy(F.desc("requests"), "first_request_ord").limit(n)
+    return requests.orderBy(F.desc("requests"), "first_request_ord", "theme").limit(n)
 
 
 def feature_request_quotes(analyses: DataFrame, n: int = 50) -> DataFrame:
@@ -218,7 +218,7 @@ def swot(themes: DataFrame, overall: DataFrame, requests: DataFrame, totals: Dat
         _entry(F.size("_ranked") > 0, "opportunities", 1, F.format_string(REQUEST_THEMES, F.array_join(names, ", "))),
     )
     rows = by_theme.unionByName(by_overall).unionByName(by_requests).unionByName(by_request_theme)
-    in_category = Window.partitionBy("category").orderBy("section", "place")
+    in_category = Window.partitionBy("category").orderBy("section", "place", "message")
     return rows.select("category", F.row_number().over(in_category).alias("ord"), "message")
 
 

@@ -52,6 +52,22 @@ def queue_stats(jobs: DataFrame) -> DataFrame:
     return zero_fill_types(counts)
 
 
+def result_stats(jobs: DataFrame) -> DataFrame:
+    """Completed jobs per type by what their result says.
+
+    A worker that fails inside its processor still completes its job, with ``success`` false in the result, so the
+    status counts show it as completed. This table tells the two apart.
+    """
+    done = jobs.where(F.col("status") == "completed")
+    success = F.coalesce(F.try_variant_get(F.try_parse_json("result"), "$.success", "boolean"), F.lit(False))
+    counts = done.groupBy("type").agg(
+        F.count("*").alias("completed"),
+        F.count_if(success).alias("succeeded"),
+        F.count_if(~success).alias("reported_failures"),
+    )
+    return zero_fill_types(counts)
+
+
 def _over_types(column: Column) -> Column:
     """An aggregate over the five rows of a zero-filled table."""
     return column.over(Window.partitionBy())

@@ -92,6 +92,16 @@ def write_result(df: DataFrame, path: str, fmt: str = "database") -> None:
         raise ValueError(f"unknown output format: {fmt}")
 
 
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str) -> None:
+    """Store a table bucketed and sorted by its key.
+
+    Reviews bucketed by ``id`` and labels by ``review_id`` into the same number of buckets join without a shuffle,
+    which the backlog, enrichment and merge joins would otherwise repeat on each run.
+    """
+    writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+    writer.option("path", path).mode("errorifexists").saveAsTable(table)
+
+
 def write_table(df: DataFrame, root: str, name: str, fmt: str = "parquet", **options: str) -> None:
     """Store a table under a fresh root; an existing one is never overwritten while it may be being read."""
     writer = df.write.format(fmt).options(**options)

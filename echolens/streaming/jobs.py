@@ -16,6 +16,26 @@ def stream_queue_status(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("type", "status").count()
 
 
+def stream_queue_activity(
+    jobs: DataFrame, out_root: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """After each trigger (30 seconds by default) the counts of the job types that are not idle.
+
+    A type is idle when nothing waits and nothing is active. The complete result is at most one row per type and
+    state, so each trigger writes it anew in a folder of its own.
+    """
+
+    def each(counts: DataFrame, batch_id: int) -> None:
+        per_state = [
+            F.coalesce(F.sum(F.when(F.col("status") == state, F.col("count"))), F.lit(0)).alias(state)
+            for state in ("active", "waiting", "completed", "failed")
+        ]
+        busy = counts.groupBy("type").agg(*per_state).where((F.col("active") > 0) | (F.col("waiting") > 0))
+        busy.coalesce(1).write.mode("overwrite").parquet(f"{out_root}/{BATCH}={batch_id}")
+
+    return start_batches(stream_queue_status(jobs), each, checkpoint, trigger, "complete")
+
+
 def stream_quarantine(
     jobs: DataFrame, out_root: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:

@@ -44,9 +44,13 @@ def _stamp(as_of: datetime | None) -> Column:
 
 
 def start_batches(
-    stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None
+    stream: DataFrame,
+    each: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    trigger: dict | None,
+    mode: str = "append",
 ) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "30 seconds"})).start()
 
 

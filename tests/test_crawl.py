@@ -142,3 +142,25 @@ def test_collect_from_landed_json(spark, tmp_path, rows):
 def test_app_order(spark, rows):
     jobs = spark.createDataFrame([("a", 5), ("b", 1), ("a", 2)], "app_id string, job_ord int")
     assert {r["app_id"]: r["app_ord"] for r in rows(app_order(jobs))} == {"a": 2, "b": 1}
+
+
+def test_store_order_brute_force(spark):
+    """Against a replay of the reference's order: app after app, each first deduplicated, then stored row by row."""
+    rng = random.Random(11)
+    data = [
+        (f"app{a}", a, f"r{rng.randint(0, 40)}", rng.randint(0, 1), rng.randint(0, 2), 1, n, f"user{n}", n % 5 + 1, f"t{n}")
+        for n, a in enumerate(rng.choices(range(5), k=900))
+    ]
+    expected: dict[str, tuple] = {}
+    for app in range(5):
+        found = {}
+        for row in sorted((r for r in data if r[1] == app), key=lambda r: r[3:7]):
+            found[row[2]] = row
+        for row in found.values():
+            first = expected.get(row[2], (row[0], row[7]))
+            expected[row[2]] = (first[0], first[1], row[8], row[9])
+    schema = "app_id string, app_ord bigint, id string, sort_ord int, country_ord int, page int, pos int, user_name string, score int, text string"
+    frame = spark.createDataFrame(data, schema).repartition(5)
+    frame = frame.withColumns({"title": F.lit("t"), "helpful_votes": F.lit(0), "country": F.lit("US")})
+    got = {r.id: (r.app_id, r.user_name, r.score, r.text) for r in reviews_to_store(frame).collect()}
+    assert got == expected

@@ -103,3 +103,21 @@ def test_no_cross_joins(spark, sf, stored):
     ]
     for frame in frames:
         assert "CartesianProduct" not in plan(frame) and "NestedLoop" not in plan(frame)
+
+
+def test_bucketed_tables_join_without_a_shuffle(stored, tmp_path):
+    reviews, labels = stored
+    spark = reviews.sparkSession
+    writers.write_bucketed(reviews, "reviews_in_buckets", "id", 4, str(tmp_path / "reviews"))
+    writers.write_bucketed(labels, "labels_in_buckets", "review_id", 4, str(tmp_path / "labels"))
+    left, right = spark.table("reviews_in_buckets"), spark.table("labels_in_buckets")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for frame in (
+            backlog.enrich_reviews(left, right),
+            backlog.unlabeled_reviews(left, right, None),
+            merge.orphans(right, left, "review_id", "id"),
+        ):
+            assert "SortMergeJoin" in plan(frame) and "Exchange" not in plan(frame)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

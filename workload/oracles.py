@@ -365,6 +365,10 @@ oracle("label_job_summary", "e sl", """
 # --- jobs and dead letters -----------------------------------------------------------------------------------
 
 oracle("queue_stats", "q", "SELECT type, type_ord, waiting, active, completed, failed, delayed FROM q")
+oracle("result_stats", "types j", """
+    SELECT ty.type, count(j.id) AS completed, count(*) FILTER (id % 7 <> 0 AND id % 3 <> 0) AS succeeded,
+      count(*) FILTER (id % 7 = 0 OR id % 3 = 0) AS reported_failures
+    FROM types ty LEFT JOIN j ON j.type = ty.type AND j.status = 'completed' GROUP BY ty.type""")
 oracle("queue_health", "q dt", """
     SELECT q.type, waiting, active, completed, failed, delayed, total AS dlq_total, CASE WHEN failed > 10 THEN 'degraded' ELSE 'healthy' END AS status,
       CAST(sum(active) OVER () AS BIGINT) AS total_active, CAST(sum(waiting) OVER () AS BIGINT) AS total_waiting, CAST(sum(failed) OVER () AS BIGINT) AS total_failed,
@@ -424,6 +428,8 @@ oracle("labeled_reviews_csv", "reviews sl", """
     SELECT r.id, country, theme, sentiment, severity, CAST(feature_request AS VARCHAR) AS feature_request FROM reviews r LEFT JOIN sl ON sl.review_id = r.id""")
 oracle("stored_tables", "reviews sl", """
     SELECT app_id, sentiment, count(*) AS n, CAST(sum(score) AS BIGINT) AS total_score FROM reviews r JOIN sl ON sl.review_id = r.id GROUP BY app_id, sentiment""")
+oracle("bucketed_tables", "reviews sl", """
+    SELECT theme, count(*) AS n, CAST(sum(score) AS BIGINT) AS total_score FROM reviews r LEFT JOIN sl ON sl.review_id = r.id GROUP BY theme""")
 oracle("analyses_json_lines", "t", "SELECT theme, mentions, negative, average_severity, first_ord FROM t")
 oracle("result_output", "sl", """
     SELECT fmt, theme, count(*) AS n FROM sl, (VALUES ('csv'), ('json'), ('database')) v(fmt) GROUP BY fmt, theme""")
@@ -444,6 +450,10 @@ oracle("stream_ingest", "reviews", f"SELECT id, app_id, user_name, score, title,
 oracle("stream_label", "k", "SELECT review_id, theme, sentiment, severity, feature_request, direct_quote, confidence FROM k")
 oracle("stream_dedup", "reviews", f"SELECT id, {iso('date')} AS date FROM reviews")
 oracle("stream_queue_status", "j", "SELECT type, status, count(*) AS n FROM j GROUP BY type, status")
+oracle("stream_queue_activity", "j", """
+    SELECT type, count(*) FILTER (status = 'active') AS active, count(*) FILTER (status = 'waiting') AS waiting,
+      count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed
+    FROM j WHERE type <> 'label_reviews' GROUP BY type HAVING count(*) FILTER (status IN ('active', 'waiting')) > 0""")
 oracle("stream_quarantine", "j", """
     SELECT CAST(id AS VARCHAR) AS original_job_id, type AS original_job_type, CASE type WHEN 'label_reviews' THEN 'reviewIds: required'
       WHEN 'process_results' THEN 'sourceJobId: required; resultType: required' WHEN 'cleanup_data' THEN 'targetType: required' ELSE 'appId: required' END AS failure_reason

@@ -626,6 +626,13 @@ def queue_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.queue_stats(T.job_table(spark, sf_dir))
 
 
+@register
+def result_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = c("id")
+    result = F.when(n % 7 != 0, F.to_json(F.struct((n % 3 != 0).alias("success"))))
+    return jobs.result_stats(T.job_table(spark, sf_dir).withColumn("result", result)).drop("type_ord")
+
+
 @register
 def queue_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.queue_health(T.job_table(spark, sf_dir), T.dead_letters(spark, sf_dir)).drop("type_ord")
@@ -811,6 +818,20 @@ def stored_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).agg(F.count("*").alias("n"), F.sum("score").alias("total_score"))
 
 
+@register
+def bucketed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews and labels stored in buckets of their key and joined without a shuffle."""
+    tag = uuid4().hex
+    for name, frame, key in (
+        ("reviews", T.stored_reviews(spark, sf_dir), "id"), ("labels", T.stored_labels(spark, sf_dir), "review_id")
+    ):
+        writers.write_bucketed(frame, f"{name}_{tag}", key, 8, _scratch(spark, name))
+    reviews, labels = spark.table(f"reviews_{tag}"), spark.table(f"labels_{tag}")
+    return backlog.enrich_reviews(reviews, labels).groupBy("theme").agg(
+        F.count("*").alias("n"), F.sum("score").alias("total_score")
+    )
+
+
 @register
 def analyses_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analyses written as JSON lines, read back and aggregated per theme."""
@@ -943,6 +964,20 @@ def stream_queue_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return updates.groupBy("type", "status").agg(F.max_by("count", "batch_id").alias("n"))
 
 
+@register
+def stream_queue_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _scratch(spark, "activity")
+    jobs_in = T.jobs_of(_stream(spark, sf_dir, "events"))
+    # Label jobs are all finished here, so that their type is idle.
+    finished = F.when(c("type") == "label_reviews", "completed").otherwise(c("status"))
+    stream = job_streams.stream_queue_activity(jobs_in.withColumn("status", finished), f"{root}/out", f"{root}/checkpoint", DRAIN)
+    stream.awaitTermination()
+    schema = "type string, active bigint, waiting bigint, completed bigint, failed bigint, batch_id bigint"
+    written = spark.read.schema(schema).parquet(f"{root}/out")
+    last = written.agg(F.max("batch_id")).scalar()
+    return written.where(c("batch_id") == last).drop("batch_id")
+
+
 @register
 def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _scratch(spark, "quarantine")
