@@ -122,7 +122,7 @@ CTES = {
             WHEN contains(lo, 'ciónes') OR contains(lo, 'erle') THEN 'Features' ELSE 'General Feedback' END AS theme,
           CASE WHEN pos > neg THEN 'positive' WHEN pos < neg THEN 'negative' ELSE 'neutral' END AS sentiment,
           CASE WHEN pos < neg THEN 1 + neg ELSE 1 END AS severity, contains(lo, 'tha') OR contains(lo, 'que') AS feature_request,
-          substring(regexp_extract(text, '^[^.\\n]*'), 1, 100) AS direct_quote, CASE WHEN pos = neg THEN 0.6 ELSE 0.9 END AS confidence FROM k1""",
+          substring(regexp_extract(text, '^[^.\\n]*'), 1, 100) AS direct_quote, CAST(CASE WHEN pos = neg THEN 0.6 ELSE 0.9 END AS DOUBLE) AS confidence FROM k1""",
     "numbered": "SELECT 'r' || CAST(doc_id AS VARCHAR) AS id, doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS p FROM documents",
     "pj": """
         SELECT id AS n, CASE WHEN id % 50 = 49 THEN 'other_type' ELSE type END AS type, created_at FROM j""",
