@@ -104,9 +104,9 @@ def check_stored(rows: DataFrame, table: str, key: str = "id") -> tuple[DataFram
 
 # --- job payloads --------------------------------------------------------------------------------------------
 #
-# The rules of a payload are SQL text over two columns per member, its value (v_) and its JSON kind (k_). In a rule
-# ``@`` is the member's name, ``t_@`` its text and ``n_@`` its number; these two are only worked out in the CASE
-# branches that need them.
+# The rules of a payload are SQL text over one column per member, its value (v_). In a rule ``@`` is the member's
+# name, ``k_@`` its JSON kind, ``t_@`` its text and ``n_@`` its number; these are only worked out in the CASE branches
+# that need them.
 
 
 class Field(NamedTuple):
@@ -207,12 +207,19 @@ RESULT_FIELDS = (
 def _with_members(df: DataFrame, json_col: str, fields: Sequence[Field]) -> DataFrame:
     names = sorted({field.name for field in fields})
     members = {f"v_{name}": F.expr(f"try_variant_get(_json, '$.{name}', 'variant')") for name in names}
-    kinds = {f"k_{name}": F.expr(f"schema_of_variant(v_{name})") for name in names}
-    return df.withColumn("_json", F.try_parse_json(json_col)).withColumns(members).withColumns(kinds)
+    return df.withColumn("_json", F.try_parse_json(json_col)).withColumns(members)
+
+
+_PARTS = {
+    "k_@": "schema_of_variant(v_@)",
+    "t_@": "try_variant_get(v_@, '$', 'string')",
+    "n_@": "try_variant_get(v_@, '$', 'double')",
+}
 
 
 def _spelled_out(text: str, name: str) -> str:
-    text = text.replace("t_@", "try_variant_get(v_@, '$', 'string')").replace("n_@", "try_variant_get(v_@, '$', 'double')")
+    for short, full in _PARTS.items():
+        text = text.replace(short, full)
     return text.replace("@", name)
 
 
