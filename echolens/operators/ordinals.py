@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from echolens.session import materialize
 
+# Tasks are dealt into this many parts for the first round of a top-n per group.
+_PARTS = 64
 # Within this id, the upper 31 bits are the partition and the lower 33 the place inside it.
 _PARTITION_SHIFT = 33
 
@@ -47,11 +49,18 @@ def first_per_group(
 ) -> DataFrame:
     """The first ``n`` rows of each group with their 1-based ``position``.
 
-    Up to Spark's group-limit threshold each task keeps only its own first ``n`` rows per group before the
-    shuffle, so a large group never meets in one task. Beyond it the rows get distributed positions.
+    Up to Spark's group-limit threshold each task keeps only its own first ``n`` rows per group before the shuffle.
+    A first round ranks within (group, part of the tasks) and only its winners, at most ``n`` per part, meet in the
+    second, so also with very many tasks no single one receives what all of them kept. The part decides nothing but
+    the route of a row. Beyond the threshold the rows get distributed positions.
     """
     threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if n <= threshold:
-        ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    if n > threshold:
+        return with_position(df, order, by, name).where(F.col(name) <= n)
+
+    def first(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        ranked = rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
         return ranked.where(F.col(name) <= n)
-    return with_position(df, order, by, name).where(F.col(name) <= n)
+
+    parts = df.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(_PARTS)))
+    return first(first(parts, [*by, "_part"]).drop("_part", name), by)
