@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolens.llm import chat, exact_dedup, mixing, quality, sharding
+from echolens.llm import chat, exact_dedup, mixing, quality, sharding, simhash, token_counts
+from echolens.llm.common import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,6 +24,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache starts empty here, so every distinct text is a miss."""
+    docs = _table(spark, sf_dir, "documents")
+    counts = token_counts.token_counts(docs, _tokenizer(), scratch(spark, "token-cache"))
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 @register
 def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
@@ -77,6 +92,12 @@ FROM marked GROUP BY conv_id
 """
 
 
+@register
+def op6_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = simhash.near_copies(_table(spark, sf_dir, "documents"))
+    return near.select("doc_id", "fingerprint", "component_id")
+
+
 @register
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.with_line_rules(_table(spark, sf_dir, "documents"))
