@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolens.llm import chat, exact_dedup, mixing, quality, sharding, simhash, token_counts
+from echolens.llm import (
+    chat,
+    exact_dedup,
+    mixing,
+    packing,
+    quality,
+    sharding,
+    simhash,
+    token_counts,
+    training_order,
+)
 from echolens.llm.common import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +102,16 @@ FROM marked GROUP BY conv_id
 """
 
 
+@register
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sequence as it is read back from the shard files."""
+    out = scratch(spark, "training-order")
+    training_order.write_training_order(_table(spark, sf_dir, "documents"), _tokenizer(), out)
+    return training_order.read_training_order(spark, out).select(
+        "slot", "shard", "byte_offset", "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32")
+    )
+
+
 @register
 def op6_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_copies(_table(spark, sf_dir, "documents"))
@@ -107,6 +127,14 @@ def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op8_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer())
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 @register
 def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
