@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from echolens.llm import (
     chat,
     exact_dedup,
+    html_extract,
     mixing,
     packing,
     quality,
@@ -112,6 +113,11 @@ def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op5_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @register
 def op6_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_copies(_table(spark, sf_dir, "documents"))
