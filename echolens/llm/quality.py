@@ -132,7 +132,9 @@ def with_line_rules(
         (F.size(F.split("__t", "\n")) - F.size("__stay")).cast("long").alias("lines_removed"),
         F.col("__cleaned").alias("cleaned"),
     )
-    return step.select(*[F.col(f"`{c}`") for c in docs.columns], quality.alias("__quality"))
+    # Behind a generator, a filter on the result is not moved into the steps above, where each element of an array
+    # would compute that array again.
+    return step.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array(quality)).alias("__quality"))
 
 
 def clean_lines(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", **options) -> DataFrame:

@@ -29,14 +29,14 @@ def magnitude(column: Column) -> Column:
 
 
 def _assign(rows: DataFrame, splits: Sequence[DataFrame]) -> DataFrame:
-    """Add each row's node (``_lo``, ``_hi``: its shards) after the given levels of splits.
+    """Set each row's node (``_lo``, ``_hi``: its shards) after the given levels of splits.
 
     The splits of a level are at most one row per shard, so they are broadcast.
     """
     placed = rows
     for level in splits:
-        cut = level.select("_lo", "_hi", "_mid", "_dim", "_cut")
-        placed = placed.join(F.broadcast(cut), ["_lo", "_hi"], "left")
+        cut = level.select("_lo", "_mid", "_dim", "_cut")
+        placed = placed.join(F.broadcast(cut), "_lo", "left")
         left = _key(F.col("_dim")) <= F.col("_cut")
         placed = placed.select(
             *rows.columns[:-2],
@@ -78,7 +78,7 @@ def _split(rows: DataFrame, spans: Sequence[int]) -> DataFrame:
         ),
         "nodes",
     )
-    keyed = rows.join(F.broadcast(nodes), ["_lo", "_hi"]).withColumn("_k", _key(F.col("_dim")))
+    keyed = rows.drop("_hi").join(F.broadcast(nodes), "_lo").withColumn("_k", _key(F.col("_dim")))
     here = ["_lo", "_hi", "_mid", "_dim", "_need"]
     state = stored(
         keyed.groupBy(*here)
@@ -89,7 +89,7 @@ def _split(rows: DataFrame, spans: Sequence[int]) -> DataFrame:
     )
     while not state.where("_from < _to").isEmpty():
         step = F.floor((F.col("_to") - F.col("_from")) / _BUCKETS) + 1
-        inside = keyed.select("_lo", "_hi", "_k", "_weight").join(F.broadcast(state), ["_lo", "_hi"])
+        inside = keyed.select("_lo", "_k", "_weight").join(F.broadcast(state), "_lo")
         buckets = (
             inside.where("_k between _from and _to")
             .withColumn("_bucket", F.floor((F.col("_k") - F.col("_from")) / step))
@@ -155,7 +155,7 @@ def shard(
         with_row_key(docs).select(
             F.col(id_col).alias("_id"), (F.octet_length(text) + overhead).cast("long").alias("_weight"),
             crc.alias("_crc"), F.array(*dims).alias("_at"), *ROW_KEY,
-            F.shiftrightunsigned(F.xxhash64(F.col(id_col), crc, *ROW_KEY), 32).alias("_tie"),
+            F.shiftrightunsigned(F.xxhash64(F.col(id_col), crc, *ROW_KEY), 32).alias("_tie"), F.lit(0).alias("_lo"),
         ),
         "shard-rows",
     )
@@ -164,7 +164,7 @@ def shard(
         shards = max(1, math.ceil(total / target_bytes))
     widths = [F.max(F.get("_at", F.lit(d))) - F.min(F.get("_at", F.lit(d))) for d in range(len(dims))]
     spans = [value or 0 for value in base.agg(*widths).first()]
-    rows = base.withColumn("_lo", F.lit(0)).withColumn("_hi", F.lit(shards))
+    rows = base.withColumn("_hi", F.lit(shards))
     splits: list[DataFrame] = []
     for _ in range(math.ceil(math.log2(shards))):
         splits.append(stored(_split(_assign(rows, splits), spans), "splits"))
