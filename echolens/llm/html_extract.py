@@ -29,8 +29,8 @@ _ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
     "th": {"td", "th"}, "option": {"option"},
 }
-#: Blocks of one piece of text; other blocks hold several.
-_LEAVES = frozenset("p h1 h2 h3 h4 h5 h6".split())
+#: Elements that divide a page into parts.
+_PARTS = frozenset("body article main section div center header footer nav aside form".split())
 _CONTAINERS = frozenset("ul ol dl table select article section div body main aside nav header footer form".split())
 _INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup tt u var".split())
 # Parts of a page that are not its article, by element and by words of class, id and role.
@@ -67,6 +67,15 @@ def _element(tag: str, attrs: str, in_article: bool) -> tuple[str, bool]:
     return name, aside
 
 
+def _holder(stack: list[tuple[str, bool, str]]) -> str:
+    """Path of the part of the page that holds a node: its article or main part, or else the nearest division."""
+    parts = [name for tag, _, name in stack if tag in _PARTS]
+    for i, (tag, _, _) in enumerate([x for x in stack if x[0] in _PARTS]):
+        if tag in ("article", "main"):
+            return "/".join(parts[: i + 1])
+    return "/".join(parts)
+
+
 def text_nodes(html: str) -> list[tuple[str, str, bool, int, str]]:
     """The text nodes of a page in order: path, block container's path, furniture flag, block number, text.
 
@@ -85,8 +94,7 @@ def text_nodes(html: str) -> list[tuple[str, str, bool, int, str]]:
                 nodes.append(("", "", marked, block, " "))
             else:
                 path = "/".join(name for _, _, name in stack)
-                holder = "/".join(name for tag, _, name in stack if tag in _BLOCK and tag not in _LEAVES)
-                nodes.append((path, holder, marked, block, text))
+                nodes.append((path, _holder(stack), marked, block, text))
         elif (tag := match["open"]) is not None:
             tag, attrs = tag.lower(), match["attrs"] or ""
             if tag in _RAW and not attrs.rstrip().endswith("/"):
@@ -154,9 +162,10 @@ def extract_main_text(
     Per page and path, the text ratio is characters per text node and the punctuation ratio closing marks per node.
     Both are smoothed over the paths before and after in order of first appearance (weights 1, 2, 1) and fused to
     ``text ratio * (1 + punctuation ratio)``. Paths that run through furniture (menus, headers, footers, side bars,
-    notices, adverts, forms, comments, by element or by class, id and role) score nothing. Each path's score, times
-    its nodes, counts for the block element that holds it; the best of these is the article's, and with it come its
-    descendants and every holder that reaches ``threshold`` times the page's mean score. A block is the text between
+    notices, adverts, forms, comments, by element or by class, id and role) score nothing. Each path's own score,
+    times its nodes, counts for the part of the page that holds it (article, main part or nearest division); the best of
+    these is the article's, and with it come the parts inside it and every part with a path whose smoothed score
+    reaches ``threshold`` times the page's mean. A block is the text between
     two borders of block elements: references decoded, white space joined to single spaces, trimmed; blocks follow in
     page order, two line feeds apart. A null or empty page, or one without content, gives an empty text. Pages are
     rows, so repeated ids stay apart. A page's nodes meet in one task, since its text is one value; pages are dealt
@@ -201,11 +210,14 @@ def extract_main_text(
         return (F.coalesce(before, own) + 2 * own + F.coalesce(after, own)) / 4
 
     score = F.when(F.col("_path") != "", smooth("_length") * (1 + smooth("_stops")))
-    fused = edges.select(*key, "_place", "_path", "_from", "_nodes", "_holder", "_block", "_text", score.alias("_score"))
+    fused = edges.select(
+        *key, "_place", "_path", "_from", "_nodes", "_holder", "_block", "_text", score.alias("_score"),
+        F.when(F.col("_path") != "", F.col("_length") * (1 + F.col("_stops"))).alias("_own"),
+    )
     stands = F.col("_place") == F.col("_from")
     by_holder, by_page = Window.partitionBy(*key, "_holder"), Window.partitionBy(*key)
     held = fused.select(
-        "*", F.sum(F.when(stands, F.col("_score") * F.col("_nodes"))).over(by_holder).alias("_mass"),
+        "*", F.sum(F.when(stands, F.col("_own") * F.col("_nodes"))).over(by_holder).alias("_mass"),
         F.max("_score").over(by_holder).alias("_top"),
     )
     judged = held.select(

@@ -193,9 +193,9 @@ def mix(
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row repeated as often as ``mix`` decides; rows with no copy go."""
     keyed = with_row_key(docs)
-    copies = mix(keyed, **options).select(*ROW_KEY, "copies")
+    copies = mix(keyed, **options).select(*ROW_KEY, F.col("copies").alias("__copies"))
     return (
         keyed.join(copies, list(ROW_KEY))
-        .withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+        .withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int"))))
         .select(*[F.col(f"`{c}`") for c in docs.columns])
     )

@@ -56,7 +56,9 @@ def with_line_rules(
     Null and empty texts have no words and fail. Lines without a word stay and count for nothing. Everything is a
     built-in expression over one row; only arrays of one document are in memory, and nothing is shuffled.
     """
-    step = docs.withColumn("__t", F.coalesce(F.col(text_col), F.lit("")))
+    # The given columns travel as one, so that their names cannot meet the ones below.
+    given = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__given")
+    step = docs.select(given, F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
     step = step.withColumn("__trimmed", F.btrim("__t", F.lit(_WHITE)))
     step = step.withColumn(
         "__w", F.when(F.col("__trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("__trimmed", BLANK))
@@ -134,7 +136,7 @@ def with_line_rules(
     )
     # Behind a generator, a filter on the result is not moved into the steps above, where each element of an array
     # would compute that array again.
-    return step.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array(quality)).alias("__quality"))
+    return step.select(*[F.col(f"__given.`{c}`") for c in docs.columns], F.explode(F.array(quality)).alias("__quality"))
 
 
 def clean_lines(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", **options) -> DataFrame:
