@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from echolens import schemas as S
 from echolens.operators.normalize import normalize_apps
+from echolens.session import null_safe_join
 
 LIST_KEY = ("app_id", "country_code", "sort_method")
 CRAWL_ORDER = ("sort_ord", "country_ord", "page", "pos")
@@ -36,14 +37,17 @@ def crawl_jobs(
     )
 
 
-def crawl_plan(jobs: DataFrame) -> DataFrame:
-    """One row per page to fetch. Sort order is the outer loop, country the inner one, then the page."""
+def crawl_plan(jobs: DataFrame, max_pages: int = S.MAX_PAGES) -> DataFrame:
+    """One row per page to fetch, at most ``max_pages`` per list whatever the job asks for.
+
+    Sort order is the outer loop, country the inner one, then the page.
+    """
     return (
         jobs.select("app_id", "countries", "pages", F.posexplode("sort_methods").alias("sort_ord", "sort_method"))
         .select(
             "app_id", "pages", "sort_ord", "sort_method", F.posexplode("countries").alias("country_ord", "country_code")
         )
-        .withColumn("page", F.explode(F.sequence(F.lit(1), F.least(F.col("pages"), F.lit(S.MAX_PAGES)))))
+        .withColumn("page", F.explode(F.sequence(F.lit(1), F.least(F.col("pages"), F.lit(max_pages)))))
         .drop("pages")
     )
 
@@ -51,26 +55,24 @@ def crawl_plan(jobs: DataFrame) -> DataFrame:
 def apply_early_stop(pages: DataFrame) -> DataFrame:
     """Keep the pages of each (app, country, sort) list that come before the first empty, failed or missing one.
 
-    ``pages`` has the list key, ``page``, ``n_reviews`` and ``error``. A list has at most ten pages, so the good
-    ones fit in one bit mask per list; the mask is combined before the shuffle and the page contents are not
-    part of that aggregation. The number of trailing ones of the mask is the last page to keep.
+    ``pages`` has the list key, ``page`` (from 1), ``n_reviews`` and ``error``; lists may be of any length, and a page
+    that landed twice is good if all its records are. Page numbers are combined per list before the shuffle, and page
+    contents take no part. A list stops at the least page that follows a good one and is not good itself, which an
+    anti join of the good pages with their successors gives without gathering a list.
     """
     good = (F.col("n_reviews") > 0) & F.col("error").isNull()
-    bit = F.expr("shiftleft(1L, page - 1)")
-    mask, next_mask = F.col("_mask"), F.col("_mask") + 1
-    in_range = F.col("page").between(1, S.MAX_PAGES)
+    counted = pages.where(F.col("page") >= 1).groupBy(*LIST_KEY, "page").agg(F.min(good).alias("_good"))
+    good_pages = counted.where("_good").select(*LIST_KEY, "page")
+    started = good_pages.where("page = 1").select(*LIST_KEY)
+    following = good_pages.withColumn("page", F.col("page") + 1)
     stops = (
-        pages.where(in_range)
+        null_safe_join(following, good_pages, [*LIST_KEY, "page"], "left_anti")
         .groupBy(*LIST_KEY)
-        .agg(
-            F.coalesce(F.bit_or(F.when(good, bit)), F.lit(0)).alias("_good"),
-            F.coalesce(F.bit_or(F.when(~good, bit)), F.lit(0)).alias("_bad"),
-        )
-        .withColumn("_mask", F.col("_good").bitwiseAND(F.bitwise_not("_bad")))
-        .select(*LIST_KEY, F.bit_count(mask.bitwiseAND(F.bitwise_not(next_mask))).alias("_last_page"))
-        .where(F.col("_last_page") > 0)
+        .agg(F.min("page").alias("_stop"))
     )
-    return pages.where(in_range).join(stops, list(LIST_KEY)).where(F.col("page") <= F.col("_last_page")).drop("_last_page")
+    stops = null_safe_join(stops, started, LIST_KEY, "left_semi")
+    kept = null_safe_join(pages.where(F.col("page") >= 1), stops, LIST_KEY)
+    return kept.where(F.col("page") < F.col("_stop")).drop("_stop")
 
 
 def _order(columns: Sequence[str]) -> Column:

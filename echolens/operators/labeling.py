@@ -30,13 +30,18 @@ def system_prompt(taxonomy: dict | list) -> str:
     )
 
 
-# Layout of the user prompt.
+# So many ids of answers may be sent to all tasks.
+ANSWER_ROWS = 100_000
+
+# Layout of the user prompt, and how it shows a value that is not there.
+ABSENT = "null"
 PROMPT_HEAD = "Analyze these app reviews:\n\n"
 PROMPT_ITEM = '{n}. ID: {id}\nText: "{text}"\n---'
 
 
 def user_prompt(reviews: Sequence[tuple[str, str]]) -> str:
-    return PROMPT_HEAD + "\n".join(PROMPT_ITEM.format(n=n, id=i, text=t) for n, (i, t) in enumerate(reviews, 1))
+    shown = [(ABSENT if i is None else i, ABSENT if t is None else t) for i, t in reviews]
+    return PROMPT_HEAD + "\n".join(PROMPT_ITEM.format(n=n, id=i, text=t) for n, (i, t) in enumerate(shown, 1))
 
 
 def label_requests(batches: DataFrame, taxonomy: dict | list, by: Sequence[str] = ()) -> DataFrame:
@@ -45,7 +50,8 @@ def label_requests(batches: DataFrame, taxonomy: dict | list, by: Sequence[str]
     items = F.transform(
         F.col("_members"),
         lambda m: F.concat(
-            m["position"].cast("string"), F.lit(". ID: "), m["id"], F.lit('\nText: "'), m["text"], F.lit('"\n---')
+            m["position"].cast("string"), F.lit(". ID: "), F.coalesce(m["id"], F.lit(ABSENT)), F.lit('\nText: "'),
+            F.coalesce(m["text"], F.lit(ABSENT)), F.lit('"\n---'),
         ),
     )
     return (
@@ -176,7 +182,15 @@ def label_reviews(
     return labels_from_responses(call_labeler(reviews, taxonomy, labeler, batch_size, concurrency), model)
 
 
-def split_unmatched(labels: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(labels whose review exists, the others). Models may answer for reviews nobody asked about."""
+def split_unmatched(
+    labels: DataFrame, reviews: DataFrame, label_rows: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(labels whose review exists, the others). Models may answer for reviews nobody asked about.
+
+    ``label_rows`` is the number of labels when it is known. When they are few, the reviews are reduced to the ids
+    answered for first, by a broadcast semi join outward, so the review table is neither shuffled nor sorted.
+    """
     known = reviews.select(F.col("id").alias("review_id"))
+    if label_rows is not None and label_rows <= ANSWER_ROWS:
+        known = F.broadcast(known.join(F.broadcast(labels.select("review_id").distinct()), "review_id", "left_semi"))
     return labels.join(known, "review_id", "left_semi"), labels.join(known, "review_id", "left_anti")

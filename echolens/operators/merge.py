@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 REVIEW_UPDATES = ("score", "title", "text", "helpful_votes")
@@ -16,6 +16,7 @@ LABEL_UPDATES = (
     "sentiment", "confidence", "theme", "severity", "feature_request", "direct_quote", "model_version",
 )
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 
 
 def merge(
@@ -29,8 +30,9 @@ def merge(
     """Insert new keys; on existing keys overwrite ``update_cols`` and stamp ``updated_at``.
 
     ``source`` must be unique by ``key``. ``source_rows`` is the row count of the source when the caller knows
-    it, as a micro-batch does. Up to BROADCAST_ROWS the target is then updated in place by a broadcast join,
-    without a shuffle of the target; otherwise both sides meet in one full outer join.
+    it, as a micro-batch does. Up to BROADCAST_ROWS rows and BROADCAST_BYTES bytes the target is then updated in
+    place by a broadcast join, without a shuffle of the target; otherwise both sides meet in one full outer join, with
+    the same result. A NULL key matches nothing.
     """
     stamp = F.lit(as_of).cast("timestamp")
     columns = target.columns
@@ -42,11 +44,13 @@ def merge(
             if name not in timed
         ]
     )
-    if source_rows is not None and source_rows <= BROADCAST_ROWS:
+    if source_rows is not None and source_rows <= BROADCAST_ROWS and _bytes(incoming) <= BROADCAST_BYTES:
         return _merge_small(target, incoming, key, update_cols, stamp, timed)
-    old, new = target.alias("old"), incoming.alias("new")
-    is_new = F.col(f"old.{key}").isNull()
-    matched = F.col(f"old.{key}").isNotNull() & F.col(f"new.{key}").isNotNull()
+    # Presence is a mark of its own: a stored row without a key matches nothing and stays as it is.
+    old = target.withColumn("_there", F.lit(True)).alias("old")
+    new = incoming.withColumn("_there", F.lit(True)).alias("new")
+    is_new = F.col("old._there").isNull()
+    matched = F.col("old._there") & F.col("new._there")
 
     def pick(name: str):
         if name == key:
@@ -63,6 +67,12 @@ def merge(
     return joined.select(*[pick(name).alias(name) for name in columns])
 
 
+def _bytes(df: DataFrame) -> int:
+    """Bytes of the texts of a source of few rows, plus a little for each other value."""
+    sizes = [F.octet_length(name) if kind == "string" else F.lit(16) for name, kind in df.dtypes]
+    return df.select(sum((F.coalesce(size, F.lit(16)) for size in sizes), F.lit(0)).alias("n")).agg(F.sum("n")).first()[0] or 0
+
+
 def _merge_small(target, incoming, key, update_cols, stamp, timed) -> DataFrame:
     old, new = target.alias("old"), F.broadcast(incoming).alias("new")
     matched = F.col(f"new.{key}").isNotNull()
@@ -95,17 +105,23 @@ def upsert_labels(target: DataFrame, source: DataFrame, as_of: datetime, source_
     return merge(target, with_label_ids(source), "review_id", LABEL_UPDATES, as_of, source_rows)
 
 
-def ensure_apps(target: DataFrame, source: DataFrame, as_of: datetime) -> DataFrame:
-    """Insert unknown apps; a known app is left as it is, even when the source knows more."""
+def ensure_apps(target: DataFrame, source: DataFrame, as_of: datetime, order: Sequence[Column] = ()) -> DataFrame:
+    """Insert unknown apps; a known app is left as it is, even when the source knows more.
+
+    Of several rows of an app the first in ``order`` counts, ties and no order by the columns' values.
+    """
     stamp = F.lit(as_of).cast("timestamp")
-    fresh = source.dropDuplicates(["id"]).join(target.select("id"), "id", "left_anti")
+    others = [name for name in source.columns if name != "id"]
+    ranked = F.struct(*[place.alias(f"_o{i}") for i, place in enumerate(order)], *others)
+    first = source.groupBy("id").agg(F.min(ranked).alias("_first")).select("id", *[f"_first.{name}" for name in others])
+    fresh = first.join(target.select("id"), "id", "left_anti")
     fresh = fresh.withColumns({"created_at": stamp, "updated_at": stamp})
     return target.unionByName(fresh.select(*target.columns))
 
 
 def orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFrame:
-    """Child rows whose parent does not exist."""
-    return child.join(parent.select(F.col(pk).alias(fk)), fk, "left_anti")
+    """Child rows whose parent does not exist. A NULL foreign key refers to nothing and is allowed."""
+    return child.where(F.col(fk).isNotNull()).join(parent.select(F.col(pk).alias(fk)), fk, "left_anti")
 
 
 def cascade_delete(child: DataFrame, deleted: DataFrame, fk: str, pk: str = "id") -> DataFrame:

@@ -38,6 +38,10 @@ def redact_logs(logs: DataFrame, keys: Sequence[str] = SENSITIVE_KEYS, columns:
 
 
 def sample_debug_logs(logs: DataFrame, rate: float = DEFAULT_RATE, id_col: str = "id") -> DataFrame:
-    """Keep a share of the debug rows and all others. The id decides, so a rerun keeps the same rows."""
-    kept = F.pmod(F.xxhash64(id_col), F.lit(_BUCKETS)) < int((rate or DEFAULT_RATE) * _BUCKETS)
+    """Keep a share of the debug rows and all others. The id's digest decides, so a rerun keeps the same rows.
+
+    A debug row without an id goes.
+    """
+    digest = F.conv(F.substring(F.md5(F.col(id_col).cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    kept = F.coalesce(F.pmod(digest, F.lit(_BUCKETS)) < int((rate or DEFAULT_RATE) * _BUCKETS), F.lit(False))
     return logs.where((F.col("level") != "debug") | kept)

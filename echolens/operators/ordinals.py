@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from echolens.session import materialize
+from echolens.session import null_safe_join, store
 
 # Tasks are dealt into this many parts for the first round of a top-n per group.
 _PARTS = 64
@@ -20,13 +20,13 @@ def with_position(df: DataFrame, order: Sequence[Column], by: Sequence[str] = ()
 
     ``row_number`` would sort each group in one task. Here the rows are range-partitioned on group and order
     together, so a large group spreads over many tasks, and a row's place is its place inside the partition plus
-    the number of rows of its group in earlier partitions. The sorted rows are written to the shared folder
-    first: both uses below must see one and the same partitioning, also after an executor is lost. ``order`` must
-    be total for the result to be repeatable.
+    the number of rows of its group in earlier partitions. The sorted rows are written to the shared folder with
+    their partition and place first: both uses below must see the same places, also after an executor is lost. Rows
+    whose group is NULL form a group. ``order`` must be total for the result to be repeatable.
     """
     spread = [F.col(column) for column in by] + list(order)
-    sorted_rows = materialize(df.repartitionByRange(*spread).sortWithinPartitions(*spread))
-    placed = sorted_rows.withColumn("_slot", F.monotonically_increasing_id())
+    sorted_rows = df.repartitionByRange(*spread).sortWithinPartitions(*spread)
+    placed = store(sorted_rows.withColumn("_slot", F.monotonically_increasing_id()), "positions")
     partition = F.shiftright("_slot", _PARTITION_SHIFT)
     pieces = placed.withColumn("_part", partition).groupBy(*by, "_part").agg(
         F.min("_slot").alias("_first"), F.count("*").alias("_rows")
@@ -37,8 +37,7 @@ def with_position(df: DataFrame, order: Sequence[Column], by: Sequence[str] = ()
     if not by:
         starts = F.broadcast(starts)  # at most one row per partition
     return (
-        placed.withColumn("_part", partition)
-        .join(starts, [*by, "_part"])
+        null_safe_join(placed.withColumn("_part", partition), starts, [*by, "_part"])
         .withColumn(name, F.col("_slot") - F.col("_first") + F.col("_before") + 1)
         .select(*df.columns, name)
     )

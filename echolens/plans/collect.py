@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from echolens.operators.crawl import CRAWL_ORDER, apply_early_stop, fold_versions
 from echolens.operators.merge import REVIEW_UPDATES
 from echolens.operators.normalize import normalize_reviews
-from echolens.operators.validate import review_rules, split
+from echolens.operators.validate import STORED_RULES, review_rules, split
 from echolens.sources.readers import explode_pages
 
 ORDINALS = ("app_ord", "sort_ord", "country_ord", "page", "pos")
@@ -22,14 +22,18 @@ class Collected(NamedTuple):
     quarantined: DataFrame
 
 
-def check_reviews(raw: DataFrame) -> Collected:
-    """Normalise and validate raw review rows. Rows that would not store go to quarantine."""
-    return Collected(*split(normalize_reviews(raw), review_rules()))
+def check_reviews(raw: DataFrame, strict: bool = False) -> Collected:
+    """Normalise and validate raw review rows. Rows that would not store go to quarantine.
 
+    What stores is what the review table accepts; ``strict`` asks for all rules of the review model (such as the form
+    of a URL) instead.
+    """
+    return Collected(*split(normalize_reviews(raw), review_rules() if strict else STORED_RULES["reviews"]()))
 
-def collect_reviews(pages: DataFrame) -> Collected:
+
+def collect_reviews(pages: DataFrame, strict: bool = False) -> Collected:
     """Early stop, normalise, validate. ``accepted`` still holds every appearance of a review."""
-    return check_reviews(explode_pages(apply_early_stop(pages)))
+    return check_reviews(explode_pages(apply_early_stop(pages)), strict)
 
 
 def reviews_to_store(accepted: DataFrame, order: Sequence[str] = CRAWL_ORDER) -> DataFrame:

@@ -13,7 +13,7 @@ from echolens.operators.backlog import unlabeled_reviews
 from echolens.operators.insights import backlog_summary
 from echolens.operators.labeling import Labeler, call_labeler, labels_from_responses, split_unmatched
 from echolens.operators.merge import upsert_labels
-from echolens.session import materialize
+from echolens.session import materialize, store
 
 
 class BacklogRun(NamedTuple):
@@ -51,8 +51,12 @@ def label_backlog(
     backlog = unlabeled_reviews(reviews, labels, limit)
     responses = materialize(call_labeler(backlog, taxonomy, labeler, batch_size, concurrency))
     fresh = labels_from_responses(responses, model)
-    matched, unmatched = split_unmatched(fresh, reviews)
-    # With a limit the new labels are few: counted from the written responses, they need not shuffle the table.
-    rows = None if limit is None else fresh.count()
-    merged = upsert_labels(labels, last_label_per_review(matched), as_of, rows)
+    # With a limit the new labels are few: parsed and counted once, they need not shuffle the tables.
+    rows = None
+    if limit is not None:
+        fresh = store(fresh, "answers")
+        rows = fresh.count()
+    matched, unmatched = split_unmatched(fresh, reviews, rows)
+    new = last_label_per_review(matched)
+    merged = upsert_labels(labels, new if limit is None else store(new, "labels"), as_of, rows)
     return BacklogRun(merged, backlog_summary(fresh), unmatched)

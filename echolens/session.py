@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +56,18 @@ def materialize(df: DataFrame) -> DataFrame:
     """Compute once into the shared folder, so that several consumers read it instead of recomputing it."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet and read it back: columns can be pruned, lost executors cost nothing."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, where NULL equals NULL. The keys of ``right`` do not appear in the result."""
+    renamed = right.withColumnsRenamed({key: f"_right_{key}" for key in keys})
+    condition = reduce(and_, [left[key].eqNullSafe(renamed[f"_right_{key}"]) for key in keys])
+    joined = left.join(renamed, condition, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_right_{key}" for key in keys])

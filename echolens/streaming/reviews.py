@@ -17,13 +17,18 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from echolens import schemas as S
-from echolens.operators.labeling import Labeler, label_reviews
+from echolens.operators.crawl import LIST_KEY, apply_early_stop
+from echolens.operators.labeling import Labeler, label_reviews, split_unmatched
 from echolens.operators.merge import BROADCAST_ROWS, LABEL_UPDATES, REVIEW_UPDATES, with_label_ids
 from echolens.plans.collect import check_reviews, reviews_to_store
 from echolens.plans.label import last_label_per_review
+from echolens.session import null_safe_join, store
 from echolens.sources.readers import explode_pages, page_columns
 
 REVIEW_LOG, LABEL_LOG, QUARANTINE = "review_log", "label_log", "review_quarantine"
+PAGE_LOG, UNMATCHED = "page_log", "label_unmatched"
+# Entries before the first batch: a compacted log's two, and the empty one that gives a new log its folder.
+COMPACT_FIRST, COMPACT_LAST, EMPTY = -2, -1, -3
 BATCH = "batch_id"
 _STAMPS = ("created_at", "updated_at")
 
@@ -54,19 +59,28 @@ def start_batches(
     return writer.trigger(**(trigger or {"processingTime": "30 seconds"})).start()
 
 
+def _log_reviews(raw: DataFrame, table_root: str, batch_id: int, as_of: datetime | None, strict: bool) -> None:
+    raw = raw.persist()  # read once for the accepted and once for the quarantined rows
+    try:
+        collected = check_reviews(raw, strict)
+        _append(reviews_to_store(collected.accepted), table_root, REVIEW_LOG, batch_id, _stamp(as_of))
+        collected.quarantined.write.mode("overwrite").parquet(f"{table_root}/{QUARANTINE}/{BATCH}={batch_id}")
+    finally:
+        raw.unpersist()
+
+
 def ingest_raw(
-    stream: DataFrame, table_root: str, checkpoint: str, trigger: dict | None = None, as_of: datetime | None = None
+    stream: DataFrame,
+    table_root: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+    as_of: datetime | None = None,
+    strict: bool = False,
 ) -> StreamingQuery:
     """Normalise, validate, deduplicate and log a stream of raw review rows; bad rows go to quarantine."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()  # read once for the accepted and once for the quarantined rows
-        try:
-            collected = check_reviews(batch)
-            _append(reviews_to_store(collected.accepted), table_root, REVIEW_LOG, batch_id, _stamp(as_of))
-            collected.quarantined.write.mode("overwrite").parquet(f"{table_root}/{QUARANTINE}/{BATCH}={batch_id}")
-        finally:
-            batch.unpersist()
+        _log_reviews(batch, table_root, batch_id, as_of, strict)
 
     return start_batches(stream, each, checkpoint, trigger)
 
@@ -78,10 +92,28 @@ def stream_ingest(
     checkpoint: str,
     trigger: dict | None = None,
     as_of: datetime | None = None,
+    strict: bool = False,
 ) -> StreamingQuery:
-    """Ingest landed page files as they arrive."""
-    pages = spark.readStream.schema(S.REVIEW_PAGE).json(in_path)
-    return ingest_raw(explode_pages(page_columns(pages)), table_root, checkpoint, trigger, as_of)
+    """Ingest landed page files as they arrive, with the early stop of the batch path.
+
+    Pages are logged as they land. Of the lists that a batch touches, the pages before the first empty, failed or
+    missing one *so far* are due, and those that were not due before the batch are ingested with it. So a page that
+    landed ahead of its turn waits in the page log until the gap before it is filled, and once all files are in, the
+    reviews are those of the batch path. A page already ingested is not taken back by a bad copy that lands later.
+    """
+    pages = page_columns(spark.readStream.schema(S.REVIEW_PAGE).json(in_path))
+    logged = T.StructType([*pages.schema.fields, T.StructField(BATCH, T.LongType())])
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table_root}/{PAGE_LOG}/{BATCH}={batch_id}")
+        log = spark.read.schema(logged).parquet(f"{table_root}/{PAGE_LOG}").where(F.col(BATCH) <= batch_id)
+        touched = log.where(F.col(BATCH) == batch_id).select(*LIST_KEY).distinct()
+        seen = null_safe_join(log, touched, LIST_KEY, "left_semi")
+        before = apply_early_stop(seen.where(F.col(BATCH) < batch_id))
+        due = null_safe_join(apply_early_stop(seen), before.select(*LIST_KEY, "page", BATCH), [*LIST_KEY, "page", BATCH], "left_anti")
+        _log_reviews(explode_pages(due.drop(BATCH)), table_root, batch_id, as_of, strict)
+
+    return start_batches(pages, each, checkpoint, trigger)
 
 
 def _fold(log: DataFrame, key: str, updates: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -113,6 +145,17 @@ def current_labels(spark: SparkSession, table_root: str) -> DataFrame:
     return _fold(log, "review_id", LABEL_UPDATES, S.LABELS.fieldNames())
 
 
+def compact_log(spark: SparkSession, table_root: str, out_root: str, name: str = REVIEW_LOG) -> None:
+    """Write a log folded to two entries to the fresh ``out_root``, so that reads no longer grow with the batches.
+
+    The first entry holds each row as first stored with its creation time, the second the row as last updated; folding
+    them gives the table again, and batches logged to ``out_root`` later come after both.
+    """
+    current = current_reviews(spark, table_root) if name == REVIEW_LOG else current_labels(spark, table_root)
+    _append(current, out_root, name, COMPACT_FIRST, F.col("created_at"))
+    _append(current, out_root, name, COMPACT_LAST, F.col("updated_at"))
+
+
 def stream_label(
     spark: SparkSession,
     table_root: str,
@@ -128,6 +171,7 @@ def stream_label(
     """Label reviews as they enter the review log; those an earlier batch has labeled are left out.
 
     Labels logged by a first attempt of the same batch do not count, so a replay labels the whole batch again.
+    Answers for reviews that are not in the review log go to a quarantine folder of the batch.
     """
     schema = T.StructType([*_logged(S.REVIEWS).fields, T.StructField(BATCH, T.LongType())])
     arriving = spark.readStream.schema(schema).parquet(f"{table_root}/{REVIEW_LOG}").select("id", "text", BATCH)
@@ -136,7 +180,7 @@ def stream_label(
 
     def each(batch: DataFrame, batch_id: int) -> None:
         if batch_id == 0:
-            _append(nothing, table_root, LABEL_LOG, -1, _stamp(as_of))
+            _append(nothing, table_root, LABEL_LOG, EMPTY, _stamp(as_of))
         log = _read_log(batch.sparkSession, table_root, LABEL_LOG, S.LABELS)
         done = log.where(F.col(BATCH) < batch_id).select(F.col("review_id").alias("id"))
         batch = batch.persist()
@@ -145,8 +189,12 @@ def stream_label(
                 # Only the id column of the log is scanned and nothing of it is shuffled.
                 done = F.broadcast(done.join(F.broadcast(batch.select("id")), "id", "left_semi").distinct())
             fresh = batch.groupBy("id").agg(F.max_by("text", BATCH).alias("text")).join(done, "id", "left_anti")
-            labels = last_label_per_review(label_reviews(fresh, taxonomy, labeler, batch_size, model, concurrency))
-            _append(with_label_ids(labels), table_root, LABEL_LOG, batch_id, _stamp(as_of))
+            # Answers are written before two results read them, so no call is made twice.
+            answers = store(label_reviews(fresh, taxonomy, labeler, batch_size, model, concurrency), "stream-answers")
+            known = spark.read.schema(schema).parquet(f"{table_root}/{REVIEW_LOG}").select("id")
+            matched, unmatched = split_unmatched(answers, known, answers.count())
+            _append(with_label_ids(last_label_per_review(matched)), table_root, LABEL_LOG, batch_id, _stamp(as_of))
+            unmatched.drop("answer_ord").write.mode("overwrite").parquet(f"{table_root}/{UNMATCHED}/{BATCH}={batch_id}")
         finally:
             batch.unpersist()
 

@@ -25,7 +25,7 @@ def test_early_stop_cases(spark):
         "all": ([(1, 1, None), (2, 1, None), (3, 1, None)], [1, 2, 3]),
         "gap": ([(1, 1, None), (3, 1, None)], [1]),
         "no_first": ([(2, 1, None)], []),
-        "ten": ([(p, 1, None) for p in range(1, 13)], list(range(1, 11))),
+        "ten": ([(p, 1, None) for p in range(1, 13)], list(range(1, 13))),
         "twice": ([(1, 1, None), (1, 0, None), (2, 1, None)], []),
     }
     data = [(name, "us", "recent", *page) for name, (pages, _) in cases.items() for page in pages]

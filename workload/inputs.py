@@ -36,7 +36,7 @@ def appearances(documents: DataFrame) -> DataFrame:
     countries = F.when(c("lang") == "en", english).otherwise(F.array(c("lang")))
     places = F.create_map(*[F.lit(v) for pair in enumerate(("us", "gb", "fr", "de", "es")) for v in pair[::-1]])
     return (
-        documents.where(c("lang").isin("en", "fr", "de", "es"))
+        documents
         .select("doc_id", "text", "source", F.explode(countries).alias("country_code"), sorts.alias("sorts"))
         .select("doc_id", "text", "source", "country_code", F.posexplode("sorts").alias("sort_ord", "sort_method"))
         .select(
@@ -46,7 +46,7 @@ def appearances(documents: DataFrame) -> DataFrame:
             "country_code",
             "sort_method",
             "sort_ord",
-            places[c("country_code")].alias("country_ord"),
+            F.coalesce(places[c("country_code")], F.lit(5)).alias("country_ord"),
             (c("doc_id") % 10 + 1).cast("int").alias("page"),
             c("doc_id").alias("pos"),
             F.when(c("doc_id") % 11 == 0, None)
@@ -75,10 +75,10 @@ def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(c("doc_id") % 13 == 0, "").otherwise(F.concat(F.lit("user"), (c("doc_id") % 97).cast("string"))).alias("user_name"),
         F.lit(None).cast("string").alias("user_url"),
         F.lit(None).cast("string").alias("version"),
-        (c("doc_id") % 6).cast("int").alias("score"),
+        F.when(c("doc_id") % 12 != 11, (c("doc_id") % 6).cast("int")).alias("score"),
         F.substring("text", 1, 40).alias("title"),
         c("text"),
-        F.lit(None).cast("string").alias("url"),
+        F.when(c("doc_id") % 7 == 0, "not a url").alias("url"),
         F.date_format(hours_from_2024(c("doc_id")), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("date"),
         F.lit(None).cast("string").alias("reply_date"),
         F.lit(None).cast("string").alias("reply_text"),

@@ -1,6 +1,5 @@
 """The same results in DuckDB SQL, written from the semantics and not from the Spark code.
 
-Queries without an entry: ``sample_logs`` depends on Spark's hash function.
 """
 
 from __future__ import annotations
@@ -26,7 +25,8 @@ CTES = {
         JOIN (SELECT 'recent' AS sort_method, 0 AS sort_ord UNION ALL SELECT 'helpful', 1) s
           ON s.sort_ord = 0 OR doc_id % 3 = 0
         JOIN (SELECT 'en' AS l, 'us' AS country, 0 AS country_ord UNION ALL SELECT 'en', 'gb', 1
-              UNION ALL SELECT 'fr', 'fr', 2 UNION ALL SELECT 'de', 'de', 3 UNION ALL SELECT 'es', 'es', 4) c
+              UNION ALL SELECT 'fr', 'fr', 2 UNION ALL SELECT 'de', 'de', 3 UNION ALL SELECT 'es', 'es', 4
+              UNION ALL SELECT DISTINCT lang, lang, 5 FROM documents WHERE lang NOT IN ('en', 'fr', 'de', 'es')) c
           ON c.l = lang AND (c.country <> 'gb' OR doc_id % 4 = 0)""",
     "reviews": """
         SELECT id, n, app_id, user_name, version, score, title, text, date, COALESCE(votes, 0) AS helpful_votes,
@@ -152,7 +152,7 @@ CTES = {
     "landed": """
         SELECT doc_id, 'r' || CAST(doc_id AS VARCHAR) AS id, 'app' || CAST(doc_id // 100 AS VARCHAR) AS app_id,
           CASE WHEN doc_id % 13 = 0 THEN 'Anonymous' ELSE 'user' || CAST(doc_id % 97 AS VARCHAR) END AS user_name,
-          CAST(doc_id % 6 AS INT) AS score, substring(text, 1, 40) AS title, text,
+          CASE WHEN doc_id % 12 <> 11 THEN CAST(doc_id % 6 AS INT) END AS score, substring(text, 1, 40) AS title, text,
           TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' HOUR * CAST(doc_id AS INT) AS date,
           CAST(doc_id % 17 AS INT) AS helpful_votes, upper(documents.lang) AS country
         FROM documents JOIN lstop ON lstop.block = doc_id // 100 AND lstop.lang = documents.lang AND (doc_id // 10) % 10 + 1 < lstop.stop""",
@@ -240,11 +240,22 @@ oracle("crawl_early_stop", "pages", """
       SELECT 1 FROM pages g WHERE g.app_id = p.app_id AND g.country_code = p.country_code AND g.sort_method = p.sort_method AND g.page = w.x AND NOT g.failed))""")
 oracle("collect_landed_pages", "landed", f"""
     SELECT id, app_id, user_name, 'Unknown' AS version, score, title, text, {iso("date")} AS date, helpful_votes, country
-    FROM landed WHERE score BETWEEN 1 AND 5""")
+    FROM landed WHERE score IS NULL OR score BETWEEN 1 AND 5""")
 oracle("quarantine_landed_pages", "landed", "SELECT id, app_id, score, 'score: range' AS errors FROM landed WHERE score = 0")
 oracle("landed_pages_json", "lp", """
     SELECT 'app' || CAST(block AS VARCHAR) AS app_id, lang AS country_code, page, CAST(n_reviews AS INT) AS n_reviews,
       CASE WHEN failed THEN 'timeout' END AS error FROM lp""")
+oracle("landed_page_reviews", "", """
+    SELECT 'app' || CAST(doc_id // 100 AS VARCHAR) AS app_id, lang AS country_code, CAST((doc_id // 10) % 10 + 1 AS INT) AS page,
+      CAST(row_number() OVER (PARTITION BY doc_id // 10, lang ORDER BY doc_id) - 1 AS INT) AS pos, 'r' || doc_id AS id,
+      CASE WHEN doc_id % 13 = 0 THEN '' ELSE 'user' || CAST(doc_id % 97 AS VARCHAR) END AS user_name,
+      CASE WHEN doc_id % 12 <> 11 THEN CAST(doc_id % 6 AS INT) END AS score, substring(text, 1, 40) AS title, text,
+      CASE WHEN doc_id % 7 = 0 THEN 'not a url' END AS url, CAST(doc_id % 17 AS INT) AS helpful_votes
+    FROM documents""")
+oracle("early_stop_long_lists", "", """
+    SELECT source AS app_id, page FROM (
+      SELECT source, page, row_number() OVER (PARTITION BY source ORDER BY page) AS place
+      FROM (SELECT DISTINCT source, doc_id // 20 + 1 AS page FROM documents)) WHERE page = place""")
 oracle("dedup_reviews", "raw", """
     SELECT x.id, x.app_id, x.country_code, x.sort_method, x.page, x.pos, x.score, x.title, x.text, x.votes AS helpful_votes,
       y.sort_ord AS first_seen_sort_ord, y.country_ord AS first_seen_country_ord
@@ -331,6 +342,10 @@ oracle("label_batches_by_app", "", """
       SELECT 'r' || CAST(doc_id AS VARCHAR) AS id, source AS app_id, doc_id AS ord, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) - 1 AS p FROM documents)""")
 oracle("label_jobs", "numbered", """
     SELECT p // 20 AS batch_no, string_agg(id, ',' ORDER BY p) AS review_ids, 20 AS batch_size, 'gpt-4o-mini' AS model, 2 AS retry_attempts FROM numbered GROUP BY p // 20""")
+oracle("label_requests_untexted", "numbered", """
+    SELECT p // 20 AS batch_no, count(*)::INT AS n, 'Analyze these app reviews:' || chr(10) || chr(10) ||
+      string_agg((p % 20 + 1) || '. ID: ' || id || chr(10) || 'Text: "' || CASE WHEN p % 4 = 1 THEN 'null' ELSE text END || '"' || chr(10) || '---', chr(10) ORDER BY p) AS user_prompt
+    FROM numbered GROUP BY p // 20""")
 oracle("label_requests", "numbered", """
     SELECT p // 20 AS batch_no, string_agg(id, ',' ORDER BY p) AS review_ids, 'Analyze these app reviews:' || chr(10) || chr(10) ||
       string_agg((p % 20 + 1) || '. ID: ' || id || chr(10) || 'Text: "' || text || '"' || chr(10) || '---', chr(10) ORDER BY p) AS user_prompt
@@ -394,6 +409,9 @@ oracle("keep_last_finished", "j", """
       OR row_number() OVER (PARTITION BY type, status ORDER BY created_at DESC, id DESC) <= CASE status WHEN 'completed' THEN 50 ELSE 100 END""")
 _OLD = f"status IN ('completed', 'failed') AND created_at <= {AS_OF} - INTERVAL 1 DAY"
 _REMOVED = f"SELECT id, type, status FROM j WHERE {_OLD} QUALIFY row_number() OVER (PARTITION BY type, status ORDER BY created_at, id) <= 100"
+oracle("keep_last_5000", "j", """
+    SELECT id, NULLIF(type, 'export_data') AS type, status FROM j QUALIFY status NOT IN ('completed', 'failed')
+      OR row_number() OVER (PARTITION BY type, status ORDER BY created_at DESC, id DESC) <= 5000""")
 oracle("clean_queue", "j", f"SELECT id, type, status FROM j WHERE id NOT IN (SELECT id FROM ({_REMOVED}))")
 oracle("clean_queue_removed", "j", _REMOVED)
 oracle("job_options", "j", """
@@ -408,6 +426,10 @@ oracle("dlq_overview", "dt d", f"""
     FROM dt LEFT JOIN d ON d.type = dt.type AND position <= 5""")
 oracle("recent_dead_letters", "d", "SELECT type AS original_job_type, CAST(position AS INT) AS position, id FROM d WHERE position <= 5")
 oracle("dead_letter_page", "d", "SELECT type AS original_job_type, CAST(position AS INT) AS position, id FROM d WHERE position BETWEEN 11 AND 30")
+oracle("dead_letter_long_page", "d", "SELECT type AS original_job_type, position, id FROM d WHERE position BETWEEN 6 AND 2000")
+oracle("dead_letter_untyped", "d", """
+    SELECT original_job_type, position, id FROM (
+      SELECT NULLIF(type, 'export_data') AS original_job_type, id, row_number() OVER (PARTITION BY type ORDER BY failed_at DESC, id DESC) AS position FROM d)""")
 oracle("dead_letter_all", "d", "SELECT type AS original_job_type, position, id FROM d")
 _RETRY = "SELECT * FROM d WHERE type = 'label_reviews' AND failure_reason = 'Rate limit' ORDER BY failed_at DESC, id DESC LIMIT "
 oracle("dlq_retry_by_reason", "d", f"SELECT 'retry_' || original_job_id AS id, type, 5 AS priority, 0 AS delay, 3 AS max_attempts FROM ({_RETRY} 10)")
@@ -439,6 +461,9 @@ oracle("health_rollup", "", """
         WHEN bool_or(event_id % 997 <> 0 AND value > 40 AND value <= 60) THEN 'degraded' ELSE 'healthy' END AS status
     FROM events GROUP BY user_id % 50""")
 oracle("redact_logs", "", "SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'user' ELSE 'operation,user' END AS members FROM events")
+oracle("sample_logs", "", """
+    SELECT event_id AS id, CASE event_type WHEN 'view' THEN 'debug' WHEN 'error' THEN 'error' ELSE 'info' END AS level FROM events
+    WHERE event_type <> 'view' OR CAST('0x' || substring(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % 10000 < 1000""")
 oracle("sample_logs_levels", "", "SELECT CASE event_type WHEN 'error' THEN 'error' ELSE 'info' END AS level, count(*) AS n FROM events WHERE event_type <> 'view' GROUP BY 1")
 oracle("parameterized_query", "reviews", "SELECT country, count(*) AS n FROM reviews WHERE score >= 3 AND country <> 'GB' GROUP BY country")
 oracle("first_row", "j", "SELECT id, type FROM j WHERE status = 'failed' ORDER BY created_at DESC, id LIMIT 1")
@@ -446,7 +471,11 @@ oracle("exists_and_count", "j", "SELECT count(*) AS count, count(*) > 0 AS \"exi
 
 # --- streaming -----------------------------------------------------------------------------------------------
 
-oracle("stream_ingest", "reviews", f"SELECT id, app_id, user_name, score, title, text, helpful_votes, country, '{AS_OF_ISO}' AS updated_at FROM reviews")
+oracle("stream_ingest", "landed", f"""
+    SELECT id, app_id, user_name, score, title, text, {iso("date")} AS date, helpful_votes, country, '{AS_OF_ISO}' AS updated_at
+    FROM landed WHERE score IS NULL OR score BETWEEN 1 AND 5""")
+oracle("stream_label_unmatched", "", "SELECT 'ghost' || substring(id, 2) AS review_id FROM (SELECT 'r' || doc_id AS id, doc_id FROM documents) WHERE doc_id % 10 = 3")
+oracle("stream_ingest_raw", "reviews", f"SELECT id, app_id, user_name, score, title, text, helpful_votes, country, '{AS_OF_ISO}' AS updated_at FROM reviews")
 oracle("stream_label", "k", "SELECT review_id, theme, sentiment, severity, feature_request, direct_quote, confidence FROM k")
 oracle("stream_dedup", "reviews", f"SELECT id, {iso('date')} AS date FROM reviews")
 oracle("stream_queue_status", "j", "SELECT type, status, count(*) AS n FROM j GROUP BY type, status")

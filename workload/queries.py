@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from uuid import uuid4
 
@@ -220,6 +221,36 @@ def landed_pages_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("app_id", "country_code", "page", "n_reviews", "error")
 
 
+def _land(spark: SparkSession, sf_dir: str) -> str:
+    """The landed pages as the JSON files a crawler writes, member names and all."""
+    path = _scratch(spark, "landed")
+    names, inner = ({new: old for old, new in known.items()} for known in (readers.PAGE_NAMES, readers.RAW_NAMES))
+    pages = T.landed_pages(spark, sf_dir).drop("n_reviews")
+    members = pages.schema["reviews"].dataType.elementType.fieldNames()
+    written = F.transform("reviews", lambda r: F.struct(*[r[m].alias(inner.get(m, m)) for m in members]))
+    pages.withColumn("reviews", written).withColumnsRenamed(names).write.json(path)
+    return path
+
+
+@register
+def landed_page_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every member of every review of the landed files."""
+    rows = readers.explode_pages(readers.read_review_pages(spark, _land(spark, sf_dir)))
+    return rows.select(
+        "app_id", "country_code", "page", "pos", "id", "user_name", "score", "title", "text", "url", "helpful_votes"
+    )
+
+
+@register
+def early_stop_long_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One list per source with a page for every twenty documents; most have gaps, some are long."""
+    pages = T.table(spark, sf_dir, "documents").groupBy(
+        c("source").alias("app_id"), F.lit("us").alias("country_code"), F.lit("recent").alias("sort_method"),
+        (F.floor(c("doc_id") / 20) + 1).alias("page"),
+    ).agg(F.count("*").alias("n_reviews"), F.lit(None).cast("string").alias("error"))
+    return crawl.apply_early_stop(pages).select("app_id", "page")
+
+
 @register
 def dedup_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.dedup_reviews(T.raw_reviews(spark, sf_dir)).select(
@@ -509,6 +540,16 @@ def label_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("batch_no", F.array_join("review_ids", ",").alias("review_ids"), "batch_size", "model", "retry_attempts")
 
 
+@register
+def label_requests_untexted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests over reviews of which some have no text; each still has its place in the prompt."""
+    batches = backlog.number_batches(_to_label(spark, sf_dir).drop("app_id"), [c("ord").asc()])
+    made = labeling.label_requests(
+        batches.withColumn("text", F.when(c("position") % 4 != 2, c("text"))), S.DEFAULT_TAXONOMY
+    )
+    return made.select("batch_no", F.size("review_ids").alias("n"), "user_prompt")
+
+
 @register
 def label_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = backlog.number_batches(_to_label(spark, sf_dir).drop("app_id"), [c("ord").asc()])
@@ -664,6 +705,13 @@ def keep_last_finished(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.keep_last_finished(T.job_table(spark, sf_dir)).select("id", "type", "status")
 
 
+@register
+def keep_last_5000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quota beyond the size that windows serve, over jobs of which some have no type."""
+    rows = T.job_table(spark, sf_dir).withColumn("type", _untyped("type"))
+    return jobs.keep_last_finished(rows, 5000, 5000).select("id", "type", "status")
+
+
 @register
 def clean_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept, _ = jobs.clean_queue(T.job_table(spark, sf_dir), T.AS_OF)
@@ -726,6 +774,24 @@ def dead_letter_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deadletter.dead_letter_page(T.dead_letters(spark, sf_dir), 10, 29).select("original_job_type", "position", "id")
 
 
+@register
+def dead_letter_long_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deadletter.dead_letter_page(T.dead_letters(spark, sf_dir), 5, 1999).select(
+        "original_job_type", c("position").cast("bigint").alias("position"), "id"
+    )
+
+
+def _untyped(column: str):
+    return F.when(c(column) != "export_data", c(column))
+
+
+@register
+def dead_letter_untyped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dead letters of which some have no type; they page like a type of their own."""
+    letters = T.dead_letters(spark, sf_dir).withColumn("original_job_type", _untyped("original_job_type"))
+    return deadletter.dead_letter_page(letters, 0, -1).select("original_job_type", "position", "id")
+
+
 @register
 def dead_letter_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deadletter.dead_letter_page(T.dead_letters(spark, sf_dir), 0, -1).select("original_job_type", "position", "id")
@@ -922,6 +988,38 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @register
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed page files through the stream with early stop; the same reviews as the batch path stores."""
+    root = _scratch(spark, "ingest")
+    review_streams.stream_ingest(spark, _land(spark, sf_dir), root, f"{root}/checkpoint", DRAIN, T.AS_OF).awaitTermination()
+    rows = review_streams.current_reviews(spark, root)
+    return _iso(
+        rows.select("id", "app_id", "user_name", "score", "title", "text", "date", "helpful_votes", "country", "updated_at"),
+        "date", "updated_at",
+    )
+
+
+class _Ghosts:
+    """A labeler that also answers for reviews nobody asked about."""
+
+    def __call__(self, prompt: str, batch: list[tuple[str, str]]) -> str:
+        answers = [{"reviewId": i, "theme": "Features"} for i, _ in batch]
+        answers += [{"reviewId": "ghost" + i[1:], "theme": "Features"} for i, _ in batch if i.endswith("3")]
+        return json.dumps(answers)
+
+
+@register
+def stream_label_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _scratch(spark, "ghosts")
+    raw = T.appearances(_stream(spark, sf_dir, "documents"))
+    review_streams.ingest_raw(raw, root, f"{root}/checkpoint", DRAIN, T.AS_OF).awaitTermination()
+    review_streams.stream_label(
+        spark, root, f"{root}/checkpoint-label", S.DEFAULT_TAXONOMY, _Ghosts(), trigger=DRAIN, as_of=T.AS_OF
+    ).awaitTermination()
+    return spark.read.schema("review_id string").parquet(f"{root}/{review_streams.UNMATCHED}").select("review_id")
+
+
+@register
+def stream_ingest_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _scratch(spark, "ingest")
     raw = T.appearances(_stream(spark, sf_dir, "documents"))
     review_streams.ingest_raw(raw, root, f"{root}/checkpoint", DRAIN, T.AS_OF).awaitTermination()
