@@ -124,6 +124,22 @@ def fold_versions(
     )
 
 
+def crawl_results(summary: DataFrame, runs: DataFrame) -> DataFrame:
+    """Result rows of crawl jobs: ``summary`` for those that ended well, else the error; with the time they took.
+
+    ``runs`` has ``app_id, started_at, finished_at`` and ``error`` (NULL: none), one row per job; processing time is
+    in milliseconds.
+    """
+    taken = F.unix_millis("finished_at") - F.unix_millis("started_at")
+    ended = F.col("error").isNull()
+    names = [name for name in summary.columns if name not in ("app_id", "success", "reviews_scraped")]
+    return runs.join(summary.drop("success"), "app_id", "left").select(
+        "app_id", ended.alias("success"), *[F.when(ended, F.col(name)).alias(name) for name in names],
+        F.when(~ended, F.col("error")).alias("error"), taken.alias("processing_time"),
+        F.when(ended, F.coalesce("reviews_scraped", F.lit(0))).otherwise(0).alias("items_processed"),
+    )
+
+
 def crawl_summary(reviews: DataFrame, plan: DataFrame, apps: DataFrame) -> DataFrame:
     """Per app: unique reviews, countries, sort orders and title. Apps without reviews report zero."""
     counts = reviews.groupBy("app_id").agg(F.count("*").alias("reviews_scraped"))

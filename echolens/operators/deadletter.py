@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from echolens import schemas as S
 from echolens.functions.coercion import text_or
-from echolens.operators.jobs import BROADCAST_IDS, FINISHED, without_ids, zero_fill_types
+from echolens.operators.jobs import BROADCAST_IDS, FINISHED, queue_stats, recent_jobs, without_ids, zero_fill_types
 from echolens.operators.ordinals import first_per_group, with_position
 
 DEFAULT_RETRY_JOBS = 10
@@ -96,6 +96,28 @@ def dlq_overview(dlq: DataFrame, n: int = 5) -> DataFrame:
     return dlq_stats(dlq).join(newest, "type", "left")
 
 
+def queue_details(jobs: DataFrame, dlq: DataFrame, n: int = 5) -> DataFrame:
+    """One row per type: job counts, the newest jobs, and its dead letters by reason with the newest failures.
+
+    The newest jobs (ten of the newest ``n`` active, completed and failed ones) carry their times and the reason they
+    failed for, as far as ``jobs`` has those columns.
+    """
+    wanted = [name for name in ("created_at", "processed_at", "finished_at", "error_message") if name in jobs.columns]
+    newest = (
+        recent_jobs(jobs, n)
+        .groupBy("type")
+        .agg(F.array_sort(F.collect_list(F.struct("position", "id", "status", *wanted))).alias("recent_jobs"))
+    )
+    reasons = dlq_reasons(dlq).groupBy("type").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("failure_reason", "jobs")))).alias("by_failure_reason")
+    )
+    failures = dlq_overview(dlq, n).select(
+        "type", F.col("total").alias("dlq_total"), F.col("recent_jobs").alias("recent_failures")
+    )
+    counted = queue_stats(jobs)
+    return counted.join(newest, "type", "left").join(reasons, "type", "left").join(failures, "type", "left")
+
+
 def _retried(picked: DataFrame, priority: int | None, delay: int | None) -> DataFrame:
     return picked.select(
         F.concat(F.lit("retry_"), F.col("original_job_id")).alias("id"),
@@ -146,6 +168,23 @@ def clean_dead_letters(dlq: DataFrame, as_of: datetime, days: int = 30) -> tuple
     return _split_old(dlq, F.col("status").isin(*FINISHED) & (F.col("failed_at") <= cutoff))
 
 
+def run_cleanup(
+    target: str, reviews: DataFrame, jobs: DataFrame, as_of: datetime, days: int = 30, dry_run: bool = False
+) -> DataFrame:
+    """Clean-up by the target of its job: reviews, or failed jobs, older than ``days``.
+
+    Gives the rows that stay, of a dry run those that would go. Only failed jobs go; a job of another state stays
+    whatever its age.
+    """
+    if target == "old_reviews":
+        return cleanup(reviews, "date", as_of, days, dry_run)
+    if target == "failed_jobs":
+        old = F.col("created_at") < F.lit(as_of - timedelta(days=days)).cast("timestamp")
+        kept, gone = _split_old(jobs, (F.col("status") == "failed") & old)
+        return gone if dry_run else kept
+    raise ValueError(f"clean-up target is not supported: {target}")
+
+
 def cleanup(df: DataFrame, ts_col: str, as_of: datetime, days: int = 30, dry_run: bool = False) -> DataFrame:
     """What is left after rows older than ``days`` are dropped; a dry run returns the rows that would go."""
     cutoff = F.lit(as_of - timedelta(days=days)).cast("timestamp")

@@ -246,6 +246,41 @@ def swot_json(swot_rows: DataFrame) -> DataFrame:
     return lists.agg(F.to_json(F.struct(*pivoted)).alias("swot"))
 
 
+def insights_json(themes: DataFrame, overall: DataFrame, totals: DataFrame, quotes: DataFrame) -> DataFrame:
+    """One JSON object with all insights, the input of a report elsewhere: one row, column ``insights``.
+
+    ``themes`` is ``theme_insights``, ``quotes`` at most fifty rows of ``feature_request_quotes``. The object has an
+    entry per theme, so it grows with the taxonomy and not with the reviews.
+    """
+    by_theme = F.struct(
+        F.col("mentions").alias("count"), "positive", "negative", "neutral", F.col("severity_sum").alias("severitySum"),
+        F.col("severity_count").alias("severityCount"), F.col("average_severity").alias("averageSeverity"),
+    )
+    entries = F.sort_array(F.collect_list(F.struct("first_ord", "theme", by_theme.alias("numbers"), "requests")))
+    folded = themes.agg(entries.alias("entries"))
+    asked = F.filter("entries", lambda e: e["requests"] > 0)
+
+    def pairs(rows: Column, value: str) -> Column:
+        return F.map_from_entries(F.transform(rows, lambda e: F.struct(e["theme"], e[value])))
+
+    listed = quotes.agg(F.sort_array(F.collect_list(F.struct("ord", "theme", "quote", "review_id"))).alias("quotes"))
+    shown = F.transform("quotes", lambda q: F.struct(q["theme"].alias("theme"), q["quote"].alias("quote"), q["review_id"].alias("review_id")))
+    tone = overall.select(F.struct("positive", "negative", "neutral").alias("tone"))
+    # Four frames of one row each.
+    joined = folded.join(listed, how="cross").join(tone, how="cross").join(totals, how="cross")
+    return joined.select(
+        F.to_json(
+            F.struct(
+                F.col("total_reviews").alias("totalReviews"), pairs(F.col("entries"), "numbers").alias("themes"),
+                F.struct(
+                    F.col("feature_requests").alias("count"), pairs(asked, "requests").alias("themes"), shown.alias("quotes")
+                ).alias("featureRequests"),
+                F.col("tone").alias("overallSentiment"), F.col("skipped_reviews").alias("skippedReviews"),
+            )
+        ).alias("insights")
+    )
+
+
 # --- label summaries -----------------------------------------------------------------------------------------
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from echolens import schemas as S
 from echolens.functions.coercion import is_kind, with_exact_json
-from echolens.operators.normalize import breaks_batch, clean_labels
+from echolens.operators.normalize import breaks_batch, clean_labels, restrict_to_taxonomy
 
 # A labeler gets the system prompt and the (id, text) pairs of one batch, and returns the response text or raises.
 Labeler = Callable[[str, list[tuple[str, str]]], str]
@@ -108,6 +108,12 @@ def fallback_labels(failed: DataFrame, members: DataFrame, model: str, on: Seque
     return hit.select(*on, *_fallback_columns(F.col("id"), model))
 
 
+def theme_names(taxonomy: dict | list) -> list[str]:
+    """Names of the themes of a taxonomy, which holds names or objects with a name."""
+    themes = taxonomy.get("themes", []) if isinstance(taxonomy, dict) else taxonomy
+    return [theme["name"] if isinstance(theme, dict) else theme for theme in themes]
+
+
 def labels_from_responses(responses: DataFrame, model: str = S.DEFAULT_LABEL_MODEL) -> DataFrame:
     """Labels of all batches in one pass: cleaned elements, or the fallback for a failed batch.
 
@@ -177,9 +183,14 @@ def label_reviews(
     batch_size: int = S.DEFAULT_BATCH_SIZE,
     model: str = S.DEFAULT_LABEL_MODEL,
     concurrency: int | None = None,
+    strict: bool = False,
 ) -> DataFrame:
-    """Labels for all reviews, with the fallback where a call or a response failed."""
-    return labels_from_responses(call_labeler(reviews, taxonomy, labeler, batch_size, concurrency), model)
+    """Labels for all reviews, with the fallback where a call or a response failed.
+
+    ``strict`` turns a theme that the taxonomy does not have into general feedback; otherwise it stays as answered.
+    """
+    labels = labels_from_responses(call_labeler(reviews, taxonomy, labeler, batch_size, concurrency), model)
+    return restrict_to_taxonomy(labels, theme_names(taxonomy)) if strict else labels
 
 
 def split_unmatched(

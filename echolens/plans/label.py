@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from echolens import schemas as S
 from echolens.operators.backlog import unlabeled_reviews
 from echolens.operators.insights import backlog_summary
-from echolens.operators.labeling import Labeler, call_labeler, labels_from_responses, split_unmatched
+from echolens.operators.labeling import Labeler, call_labeler, labels_from_responses, split_unmatched, theme_names
 from echolens.operators.merge import upsert_labels
+from echolens.operators.normalize import restrict_to_taxonomy
 from echolens.session import materialize, store
 
 
@@ -42,6 +43,7 @@ def label_backlog(
     batch_size: int = S.DEFAULT_BATCH_SIZE,
     model: str = S.DEFAULT_LABEL_MODEL,
     concurrency: int | None = None,
+    strict: bool = False,
 ) -> BacklogRun:
     """New label table, one-row summary, and labels for unknown reviews.
 
@@ -51,6 +53,8 @@ def label_backlog(
     backlog = unlabeled_reviews(reviews, labels, limit)
     responses = materialize(call_labeler(backlog, taxonomy, labeler, batch_size, concurrency))
     fresh = labels_from_responses(responses, model)
+    if strict:
+        fresh = restrict_to_taxonomy(fresh, theme_names(taxonomy))
     # With a limit the new labels are few: parsed and counted once, they need not shuffle the tables.
     rows = None
     if limit is not None:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from echolens import schemas as S
-from echolens.functions.text import iso_millis
+from echolens.functions.text import iso_millis, sanitize_name
 from echolens.operators.backlog import enrich_reviews
 
 # Everything is quoted and nothing trimmed: review texts hold line breaks, quotes, commas and outer blanks.
@@ -23,23 +23,37 @@ CSV_OPTIONS = {
 LABEL_COLUMNS = ("theme", "sentiment", "severity", "feature_request", "direct_quote")
 
 
+def _titled_columns(reviews: DataFrame) -> list[Column]:
+    timed = {name for name, kind in reviews.dtypes if kind == "timestamp"}
+    return [
+        (iso_millis(F.col(name)) if name in timed else F.col(name)).alias(title) for name, title in S.REVIEW_CSV_HEADERS
+    ]
+
+
 def titled_reviews(reviews: DataFrame) -> DataFrame:
     """The 13 review columns in their fixed order under their CSV titles, times as ISO text."""
-    timed = {name for name, kind in reviews.dtypes if kind == "timestamp"}
-    return reviews.select(
-        *[
-            (iso_millis(F.col(name)) if name in timed else F.col(name)).alias(title)
-            for name, title in S.REVIEW_CSV_HEADERS
-        ]
-    )
+    return reviews.select(*_titled_columns(reviews))
 
 
 def write_reviews_csv(reviews: DataFrame, path: str) -> bool:
-    """Write the review CSV; with no rows nothing is written and False returned."""
-    if reviews.isEmpty():
-        return False
-    titled_reviews(reviews).write.options(**CSV_OPTIONS).csv(path)
-    return True
+    """Write the review CSV and say whether it has rows; without any the folder holds none."""
+    counted = Observation()
+    rows = titled_reviews(reviews).observe(counted, F.count(F.lit(1)).alias("rows"))
+    # Spark's writer makes a folder even for no rows; they are counted while they are written, in one run of the plan.
+    rows.write.options(**CSV_OPTIONS).csv(path)
+    return counted.get["rows"] > 0
+
+
+def write_reviews_csv_by_app(reviews: DataFrame, apps: DataFrame, root: str) -> None:
+    """One folder of CSV per app under ``root``, named ``app=`` and the app's sanitised title.
+
+    Apps without a title, or unknown ones, go by the name of an unknown app; apps of one name share a folder.
+    """
+    titles = apps.select(F.col("id").alias("app_id"), F.col("title").alias("_title"))
+    named = reviews.join(titles, "app_id", "left").withColumn(
+        "app", sanitize_name(F.coalesce(F.nullif("_title", F.lit("")), F.lit(S.UNKNOWN_APP)))
+    )
+    named.select("app", *_titled_columns(named)).write.partitionBy("app").options(**CSV_OPTIONS).csv(root)
 
 
 def labeled_reviews(reviews: DataFrame, labels: DataFrame) -> DataFrame:
@@ -80,6 +94,20 @@ def export_reviews(
     return enrich_reviews(chosen, labels) if include_labels else chosen
 
 
+def run_export(reviews: DataFrame, labels: DataFrame, job: dict, path: str) -> None:
+    """Write what an export job asks for: ``appId``, ``format`` (csv or json), ``includeLabels`` and ``dateRange``.
+
+    The members and their defaults are those of the job's payload after validation.
+    """
+    dates = job.get("dateRange") or {}
+    start, end = (datetime.fromisoformat(dates[name]) if name in dates else None for name in ("startDate", "endDate"))
+    fmt = job.get("format", "csv")
+    if fmt not in ("csv", "json"):
+        raise ValueError(f"format is not supported: {fmt}")
+    rows = export_reviews(reviews, labels, job["appId"], job.get("includeLabels", True), start, end)
+    write_result(rows, path, fmt)
+
+
 def write_result(df: DataFrame, path: str, fmt: str = "database") -> None:
     """Write a job result as csv, json, or a table (Parquet)."""
     if fmt == "csv":

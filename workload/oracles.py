@@ -219,6 +219,12 @@ oracle("swot_json", "s", """
       'weaknesses': COALESCE(list(message ORDER BY ord) FILTER (category = 'weaknesses'), []),
       'opportunities': COALESCE(list(message ORDER BY ord) FILTER (category = 'opportunities'), []),
       'threats': COALESCE(list(message ORDER BY ord) FILTER (category = 'threats'), [])}) AS VARCHAR) AS swot FROM s""")
+oracle("insights_json", "t a l", """
+    SELECT theme, mentions AS count, positive, negative, neutral, average_severity AS "averageSeverity", requests,
+      (SELECT count(*) FROM l) AS total, 0 AS skipped,
+      (SELECT count(*) FILTER (tone = 'positive') FROM a) AS all_positive,
+      least(50, (SELECT count(*) FILTER (feature_request = 'Y') FROM a))::INT AS quotes,
+      (SELECT arg_min('quote of ' || review_id, ord) FILTER (feature_request = 'Y') FROM a) AS first_quote FROM t""")
 oracle("avg_confidence", "sl", """
     SELECT theme, floor(CAST(sum(CAST(confidence AS DECIMAL(18, 4))) AS DOUBLE) / count(*) * 100 + 0.5) / 100 AS average_confidence FROM sl GROUP BY theme""")
 oracle("sentiment_breakdown", "sl", """
@@ -266,6 +272,12 @@ oracle("crawl_summary", "reviews app_rows", """
     SELECT a.id AS app_id, a.title AS app_title, COALESCE(n, 0) AS reviews_scraped, 5 AS countries_processed, 2 AS sort_methods_used, true AS success,
       'Successfully scraped ' || COALESCE(n, 0) || ' unique reviews for app ' || a.id AS message
     FROM app_rows a LEFT JOIN (SELECT app_id, count(*) AS n FROM reviews GROUP BY app_id) r ON r.app_id = a.id""")
+oracle("crawl_results", "reviews app_rows", """
+    SELECT a.id AS app_id, n % 3 <> 0 AS success, CASE WHEN n % 3 <> 0 THEN a.title END AS app_title,
+      CASE WHEN n % 3 <> 0 THEN 5::BIGINT END AS countries_processed, CASE WHEN n % 3 <> 0 THEN 2::BIGINT END AS sort_methods_used,
+      CASE WHEN n % 3 <> 0 THEN 'Successfully scraped ' || COALESCE(k, 0) || ' unique reviews for app ' || a.id END AS message,
+      CASE WHEN n % 3 = 0 THEN 'timeout of ' || a.id END AS error, n * 250 AS processing_time, CASE WHEN n % 3 <> 0 THEN COALESCE(k, 0) ELSE 0 END AS items_processed
+    FROM (SELECT *, CAST(substring(id, 4) AS BIGINT) AS n FROM app_rows) a LEFT JOIN (SELECT app_id, count(*) AS k FROM reviews GROUP BY app_id) r ON r.app_id = a.id""")
 oracle("normalize_reviews", "raw", f"""
     SELECT id, sort_ord, user_name, version, score, title, text, COALESCE(votes, 0) AS helpful_votes, upper(country_code) AS country, {iso("date")} AS date FROM raw""")
 oracle("normalize_apps", "app_rows", "SELECT * FROM app_rows")
@@ -362,6 +374,10 @@ oracle("label_backlog_labels", "sl k", f"""
     SELECT id, review_id, theme, sentiment, severity, feature_request, direct_quote, confidence, model_version, '{AS_OF_ISO}' AS created_at, '{AS_OF_ISO}' AS updated_at FROM sl
     UNION ALL SELECT 'label_' || sha256(review_id), review_id, theme, sentiment, severity, feature_request, direct_quote, confidence, 'm2', '{LATER_ISO}', '{LATER_ISO}'
     FROM k WHERE review_id NOT IN (SELECT review_id FROM sl)""")
+oracle("label_reviews_strict", "k", "SELECT review_id, CASE WHEN theme = 'Pricing' THEN 'General Feedback' ELSE theme END AS theme FROM k")
+oracle("label_backlog_limited", "reviews sl k", """
+    SELECT review_id, theme, sentiment, severity FROM k WHERE review_id IN (
+      SELECT id FROM reviews WHERE id NOT IN (SELECT review_id FROM sl) ORDER BY created_at DESC, id LIMIT 100)""")
 oracle("label_backlog_summary", "sl k", """
     SELECT true AS success, 'Successfully labeled ' || count(*) || ' previously unlabeled reviews' AS message, count(*) AS items_processed,
       floor(CAST(sum(CAST(confidence AS DECIMAL(18, 4))) AS DOUBLE) / count(*) * 100 + 0.5) / 100 AS average_confidence, count(*) FILTER (sentiment = 'positive') AS positive,
@@ -412,6 +428,14 @@ _REMOVED = f"SELECT id, type, status FROM j WHERE {_OLD} QUALIFY row_number() OV
 oracle("keep_last_5000", "j", """
     SELECT id, NULLIF(type, 'export_data') AS type, status FROM j QUALIFY status NOT IN ('completed', 'failed')
       OR row_number() OVER (PARTITION BY type, status ORDER BY created_at DESC, id DESC) <= 5000""")
+oracle("queue_details", "q dt d j", """
+    SELECT q.type, q.failed, dt.total AS dlq_total, r.rate_limited, least(5, dt.total)::INT AS failures, CAST(n.position AS INT) AS position, n.id, n.status
+    FROM q JOIN dt ON dt.type = q.type
+    LEFT JOIN (SELECT type, nullif(count(*) FILTER (failure_reason = 'Rate limit'), 0) AS rate_limited FROM d GROUP BY type) r ON r.type = q.type
+    LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY type ORDER BY created_at DESC, id DESC) AS position FROM (
+      SELECT * FROM j WHERE status IN ('active', 'completed', 'failed')
+      QUALIFY row_number() OVER (PARTITION BY type, status ORDER BY created_at DESC, id DESC) <= 5)) n ON n.type = q.type AND n.position <= 10""")
+oracle("cleanup_failed_jobs", "j", f"SELECT id, type, status FROM j WHERE status = 'failed' AND created_at < {AS_OF} - INTERVAL 10 DAY")
 oracle("clean_queue", "j", f"SELECT id, type, status FROM j WHERE id NOT IN (SELECT id FROM ({_REMOVED}))")
 oracle("clean_queue_removed", "j", _REMOVED)
 oracle("job_options", "j", """
@@ -446,6 +470,11 @@ oracle("export_reviews", "reviews sl", f"""
     SELECT r.id, {iso("date")} AS date, score, text, theme, sentiment, severity FROM reviews r LEFT JOIN sl ON sl.review_id = r.id WHERE r.app_id = 'src3' AND date <= {AS_OF}""")
 oracle("reviews_csv", "reviews", f"""
     SELECT id, country, user_name, score AS rating, title, text, {iso("date")} AS date, CAST(NULL AS VARCHAR) AS url, helpful_votes AS votes FROM reviews""")
+oracle("reviews_csv_by_app", "reviews app_rows", """
+    SELECT replace(a.title, ' ', '_') AS app, count(*) AS n, count(DISTINCT r.id) AS ids FROM reviews r JOIN app_rows a ON a.id = r.app_id GROUP BY 1""")
+oracle("export_job", "reviews", """
+    SELECT id, score, text, CAST(helpful_votes AS INT) AS helpful_votes FROM reviews
+    WHERE app_id = 'src3' AND date BETWEEN TIMESTAMP '2024-01-03 00:00:00' AND TIMESTAMP '2024-03-01 00:00:00'""")
 oracle("labeled_reviews_csv", "reviews sl", """
     SELECT r.id, country, theme, sentiment, severity, CAST(feature_request AS VARCHAR) AS feature_request FROM reviews r LEFT JOIN sl ON sl.review_id = r.id""")
 oracle("stored_tables", "reviews sl", """

@@ -161,6 +161,27 @@ def swot_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return insights.swot_json(insight_report(_analyses(spark, sf_dir)).swot)
 
 
+@register
+def insights_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The themes of the JSON object, with its totals beside each."""
+    rows = T.analysis_columns(spark, sf_dir).withColumn("direct_quote", F.concat(F.lit("quote of "), "review_id"))
+    analyses = normalize.analyses_from_columns(rows)
+    report = insight_report(analyses)
+    quotes = insights.feature_request_quotes(analyses)
+    made = insights.insights_json(report.themes, report.overall, report.totals, quotes)
+    schema = (
+        "totalReviews long, themes map<string, struct<count: long, positive: long, negative: long, neutral: long, averageSeverity: double>>,"
+        " featureRequests struct<count: long, themes: map<string, long>, quotes: array<struct<theme: string, quote: string, review_id: string>>>,"
+        " overallSentiment struct<positive: long, negative: long, neutral: long>, skippedReviews long"
+    )
+    read = made.select(F.from_json("insights", schema).alias("i")).select("i.*")
+    return read.select("*", F.explode("themes").alias("theme", "t")).select(
+        "theme", "t.*", F.coalesce(c("featureRequests.themes")[c("theme")], F.lit(0)).alias("requests"),
+        c("totalReviews").alias("total"), c("skippedReviews").alias("skipped"), c("overallSentiment.positive").alias("all_positive"),
+        F.size("featureRequests.quotes").alias("quotes"), c("featureRequests.quotes")[0]["quote"].alias("first_quote"),
+    )
+
+
 @register
 def avg_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return insights.average_confidence(T.stored_labels(spark, sf_dir), ["theme"])
@@ -265,6 +286,18 @@ def crawl_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.crawl_summary(T.stored_reviews(spark, sf_dir), plan, _fetched_apps(spark, sf_dir))
 
 
+@register
+def crawl_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of one crawl job per app; every third one failed."""
+    n = F.regexp_extract("app_id", r"([0-9]+)$", 1).cast("int")
+    started = F.lit(T.AS_OF).cast("timestamp")
+    runs = _apps(spark, sf_dir).select(
+        "app_id", started.alias("started_at"), F.timestamp_millis(F.unix_millis(started) + n * 250).alias("finished_at"),
+        F.when(n % 3 == 0, F.concat(F.lit("timeout of "), "app_id")).alias("error"),
+    )
+    return crawl.crawl_results(crawl_summary(spark, sf_dir), runs)
+
+
 @register
 def normalize_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = normalize.normalize_reviews(T.raw_reviews(spark, sf_dir))
@@ -633,6 +666,26 @@ def label_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_double(labels.drop("answer_ord"))
 
 
+@register
+def label_reviews_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Themes outside of the taxonomy become general feedback."""
+    themes = [theme for theme in S.DEFAULT_TAXONOMY["themes"] if theme["name"] != "Pricing"]
+    labels = labeling.label_reviews(
+        _to_label(spark, sf_dir), {"themes": themes}, LABELER, model="m1", concurrency=_cores(spark), strict=True
+    )
+    return labels.select("review_id", "theme")
+
+
+@register
+def label_backlog_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest hundred unlabeled reviews get labels."""
+    run = label_backlog(
+        T.stored_reviews(spark, sf_dir), T.stored_labels(spark, sf_dir), S.DEFAULT_TAXONOMY, LABELER, T.LATER, limit=100,
+        model="m2", concurrency=2,
+    )
+    return run.labels.where(c("model_version") == "m2").select("review_id", "theme", "sentiment", "severity")
+
+
 def _backlog_run(spark: SparkSession, sf_dir: str):
     return label_backlog(
         T.stored_reviews(spark, sf_dir), T.stored_labels(spark, sf_dir), S.DEFAULT_TAXONOMY, LABELER, T.LATER,
@@ -712,6 +765,24 @@ def keep_last_5000(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.keep_last_finished(rows, 5000, 5000).select("id", "type", "status")
 
 
+@register
+def queue_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per type and recent job, with the counts of the bundle."""
+    rows = deadletter.queue_details(T.job_table(spark, sf_dir), T.dead_letters(spark, sf_dir))
+    return rows.select(
+        "type", "failed", "dlq_total", c("by_failure_reason")["Rate limit"].alias("rate_limited"),
+        F.size("recent_failures").alias("failures"), F.explode_outer("recent_jobs").alias("job"),
+    ).select("type", "failed", "dlq_total", "rate_limited", "failures", "job.position", "job.id", "job.status")
+
+
+@register
+def cleanup_failed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = deadletter.run_cleanup(
+        "failed_jobs", T.stored_reviews(spark, sf_dir), T.job_table(spark, sf_dir), T.AS_OF, 10, dry_run=True
+    )
+    return gone.select("id", "type", "status")
+
+
 @register
 def clean_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept, _ = jobs.clean_queue(T.job_table(spark, sf_dir), T.AS_OF)
@@ -860,6 +931,28 @@ def reviews_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def reviews_csv_by_app(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per app folder of the CSV files."""
+    path = _scratch(spark, "csv-by-app")
+    apps = normalize_apps(spark, sf_dir)
+    writers.write_reviews_csv_by_app(T.stored_reviews(spark, sf_dir), apps, path)
+    rows = readers.read_reviews_csv(spark, path)
+    return rows.groupBy("app").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+
+
+@register
+def export_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export as its job asks for it: JSON, without labels, within two dates."""
+    path = _scratch(spark, "export")
+    job = {
+        "appId": "src3", "format": "json", "includeLabels": False,
+        "dateRange": {"startDate": "2024-01-03T00:00:00+00:00", "endDate": "2024-03-01T00:00:00+00:00"},
+    }
+    writers.run_export(T.stored_reviews(spark, sf_dir), T.stored_labels(spark, sf_dir), job, path)
+    return spark.read.schema("id string, score int, text string, helpful_votes int").json(path)
+
+
 @register
 def labeled_reviews_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labeled reviews appended in two runs, the second one for what the first had left."""
