@@ -74,7 +74,9 @@ def gapless(df: DataFrame, groups: Sequence[str], order: Sequence[str], name: st
     """
     keys = [F.coalesce(F.col(g).cast("string"), F.lit("")) for g in groups] + [F.col(g).isNull() for g in groups]
     rows = df.withColumn("_group", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]))
+    # Stored, so that the join deals both sides out itself and Spark may split a large group there.
     blocks = rows.groupBy("_group").agg(F.ceil(F.count("*") / _BLOCK_ROWS).cast("long").alias("_blocks"))
+    blocks = stored(blocks, "blocks")
     dealt = rows.join(blocks, "_group").withColumn("_block", F.pmod(spread, F.col("_blocks")))
     before = Window.partitionBy("_group").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
