@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echolens.llm.common import ROW_KEY
+from echolens.llm.common import ROW_KEY, stored
 from echolens.llm.tokens import chunks, encoder, tokenizer_digest
 
 # So many digests of missing texts (32 bytes each) are sent to all tasks; more are joined by shuffle.
@@ -74,4 +74,5 @@ def token_counts(
         F.col(id_col).alias("doc_id"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"),
         content, *keys,
     )
-    return rows.join(known(), "content").select("doc_id", "n_bytes", "n_tokens", "content", *keys)
+    # Stored, so that the join deals both sides out itself and Spark may split a text that many rows share.
+    return rows.join(stored(known(), "counts"), "content").select("doc_id", "n_bytes", "n_tokens", "content", *keys)
