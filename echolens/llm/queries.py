@@ -133,6 +133,39 @@ def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_BLANK = r"[\x{20}\x{09}-\x{0D}]"
+ORACLES["op7_line_rules"] = rf"""
+WITH base AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x{{20}}\x{{09}}-\x{{0D}}]+') AS w,
+    string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), windows AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS tri FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM base)
+), repeated AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, tri) > 1
+), covered AS (
+  SELECT doc_id, sum(step) AS n FROM (
+    SELECT doc_id, least(3, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), i - 3)) AS step FROM repeated) GROUP BY doc_id
+), line AS (SELECT doc_id, unnest(lines) AS x FROM base),
+measured AS (
+  SELECT doc_id, x, length(regexp_replace(x, '{_BLANK}+', '', 'g')) AS chars, len(regexp_extract_all(x, '[^\x{{20}}\x{{09}}-\x{{0D}}]+')) AS n,
+    len(regexp_extract_all(x, '{quality._SEPARATORS}')) AS seps FROM line
+), remaining AS (
+  SELECT doc_id, count(*) - count(DISTINCT x) AS dups, sum(chars) FILTER (
+      regexp_matches(x, '[.!?…:;"''”’»)\]。！？]\s*$') AND 3 * length(regexp_replace(x, '[^!?]+', '', 'g')) <= n
+      AND 2 * length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g')) <= n AND seps < 2 AND NOT (seps = 1 AND n <= 3)
+      AND NOT (length(x) <= 200 AND regexp_matches(lower(x), '{"|".join(quality._FURNITURE)}'))) AS kept_chars FROM measured WHERE n > 0 GROUP BY doc_id
+), rules AS (
+  SELECT b.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '{_BLANK}+', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(r.dups, 0)::BIGINT AS n_dup_lines,
+    coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(r.kept_chars, 0) AS kept_chars
+  FROM base b LEFT JOIN covered c ON c.doc_id = b.doc_id LEFT JOIN remaining r ON r.doc_id = b.doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND kept_chars >= 0.5 * word_chars AS kept FROM rules
+"""
+
+
 @register
 def op8_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer())
