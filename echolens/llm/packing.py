@@ -35,8 +35,9 @@ def _cut(path: str, window: int, eod: int) -> Callable:
             for first, last in chunks(batch, "_text", 2_000_000):
                 part = batch.slice(first, last - first)
                 source, start, total, blobs, routes = [], [], [], [], []
-                for i, text in enumerate(part.column("_text").to_pylist()):
-                    ids = np.append(encode.ids(text or ""), eod).astype("<u4")
+                for i, found in enumerate(encode.ids_of(part.column("_text").to_pylist())):
+                    ids = np.full(len(found) + 1, eod, "<u4")
+                    ids[:-1] = found
                     for at in range(0, len(ids), window):
                         piece = ids[at : at + window]
                         source.append(i)
@@ -46,8 +47,10 @@ def _cut(path: str, window: int, eod: int) -> Callable:
                         if len(piece) == window:
                             routes.append(None)
                         else:
-                            low = np.partition(rank[np.unique(piece)], min(1, len(np.unique(piece)) - 1))[:2]
-                            routes.append(int(low[0]) << 24 | int(low[-1]))
+                            ranks = rank[piece]
+                            least = ranks.min()
+                            others = ranks[ranks != least]
+                            routes.append(int(least) << 24 | int(others.min() if len(others) else least))
                 sizes = [len(b) // 4 for b in blobs]
                 yield pa.RecordBatch.from_arrays(
                     [

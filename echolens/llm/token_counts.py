@@ -23,7 +23,7 @@ def _count_batches(path: str) -> Callable:
         for batch in batches:
             for start, end in chunks(batch, "_text"):
                 part = batch.slice(start, end - start)
-                counts = [encode.count(text) for text in part.column("_text").to_pylist()]
+                counts = [len(ids) for ids in encode.ids_of(part.column("_text").to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("content"), pa.array(counts, pa.int64())], names=["content", "n_tokens"]
                 )

@@ -66,8 +66,8 @@ def _records(path: str, window: int, eod: int, tasks: int, shards: int, key: int
             for first, last in chunks(batch, "_text", 2_000_000):
                 part = batch.slice(first, last - first)
                 blobs = []
-                for doc, text in zip(part.column("_id").to_pylist(), part.column("_text").to_pylist()):
-                    ids = np.append(encode.ids(text or ""), eod).astype(encode.dtype)
+                for doc, found in zip(part.column("_id").to_pylist(), encode.ids_of(part.column("_text").to_pylist())):
+                    ids = np.append(found, np.array(eod, encode.dtype))
                     for at in range(0, len(ids), window):
                         piece = ids[at : at + window]
                         flags = len(piece) | (_NO_ID if doc is None else 0)
