@@ -189,7 +189,9 @@ def _parse(window: int, width: int) -> Callable:
 def read_training_order(spark, out: str, window: int = 512, width: int = 2, from_slot: int = 0) -> DataFrame:
     """The sequences from ``from_slot`` on: ``slot, shard, byte_offset, doc_id, start, length, ids``.
 
-    Shards before that slot are not opened; of the shard that holds it, records before it are skipped by offset.
+    Shards before that slot are not opened; of the shard that holds it, records before it are skipped by offset. The
+    first slots, a few numbers per file, are broadcast: the driver already holds the list of those files, and contents
+    are read where they are parsed.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(out)
     stride = _stride(window, width)
@@ -199,7 +201,7 @@ def read_training_order(spark, out: str, window: int = 512, width: int = 2, from
     )
     return (
         files.select("path", "content")
-        .join(wanted, "path")
+        .join(F.broadcast(wanted), "path")
         .select("shard", "first_slot", "from_record", "content")
         .mapInArrow(
             _parse(window, width),
