@@ -40,9 +40,24 @@ def test_pieces_equal_the_library(library):
     encoder, rng = PieceEncoder(PATH), random.Random(1)
     alphabet = ["a", "B", " ", "  ", "\n", "\t", " \n", "\xa0", "<|endoftext|>", "'s", "1", "é", "中", "!", "\x1c", "\x85",
                 "᠎", "don't", "\r\n", "\U0001f642", "　", "x y"]
-    for _ in range(4000):
-        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14)))
-        assert list(encoder.ids(text)) == library.encode(text, add_special_tokens=False).ids, repr(text)
+    alphabet += [",", ".", "?!", "ab.", "\u0301", "\u02bc", "½", "\xad", "'re'll", "_", "ß"]
+    latin = [chr(c) for c in range(1, 0x250)]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    texts += [" ".join("".join(rng.choice(latin) for _ in range(rng.randint(1, 9))) for _ in range(3)) for _ in range(4000)]
+    for start in range(0, len(texts), 40):
+        part = texts[start : start + 40]
+        for text, ids in zip(part, encoder.ids_of(part)):
+            assert list(ids) == library.encode(text, add_special_tokens=False).ids, repr(text)
+    assert encoder.ranks is not None and len(encoder.cache) > 1000
+
+
+def test_small_caches_change_nothing(library, monkeypatch):
+    monkeypatch.setattr("echolens.llm.tokens._CACHE_PIECES", 20)
+    monkeypatch.setattr("echolens.llm.tokens._SLICE", 7)
+    encoder, rng = PieceEncoder(PATH), random.Random(2)
+    texts = [" ".join(f"w{rng.randint(0, 99)}," if i % 3 else f" x{i}" for i in range(rng.randint(0, 60))) for _ in range(60)]
+    for text, ids in zip(texts, encoder.ids_of(texts)):
+        assert list(ids) == library.encode(text, add_special_tokens=False).ids
 
 
 def test_other_tokenizers_encode_whole_texts():
