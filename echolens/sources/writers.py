@@ -36,12 +36,17 @@ def titled_reviews(reviews: DataFrame) -> DataFrame:
 
 
 def write_reviews_csv(reviews: DataFrame, path: str) -> bool:
-    """Write the review CSV and say whether it has rows; without any the folder holds none."""
+    """Write the review CSV; with no rows nothing is left at ``path`` and False returned."""
     counted = Observation()
     rows = titled_reviews(reviews).observe(counted, F.count(F.lit(1)).alias("rows"))
-    # Spark's writer makes a folder even for no rows; they are counted while they are written, in one run of the plan.
-    rows.write.options(**CSV_OPTIONS).csv(path)
-    return counted.get["rows"] > 0
+    # Rows are counted while they are written, in one run of the plan. The folder must not have been there before, so
+    # what is taken away after a run without rows is only what this run made.
+    rows.write.mode("errorifexists").options(**CSV_OPTIONS).csv(path)
+    written = counted.get["rows"] > 0
+    if not written:
+        folder = reviews.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(reviews.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+    return written
 
 
 def write_reviews_csv_by_app(reviews: DataFrame, apps: DataFrame, root: str) -> None:
