@@ -18,7 +18,7 @@ import numpy as np
 from echolens.llm.common import per_process
 
 # Pieces kept per worker process, and pieces of one text looked up at a time; both bound memory only.
-_CACHE_PIECES = 500_000
+_CACHE_PIECES = 300_000
 _SLICE = 200_000
 #: Marks that stand behind a word; after Latin letters they never belong to its tokens.
 _MARKS, _LATIN = ".,;:!?", "\u024f"

@@ -109,7 +109,7 @@ def write_training_order(
     window: int = 512,
     eod: int = 0,
     key: int = 1,
-    shard_records: int = 16_384,
+    shard_records: int = 8_192,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> None:
