@@ -1,0 +1,96 @@
+"""Near-duplicates by five-word shingles against brute force over all pairs."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import corpus_pipeline
+from echolens.llm import shingle_dedup
+from echolens.llm.simhash import fingerprint
+
+COLUMNS = "doc_id long, text string, component_id string, _node int, kept string"
+
+
+def frame(spark, rows, parts=5):
+    return spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows], COLUMNS).repartition(parts)
+
+
+def shingle_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def components(rows):
+    """Smallest id of each row's component, and the linked pairs."""
+    sets = [shingle_set(t) for _, t in rows]
+    pairs = [
+        (a, b) for a in range(len(rows)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    ]
+    label = [i for i, _ in rows]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    return label, pairs
+
+
+def corpus():
+    """Originals with copies of one to ten changed words around the threshold, and a group of many copies."""
+    rng = random.Random(11)
+    word = lambda: f"{rng.choice('abcdefgh')}{rng.randrange(3_000)}"
+    out = []
+    for _ in range(60):
+        base = [word() for _ in range(rng.randint(60, 300))]
+        out.append(" ".join(base))
+        for changes in rng.sample(range(1, 11), 4):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), changes):
+                copy[at] = word()
+            out.append(" ".join(copy))
+    hot = [word() for _ in range(120)]
+    for _ in range(80):
+        copy = list(hot)
+        for at in rng.sample(range(len(copy)), 1):
+            copy[at] = word()
+        out.append(" ".join(copy))
+    out += [None, "", " \n", "one", "ONE", "one two", out[7].upper(), "  " + out[9] + "\t", "long " * 30_000]
+    rng.shuffle(out)
+    return list(enumerate(out))
+
+
+def test_against_brute_force(spark):
+    rows = corpus()
+    label, pairs = components(rows)
+    assert len(pairs) > 500
+    got = shingle_dedup.shingle_copies(frame(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(label)) and len(got) == len(rows)
+    assert sorted(r.doc_id for r in got if r.kept) == sorted(set(label))
+    sets = [shingle_dedup.bands(shingle_dedup.shingles(t)) for _, t in rows]
+    met = sum(bool((sets[a] == sets[b]).any()) for a, b in pairs)
+    assert met >= 0.999 * len(pairs)
+
+
+def test_repeated_rows_and_no_ids(spark):
+    rows = [(3, "a b c d e f"), (1, "A b c\td e f"), (1, "A b c\td e f"), (None, "a b c d e f"), (2, "quite another text here")]
+    docs = frame(spark, rows)
+    left = shingle_dedup.drop_shingle_copies(docs)
+    assert left.schema == docs.schema
+    assert sorted(r.doc_id for r in left.collect()) == [1, 2]
+    assert shingle_dedup.shingle_copies(docs.limit(0)).collect() == []
+
+
+def test_pipeline_stage(spark, sf):
+    """The stage follows the shingle rule: pairs of the table far beyond three bits are linked too."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    label, pairs = components(rows)
+    prints = [fingerprint((t or "").encode()) for _, t in rows]
+    assert any(bin(prints[a] ^ prints[b]).count("1") > 3 for a, b in pairs)
+    left = corpus_pipeline.near_dedup(spark, docs, sf)
+    assert left.schema == docs.schema
+    kept = sorted(r.doc_id for r in left.collect())
+    assert kept == sorted(set(label))
