@@ -12,7 +12,7 @@ from echolens.llm.common import stored
 from echolens.llm.tokens import chunks, encoder
 
 _K1, _B = 1.2, 0.75
-# Terms of a seed that are looked up (its rarest that occur elsewhere in the shard) and neighbours ranked per seed.
+# Terms of a seed that are looked up at a time (rarest first, of those that unused documents have) and neighbours ranked.
 _QUERY_TERMS = 24
 _NEIGHBOURS = 16
 # Low ids are the first merges, common in any text; they come last when a document is routed to a shard.
@@ -81,27 +81,34 @@ class _Index:
         self.weights = weights * np.repeat(idf, self.frequency)
 
     def neighbours(self, rest: np.ndarray, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share a rare term with ``rest``, best first."""
+        """Unused documents that share a term with ``rest``, best first; none only if no unused document does.
+
+        Slices of terms, rarest first, are looked up until one leads to unused documents.
+        """
         at = np.searchsorted(self.terms, np.unique(rest))
         at = at[self.frequency[at] > 1]
-        at = at[np.argsort(self.frequency[at], kind="stable")[:_QUERY_TERMS]]
-        if not len(at):
-            return at
-        spans = [slice(self.bounds[t], self.bounds[t + 1]) for t in at]
-        owners = np.concatenate([self.owners[s] for s in spans])
-        scores = np.bincount(owners, np.concatenate([self.weights[s] for s in spans]), self.size)
-        scores[used] = 0
-        top = np.argpartition(-scores, min(_NEIGHBOURS, self.size - 1))[:_NEIGHBOURS]
-        top = top[scores[top] > 0]
-        return top[np.lexsort((top, -scores[top]))]
+        at = at[np.argsort(self.frequency[at], kind="stable")]
+        for first in range(0, len(at), _QUERY_TERMS):
+            spans = [slice(self.bounds[t], self.bounds[t + 1]) for t in at[first : first + _QUERY_TERMS]]
+            owners = np.concatenate([self.owners[s] for s in spans])
+            open_ = ~used[owners]
+            if not open_.any():
+                continue
+            weights = np.concatenate([self.weights[s] for s in spans])
+            found, place = np.unique(owners[open_], return_inverse=True)
+            scores = np.bincount(place, weights[open_])
+            top = np.lexsort((found, -scores))[:_NEIGHBOURS]
+            return found[top]
+        return at[:0]
 
 
 def fill_windows(rests: list[np.ndarray], window: int) -> Iterator[list[tuple[int, int, int]]]:
     """Windows as lists of (document, first id, ids) over the rests of one shard.
 
     The next unused rest is a seed. Its unused neighbours follow in order of score; the first that does not fit whole
-    is cut to fill the window, and what is left of it is used again later. Where no neighbour is left, the next rests
-    in order follow, so only the last window of a shard has room.
+    is cut to fill the window, and what is left of it is used again later. When the neighbours ranked are placed, the
+    index is asked again. Where no unused rest shares a term with the seed, the next rests in order follow, so only the
+    last window of a shard has room.
     """
     index = _Index(rests)
     done = np.zeros(len(rests), np.int64)  # ids already placed
@@ -112,7 +119,7 @@ def fill_windows(rests: list[np.ndarray], window: int) -> Iterator[list[tuple[in
             following += 1
         if following == len(rests):
             return
-        seed, room, line, queue = following, window, [], None
+        seed, room, line, queue, alone = following, window, [], iter(()), False
         choice = seed
         while True:
             take = min(room, len(rests[choice]) - int(done[choice]))
@@ -122,9 +129,11 @@ def fill_windows(rests: list[np.ndarray], window: int) -> Iterator[list[tuple[in
             used[choice] = done[choice] == len(rests[choice])
             if not room:
                 break
-            if queue is None:
-                queue = iter(index.neighbours(rests[seed], used).tolist())
             choice = next((n for n in queue if not used[n]), None)
+            if choice is None and not alone:
+                queue = iter(index.neighbours(rests[seed], used).tolist())
+                choice = next(queue, None)
+                alone = choice is None
             if choice is None:
                 while following < len(rests) and used[following]:
                     following += 1

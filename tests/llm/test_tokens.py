@@ -121,6 +121,23 @@ def test_neighbours_come_first():
     assert lines == [[(0, 0, 5), (2, 0, 3)], [(1, 0, 4), (2, 3, 2)]]
 
 
+def test_tiny_neighbours_fill_a_window():
+    """Fifty tiny related rests share a window, though as many others lie between them in order."""
+    rests = [np.array([7 + i % 2, 100 + i, 300 + i, 0], "<u4") for i in range(100)]
+    lines = list(packing.fill_windows(rests, 200))
+    assert [sorted(doc for doc, _, _ in line) for line in lines] == [list(range(0, 100, 2)), list(range(1, 100, 2))]
+
+
+def test_neighbours_beyond_the_rarest_terms():
+    """A seed whose rarest terms lead to used rests only is looked up by its other terms."""
+    rare = list(range(100, 124))
+    rests = [np.array(x, "<u4") for x in ([*rare, 200], rare, [200, 300], [200, 301], [302])]
+    index = packing._Index(rests)
+    used = np.array([True, True, False, False, False])
+    assert sorted(index.neighbours(rests[0], used).tolist()) == [2, 3]
+    assert index.neighbours(rests[0], np.array([True, True, True, True, False])).tolist() == []
+
+
 @pytest.mark.parametrize("domain", [1, 2, 3, 100, 4096, 5000])
 def test_permutation_is_one_to_one(domain):
     out = training_order.permute(np.arange(domain, dtype=np.uint64), domain, 9)
