@@ -1,15 +1,17 @@
-"""Exact token ids of whole texts with a cache of pieces, for use inside tasks.
+"""Exact token ids of whole texts, for use inside tasks.
 
-For byte-level BPE without a normalizer, a space that stands before a character other than white space always begins a
-token, and what follows it does not depend on what came before. A text may therefore be cut there, and a piece that
-was encoded once need not be encoded again. Other tokenizers encode whole texts.
+Texts of plain Latin characters go through a faster library with the same vocabulary, for two kinds of tokenizer:
+byte-level BPE without a normalizer, and lower-casing BPE with word ends. Other texts take the tokenizer itself, with a
+cache of pieces for the first kind: there a space before a character other than white space always begins a token, and
+what follows it does not depend on what came before, so a text may be cut there. Other tokenizers encode whole texts.
 """
 
 from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from hashlib import sha256
 from itertools import islice
 
@@ -47,37 +49,109 @@ def _cuttable(spec: dict) -> bool:
     )
 
 
-# Fixed value: the pattern of byte-level pieces.
+# The patterns of byte-level pieces and of the lower-casing kind.
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
+_WORD_END = "</w>"
+# The first one where no two blanks meet: it needs no look ahead.
+_SINGLE_BLANKS = _PATTERN.replace(r"|\s+(?!\S)", "")
+# What stands between the letters of lower-cased plain text: contractions, single digits, runs of marks.
+_DIGITS, _LETTERS = "0-9²³¹¼-¾", "a-zªµºß-öø-ſ"
+_MARKS_BETWEEN = re.compile(rf"[{_DIGITS}]|[^\s{_DIGITS}{_LETTERS}]+")
+_BETWEEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{_MARKS_BETWEEN.pattern}")
+_BEYOND_LATIN = re.compile("[^\x00-\u012f\u0131-\u017f]")
+
+
+def _byte_values() -> dict[str, int]:
+    """The bytes that the letters of byte-level vocabularies stand for."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in printable}
+    return letters | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printable)}
 
 
-def _ranks(spec: dict):
-    """The same vocabulary for the faster library, if its merges come in the order of their ids; else None."""
+def _merges_in_order(spec: dict, least: int) -> bool:
+    """Whether merges come in the order of their ids, so that ids can serve as ranks."""
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+    made = [spec["model"]["vocab"].get("".join(pair), -1) for pair in pairs]
+    return made == sorted(set(made)) and made[:1] >= [least]
+
+
+def _ranks(spec: dict, pattern: str = _PATTERN):
+    """A byte-level vocabulary for the faster library; None if its merges do not come in the order of their ids."""
     import tiktoken
 
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters = {chr(b): b for b in printable}
-    letters |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printable)}
-    vocabulary = spec["model"]["vocab"]
-    pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-    made = [vocabulary.get("".join(pair), -1) for pair in pairs]
-    if made != sorted(set(made)) or made[:1] < [256]:
+    if not _merges_in_order(spec, 256):
         return None
-    added = {token["content"] for token in spec.get("added_tokens", [])}
-    ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token not in added}
-    return tiktoken.Encoding("pieces", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    letters, added = _byte_values(), {token["content"] for token in spec.get("added_tokens", [])}
+    ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}
+    return tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def _plain(piece: str) -> bool:
+def _word_ranks(spec: dict):
+    """A vocabulary with word ends for the faster library, a space marking the end; None if it is of another kind.
+
+    Ends are joined to their last byte before any merge, which the order of ids says as well.
+    """
+    import tiktoken
+
+    normalizers = (spec.get("normalizer") or {}).get("normalizers", [])
+    splitters = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    blanks = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    words = {"type": "Split", "pattern": {"Regex": _WORD_PATTERN}, "behavior": "Removed", "invert": True}
+    bytes_ = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    if (
+        normalizers != [{"type": "NFC"}, blanks, {"type": "Lowercase"}]
+        or splitters != [words, bytes_]
+        or spec["model"].get("end_of_word_suffix") != _WORD_END
+        or not _merges_in_order(spec, 512)
+    ):
+        return None
+    letters, added, ranks = _byte_values(), {token["content"] for token in spec.get("added_tokens", [])}, {}
+    for token, i in spec["model"]["vocab"].items():
+        if token not in added:
+            base = token.removesuffix(_WORD_END)
+            ranks[bytes(letters[c] for c in base) + b" " * (base != token)] = i
+    return tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+
+
+def _latin(text: str) -> bool:
     """Printable Latin characters and line feeds, of which both libraries have the same view."""
+    return (text.isascii() or not _BEYOND_LATIN.search(text)) and text.replace("\n", "").isprintable()
+
+
+def _quick(spec: dict) -> Callable[[str], list[int] | None] | None:
+    """Ids of a plain text by the faster library, None for a text that is not plain; no function for other kinds."""
+    marks = [token["content"] for token in spec.get("added_tokens", [])]
+
+    def plain(text: str) -> bool:
+        return _latin(text) and not any(mark in text for mark in marks)
+
+    if _cuttable(spec) and (ranks := _ranks(spec, _SINGLE_BLANKS)):
+        pairs = ("  ", " \n", "\n ", "\n\n")
+        return lambda text: (
+            ranks.encode_ordinary(text) if plain(text) and not any(pair in text for pair in pairs) else None
+        )
+    if words := _word_ranks(spec):
+
+        def lowered(text: str) -> list[int] | None:
+            if not plain(text):
+                return None
+            between = _BETWEEN if "'" in text else _MARKS_BETWEEN
+            return words.encode_ordinary(between.sub(r" \g<0> ", text.lower()).replace("\n", " ") + " ")
+
+        return lowered
+    return None
+
+
+def _plain(piece: str) -> bool:
     return (piece.isascii() or max(piece) <= _LATIN) and (piece.isprintable() or piece.replace("\n", "").isprintable())
 
 
 class PieceEncoder:
     """Encodes texts to the little-endian bytes of their ids, two bytes each if the vocabulary allows, else four.
 
-    New pieces of plain Latin text go through a faster library with the same vocabulary, all others through the
-    tokenizer itself; tests hold both against the tokenizer.
+    Plain Latin texts, and new pieces of other texts that are plain, go through a faster library with the same
+    vocabulary, all others through the tokenizer itself; tests hold both against the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -98,6 +172,7 @@ class PieceEncoder:
         self.leads[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         self.added = [token["content"] for token in spec.get("added_tokens", [])]
         self.ranks = _ranks(spec) if self.cuttable else None
+        self.quick = _quick(spec)
         self.cache: dict[str, bytes] = {}
         self.odd: dict[str, bytes] = {}
 
@@ -162,12 +237,38 @@ class PieceEncoder:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of several texts, whose new pieces are learned together; give at most a few megabytes at once."""
+        if not self.quick:
+            return self._encode_pieces(texts)
+        found = [self.quick(text) for text in texts]
+        others = iter(self._encode_pieces([text for text, ids in zip(texts, found) if ids is None]))
+        return [next(others) if ids is None else np.array(ids, self.dtype).tobytes() for ids in found]
+
+    def _around_odd_words(self, text: str) -> bytes:
+        """Where tokens never reach over a space: runs of plain words together, each other word by itself."""
+        out, run = [], []
+        for piece in text.split(" "):
+            ids = None if _latin(piece) else self._whole(piece)
+            if ids is None:
+                run.append(piece)
+                continue
+            out.append(self._run(" ".join(run)))
+            out.append(ids)
+            run = []
+        return b"".join([*out, self._run(" ".join(run))])
+
+    def _run(self, text: str) -> bytes:
+        ids = self.quick(text)
+        return self._whole(text) if ids is None else np.array(ids, self.dtype).tobytes()
+
+    def _encode_pieces(self, texts: list[str]) -> list[bytes]:
+        if self.quick and not self.cuttable:
+            return [self._around_odd_words(text) for text in texts]
         if not self.cuttable:
             return [self._ids(text).tobytes() for text in texts]
         cut = [text.split(" ") for text in texts]
         if sum(map(len, cut)) > _SLICE and len(texts) > 1:
             half = len(texts) // 2
-            return self.encode_all(texts[:half]) + self.encode_all(texts[half:])
+            return self._encode_pieces(texts[:half]) + self._encode_pieces(texts[half:])
         if len(texts) == 1 and len(cut[0]) > _SLICE:
             return [self._around_blanks(cut[0])]
         self._trim()
