@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from echolens.llm import (
     chat,
     exact_dedup,
+    hard_negatives,
     html_extract,
+    merkle,
     mixing,
     packing,
     quality,
@@ -18,6 +20,7 @@ from echolens.llm import (
     simhash,
     token_counts,
     training_order,
+    vector_packing,
 )
 from echolens.llm.common import scratch
 
@@ -35,10 +38,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer() -> str:
+def _tokenizer(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @register
@@ -191,3 +194,103 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
   doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
+
+
+@register
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id = F.col("vec_id")
+    shifted = F.when(vec_id % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").withColumn("label", shifted)
+    return hard_negatives.hard_negatives(vectors, anchor=vec_id % 50 == 0)
+
+
+ORACLES["op11_hard_negatives"] = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)
+), scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, r.label = a.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score
+  FROM rows a JOIN rows r ON a.vec_id <> r.vec_id WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER best AS INT) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)
+QUALIFY rank <= 3
+"""
+
+
+@register
+def op12_merkle_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    manifest = merkle.merkle_manifest(
+        _table(spark, sf_dir, "documents"),
+        ["doc_id", "source", "lang", "n_chars", "text"],
+        tampered=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0,
+        replaced={"text": F.translate("text", upper, upper.lower())},
+    )
+    return manifest.verified().select(
+        F.col("_id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+_LEAF = "sha256(" + " || ".join(
+    f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}")
+) + ")"
+_CRC32 = (
+    "xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), "
+    "lambda r, b: list_reduce([xor(r, b)] || range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+)
+ORACLES["op12_merkle_versions"] = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS g, {_LEAF.format(text="text")} AS leaf,
+    CASE WHEN {_CRC32} % 3 = 0 THEN {_LEAF.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}
+    END AS changed
+  FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM docs
+), tree(g, l, i, n, h) AS (
+  SELECT g, 0, i, n, leaf FROM placed
+  UNION ALL
+  SELECT g, l + 1, i // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY g, l, i // 8
+), subroots AS (
+  SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n,
+    l AS height FROM tree WHERE n = 1
+), top(l, i, n, h) AS (
+  SELECT 0, i, n, subroot FROM subroots
+  UNION ALL
+  SELECT l + 1, i // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY l, i // 8
+), fold(doc_id, g, l, i, k, last, h, proof) AS (
+  SELECT doc_id, p.g, 0, p.i, s.i, s.height, coalesce(changed, leaf), '' FROM placed p JOIN subroots s ON s.g = p.g
+  UNION ALL
+  SELECT doc_id, any_value(f.g), f.l + 1, any_value(f.i // 8), any_value(k), any_value(last),
+    sha256(string_agg(CASE WHEN x.i = f.i THEN f.h ELSE x.h END, '' ORDER BY x.i)),
+    any_value(proof) || coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (x.i <> f.i), '')
+  FROM fold f JOIN tree x ON x.g = f.g AND x.l = f.l AND x.i // 8 = f.i // 8
+  WHERE f.l < f.last GROUP BY doc_id, f.l
+), up(doc_id, g, l, i, h, proof) AS (
+  SELECT doc_id, g, 0, k, h, proof FROM fold WHERE l = last
+  UNION ALL
+  SELECT doc_id, any_value(f.g), f.l + 1, any_value(f.i // 8), sha256(string_agg(CASE WHEN x.i = f.i THEN f.h ELSE x.h END, '' ORDER BY x.i)),
+    any_value(proof) || coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (x.i <> f.i), '')
+  FROM up f JOIN top x ON x.l = f.l AND x.i // 8 = f.i // 8
+  WHERE x.n > 1 GROUP BY doc_id, f.l
+)
+SELECT p.doc_id, leaf, subroot, r.h AS root, sha256(u.proof) AS proof_sha256, u.h AS folded_root, u.h = r.h AS verified
+FROM placed p JOIN subroots s ON s.g = p.g JOIN (SELECT h, l FROM top WHERE n = 1) r ON true
+JOIN up u ON u.doc_id = p.doc_id AND u.l = r.l
+"""
+
+
+@register
+def op13_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = vector_packing.pack_best_fit(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return packed.select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"
+    )
