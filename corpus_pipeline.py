@@ -11,33 +11,50 @@ from echolens.llm.exact_dedup import drop_exact_copies
 from echolens.llm.mixing import apply_mix
 from echolens.llm.packing import pack_documents
 from echolens.llm.quality import clean_lines
-from echolens.llm.shingle_dedup import drop_shingle_copies
+from echolens.llm.simhash import drop_near_copies
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Failing lines go, and documents that fail the base rules or lose too much text."""
+    """Failing lines go, and documents that fail the base rules or lose too much text.
+
+    Null and empty texts have no words and go; rows that repeat are judged alike; an empty table stays empty.
+    """
     return clean_lines(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id stays."""
+    """Of equal texts the document with the largest id stays.
+
+    Null counts as empty, so one such row stays; of rows that repeat one stays; an empty table stays empty.
+    """
     return drop_exact_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 0.8 of their five-word shingles the one with the smallest id stays."""
-    return drop_shingle_copies(docs)
+    """Of documents linked by fingerprints of three-word shingles that differ in at most three bits, the smallest id stays.
+
+    Texts without words share fingerprint zero; a null id stays only where all are null; of rows with that id the first
+    one stays. An empty table stays empty.
+    """
+    return drop_near_copies(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are dropped or repeated until the sources' words meet their targets."""
+    """Documents are dropped or repeated until the sources' words meet their targets.
+
+    A null source is a source of its own; texts without words are not taken; rows that repeat are documents of their own;
+    an empty table stays empty.
+    """
     return apply_mix(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in windows of 1,024 ids; repeated documents are packed each time."""
+    """Pieces of the documents in windows of 1,024 ids; repeated documents are packed each time.
+
+    Null and empty texts are one id, the end of the document; an empty table has no pieces.
+    """
     return pack_documents(docs, TOKENIZER).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
