@@ -13,6 +13,7 @@ WHITE_SPACE_CHARACTERS = (
 UNSAFE_NAME_CHARACTERS = r'[\\/:*?"<>|]'
 NAME_OF_LAST_RESORT = "app"
 
+ASCII_WHITE_SPACE = "[\\t-\\r ]+"
 # The same white space as a character class. It needs the flag (?U) and is several times faster than a list.
 WHITE_SPACE = r"[\s\uFEFF&&[^\x85]]"
 
@@ -25,10 +26,17 @@ def unicode_trim(col: Column) -> Column:
 
 
 def sanitize_name(col: Column, legacy: bool = False) -> Column:
-    """A name safe to use in an output path. The legacy order trims last, when blanks are already '_'."""
+    """A name safe to use in an output path. The legacy order trims last, when blanks are already '_'.
+
+    Names of ASCII characters, told by their length in bytes, are searched for ASCII blanks only.
+    """
     source = col if legacy else unicode_trim(col)
     safe = F.regexp_replace(source, f"{UNSAFE_NAME_CHARACTERS}+", "")
-    return F.regexp_replace(F.regexp_replace(safe, f"(?U){WHITE_SPACE}+", "_"), "^$", NAME_OF_LAST_RESORT)
+    ascii_only = F.octet_length(col) == F.length(col)
+    joined = F.when(ascii_only, F.regexp_replace(safe, ASCII_WHITE_SPACE, "_")).otherwise(
+        F.regexp_replace(safe, f"(?U){WHITE_SPACE}+", "_")
+    )
+    return F.regexp_replace(joined, "^$", NAME_OF_LAST_RESORT)
 
 
 def iso_millis(ts: Column) -> Column:

@@ -11,6 +11,8 @@ from echolens import schemas as S
 from echolens.operators.normalize import normalize_apps
 from echolens.session import null_safe_join
 
+# Fixed value: message of the result of a crawl job.
+CRAWLED = "Successfully scraped %d unique reviews for app %s"
 LIST_KEY = ("app_id", "country_code", "sort_method")
 CRAWL_ORDER = ("sort_ord", "country_ord", "page", "pos")
 
@@ -60,8 +62,7 @@ def apply_early_stop(pages: DataFrame) -> DataFrame:
     contents take no part. A list stops at the least page that follows a good one and is not good itself, which an
     anti join of the good pages with their successors gives without gathering a list.
     """
-    good = (F.col("n_reviews") > 0) & F.col("error").isNull()
-    counted = pages.where(F.col("page") >= 1).groupBy(*LIST_KEY, "page").agg(F.min(good).alias("_good"))
+    counted = pages.where(F.col("page") >= 1).groupBy(*LIST_KEY, "page").agg(F.min(_good_page()).alias("_good"))
     good_pages = counted.where("_good").select(*LIST_KEY, "page")
     started = good_pages.where("page = 1").select(*LIST_KEY)
     following = good_pages.withColumn("page", F.col("page") + 1)
@@ -75,6 +76,43 @@ def apply_early_stop(pages: DataFrame) -> DataFrame:
     return kept.where(F.col("page") < F.col("_stop")).drop("_stop")
 
 
+def _good_page() -> Column:
+    return (F.col("n_reviews") > 0) & F.col("error").isNull()
+
+
+def advance_frontier(frontier: DataFrame, waiting: DataFrame, arrived: DataFrame) -> DataFrame:
+    """How far lists may be read once ``arrived`` pages have landed: the list key, ``reached`` and ``bad``.
+
+    ``reached`` is the last page of the run of good pages from page 1, 0 if there is none, and ``bad`` the least page with
+    an empty or failed copy, NULL if there is none; neither ever goes back. ``frontier`` holds the lists known so far and
+    ``waiting`` their good pages beyond ``reached``. Only page numbers take part: as in ``apply_early_stop`` the end of a
+    run is the least page that follows a good one and is not there itself.
+    """
+    numbered = arrived.where(F.col("page") >= 1).withColumn("page", F.col("page").cast("long"))
+    told = numbered.select(*LIST_KEY, F.lit(0).cast("long").alias("reached"), F.when(~_good_page(), F.col("page")).alias("bad"))
+    known = (
+        frontier.select(*LIST_KEY, "reached", "bad").unionByName(told).groupBy(*LIST_KEY)
+        .agg(F.max("reached").alias("reached"), F.min("bad").alias("bad"))
+    )
+    there = (
+        waiting.select(*LIST_KEY, F.col("page").cast("long").alias("page"))
+        .unionByName(numbered.where(_good_page()).select(*LIST_KEY, "page"))
+        .unionByName(known.select(*LIST_KEY, F.col("reached").alias("page")))
+    )
+    missing = null_safe_join(there.withColumn("page", F.col("page") + 1), there, [*LIST_KEY, "page"], "left_anti")
+    # Pages up to the end of the run may be told again without all that follow them; what is missing there does not count.
+    ends = null_safe_join(missing, known, LIST_KEY).where(F.col("page") > F.col("reached"))
+    return ends.groupBy(*LIST_KEY).agg((F.min("page") - 1).alias("reached"), F.min("bad").alias("bad"))
+
+
+def split_due(pages: DataFrame, frontier: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pages that are due, good pages that wait for a gap before them). Pages from the first bad one on are never due."""
+    placed = null_safe_join(pages.where((F.col("page") >= 1) & _good_page()), frontier, LIST_KEY)
+    before_bad = F.coalesce(F.col("page") < F.col("bad"), F.lit(True))
+    due = placed.where((F.col("page") <= F.col("reached")) & before_bad).select(*pages.columns)
+    return due, placed.where((F.col("page") > F.col("reached")) & before_bad).select(*pages.columns)
+
+
 def _order(columns: Sequence[str]) -> Column:
     return F.struct(*columns)
 
@@ -161,7 +199,7 @@ def crawl_summary(reviews: DataFrame, plan: DataFrame, apps: DataFrame) -> DataF
             "sort_methods_used",
             F.lit(True).alias("success"),
             F.format_string(
-                "Successfully scraped %d unique reviews for app %s", F.coalesce("reviews_scraped", F.lit(0)), "app_id"
+                CRAWLED, F.coalesce("reviews_scraped", F.lit(0)), "app_id"
             ).alias("message"),
         )
     )

@@ -118,7 +118,8 @@ def queue_details(jobs: DataFrame, dlq: DataFrame, n: int = 5) -> DataFrame:
     return counted.join(newest, "type", "left").join(reasons, "type", "left").join(failures, "type", "left")
 
 
-def _retried(picked: DataFrame, priority: int | None, delay: int | None) -> DataFrame:
+def retried_jobs(picked: DataFrame, priority: int | None = None, delay: int | None = None) -> DataFrame:
+    """New jobs for dead letters, with ids of their own that a repeated retry gives again."""
     return picked.select(
         F.concat(F.lit("retry_"), F.col("original_job_id")).alias("id"),
         F.col("original_job_type").alias("type"),
@@ -139,7 +140,13 @@ def retry_dead_letter(
     missing = set(ids) - {row["id"] for row in picked.select("id").distinct().limit(len(ids)).toLocalIterator()}
     if missing:
         raise LookupError(f"dead letters not found: {sorted(missing)}")
-    return _retried(picked, priority, delay), dlq.where(~F.col("id").isin(*ids))
+    return retried_jobs(picked, priority, delay), dlq.where(~F.col("id").isin(*ids))
+
+
+def pick_by_reason(dlq: DataFrame, job_type: str, reason: str, max_jobs: int = DEFAULT_RETRY_JOBS) -> DataFrame:
+    """The newest ``max_jobs`` dead letters of a type with exactly this reason; 0 means 10."""
+    matching = dlq.where((F.col("original_job_type") == job_type) & (F.col("failure_reason") == reason))
+    return matching.orderBy(*_newest_first()).limit(max_jobs or DEFAULT_RETRY_JOBS)
 
 
 def retry_by_reason(
@@ -151,10 +158,9 @@ def retry_by_reason(
     delay: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(new jobs, remaining dead letters) for the newest ``max_jobs`` with exactly this reason; 0 means 10."""
-    limit = max_jobs or DEFAULT_RETRY_JOBS
-    matching = dlq.where((F.col("original_job_type") == job_type) & (F.col("failure_reason") == reason))
-    picked = matching.orderBy(*_newest_first()).limit(limit)
-    return _retried(picked, priority, delay), without_ids(dlq, picked, min(limit, BROADCAST_IDS + 1))
+    picked = pick_by_reason(dlq, job_type, reason, max_jobs)
+    known = min(max_jobs or DEFAULT_RETRY_JOBS, BROADCAST_IDS + 1)
+    return retried_jobs(picked, priority, delay), without_ids(dlq, picked, known)
 
 
 def _split_old(df: DataFrame, old: Column) -> tuple[DataFrame, DataFrame]:

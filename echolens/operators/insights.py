@@ -7,12 +7,15 @@ from that small table.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echolens import schemas as S
 from echolens.functions.rounding import fixed, fixed_text, half_up
+from echolens.sources.versions import PART
 
 # Thresholds of the SWOT rules.
 POSITIVE_SHARE = 0.65
@@ -22,6 +25,12 @@ SIGNIFICANT_SHARE = 0.05
 OVERALL_POSITIVE = 0.6
 OVERALL_NEGATIVE = 0.3
 
+# Messages of the results of label jobs.
+LABELED = "Successfully labeled %d reviews"
+NO_REVIEWS = "No reviews found for provided IDs: %s..."
+BACKLOG_EMPTY = "No unlabeled reviews found"
+BACKLOG_LABELED = "Successfully labeled %d previously unlabeled reviews"
+
 # Wording of the SWOT rows and of the report.
 THEME_STRENGTH = "High user satisfaction with '%s' (%s%% Positive of %d mentions)."
 THEME_WEAKNESS = "Significant user dissatisfaction with '%s' (%s%% Negative of %d mentions, Avg Severity: %s)."
@@ -48,8 +57,8 @@ def _total(name: str) -> Column:
 # --- one pass over the reviews -------------------------------------------------------------------------------
 
 
-def insight_stats(analyses: DataFrame) -> DataFrame:
-    """One row per theme plus one row with a NULL theme that counts the skipped records.
+def insight_stats(analyses: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per theme plus one row with a NULL theme that counts the skipped records, for each value of ``by``.
 
     Input: normalised analyses (ord, skipped, theme, sentiment, severity, feature_request). Only fixed-width
     buffers, so the aggregation is combined in each task before the shuffle.
@@ -58,7 +67,7 @@ def insight_stats(analyses: DataFrame) -> DataFrame:
     known = F.col("sentiment").isin("positive", "negative")
     asks = F.col("feature_request") == "Y"
     return (
-        analyses.groupBy(F.when(~F.col("skipped"), F.col("theme")).alias("theme"))
+        analyses.groupBy(*by, F.when(~F.col("skipped"), F.col("theme")).alias("theme"))
         .agg(
             F.count("*").alias("mentions"),
             F.count_if(F.col("sentiment") == "positive").alias("positive"),
@@ -73,6 +82,23 @@ def insight_stats(analyses: DataFrame) -> DataFrame:
     )
 
 
+def fold_stats(partials: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``insight_stats`` of all rows from those of their parts."""
+    least = ("first_ord", "first_request_ord")
+    counted = [name for name in partials.columns if name not in (*by, PART, "theme", *least)]
+    return partials.groupBy(*by, "theme").agg(
+        *[F.sum(name).alias(name) for name in counted], *[F.min(name).alias(name) for name in least]
+    )
+
+
+def stat_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Signed changes of the counts and sums per theme between two sets of partials; themes without a change go."""
+    counted = [n for n in before.columns if n not in (PART, "theme", "first_ord", "first_request_ord")]
+    signed = before.select("theme", *[(-F.col(n)).alias(n) for n in counted]).unionByName(after.select("theme", *counted))
+    summed = signed.groupBy("theme").agg(*[F.sum(n).alias(n) for n in counted])
+    return summed.where(reduce(or_, [F.col(n) != 0 for n in counted]))
+
+
 def theme_insights(stats: DataFrame) -> DataFrame:
     """Per theme: mentions, sentiment counts and the average severity of negative mentions, 0 when none."""
     average = F.when(
@@ -315,8 +341,8 @@ def label_job_summary(labels: DataFrame, jobs: DataFrame) -> DataFrame:
     return jobs.join(done, "job_id", "left").select(
         "job_id",
         success.alias("success"),
-        F.when(success, F.format_string("Successfully labeled %d reviews", "items_processed")).alias("message"),
-        F.when(~success, F.format_string("No reviews found for provided IDs: %s...", first_ids)).alias("error"),
+        F.when(success, F.format_string(LABELED, "items_processed")).alias("message"),
+        F.when(~success, F.format_string(NO_REVIEWS, first_ids)).alias("error"),
         F.when(~success, F.slice("review_ids", 1, 10)).alias("failed_review_ids"),
         F.coalesce("items_processed", F.lit(0)).alias("items_processed"),
         "average_confidence",
@@ -324,13 +350,37 @@ def label_job_summary(labels: DataFrame, jobs: DataFrame) -> DataFrame:
     )
 
 
+def label_results(summary: DataFrame, runs: DataFrame) -> DataFrame:
+    """Result rows of label jobs: ``summary`` with the milliseconds each job took, or the error that ended it.
+
+    ``runs`` has ``job_id, review_ids, started_at, finished_at`` and ``error`` (NULL: none), one row per job. A job that
+    ended with an error has labeled nothing and reports the first ids it was given.
+    """
+    taken = F.unix_millis("finished_at") - F.unix_millis("started_at")
+    ended = F.col("_error").isNull()
+    reported = {
+        "success": ended & F.coalesce("success", F.lit(False)),
+        "message": F.when(ended, F.col("message")),
+        "error": F.coalesce("_error", "error"),
+        "failed_review_ids": F.when(ended, F.col("failed_review_ids")).otherwise(F.slice("review_ids", 1, 10)),
+        "items_processed": F.when(ended, F.coalesce("items_processed", F.lit(0))).otherwise(0),
+    }
+    told = runs.select("job_id", "review_ids", taken.alias("processing_time"), F.col("error").alias("_error"))
+    names = [name for name in summary.columns if name != "job_id"]
+    return told.join(summary, "job_id", "left").select(
+        "job_id",
+        *[reported.get(name, F.when(ended, F.col(name))).alias(name) for name in names],
+        "processing_time",
+    )
+
+
 def backlog_summary(labels: DataFrame) -> DataFrame:
     """The one-row result of a backlog run; an empty backlog is a success with 0 items."""
     n = F.col("items_processed")
     return labels.agg(F.count("*").alias("items_processed"), _average_confidence(), *_breakdown()).select(
         F.lit(True).alias("success"),
-        F.when(n == 0, "No unlabeled reviews found")
-        .otherwise(F.format_string("Successfully labeled %d previously unlabeled reviews", n))
+        F.when(n == 0, BACKLOG_EMPTY)
+        .otherwise(F.format_string(BACKLOG_LABELED, n))
         .alias("message"),
         "items_processed",
         "average_confidence",

@@ -1,6 +1,6 @@
 """Upserts and referential integrity over immutable tables.
 
-Every function returns the new table; the caller writes it to a fresh path.
+Every function but ``merge_parts`` returns the new table; the caller writes it to a fresh path.
 """
 
 from __future__ import annotations
@@ -10,6 +10,10 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from echolens.session import store
+from echolens.sources.versions import PART, Run
 
 REVIEW_UPDATES = ("score", "title", "text", "helpful_votes")
 LABEL_UPDATES = (
@@ -90,6 +94,39 @@ def _merge_small(target, incoming, key, update_cols, stamp, timed) -> DataFrame:
     return updated.unionByName(inserted.select(*target.columns))
 
 
+def part_of_key(key: str, others: Sequence[str], parts: int) -> Column:
+    """The part of a row by its key. Rows without a key match nothing; they are spread by their other columns."""
+    hashed = F.when(F.col(key).isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(*others))
+    return F.pmod(hashed, F.lit(parts)).alias(PART)
+
+
+def merge_parts(
+    run: Run,
+    name: str,
+    schema: T.StructType,
+    source: DataFrame,
+    key: str,
+    update_cols: Sequence[str],
+    as_of: datetime,
+    parts: int,
+) -> list[int]:
+    """``merge`` into the parts of a stored table that hold the keys of ``source``; gives the parts touched.
+
+    Other parts are neither listed, read nor written. The source is stored once, as its parts and its rows are needed.
+    Nothing is visible before the run is published.
+    """
+    kinds = {field.name: field.dataType for field in schema.fields}
+    # The stored types, so that a row has the same part before and after the merge.
+    given = source.select(*[F.col(c).cast(kinds[c]).alias(c) for c in source.columns if c in kinds])
+    given = given.withColumns({c: F.lit(None).cast(kinds[c]) for c in update_cols if c not in given.columns})
+    source = store(given.select("*", part_of_key(key, update_cols, parts)), "upsert")
+    sizes = {part: n for part, n in source.groupBy(PART).count().collect()}
+    touched = sorted(sizes)
+    merged = merge(run.read(name, schema, touched), source.drop(PART), key, update_cols, as_of, sum(sizes.values()))
+    run.put(name, merged.select(*schema.fieldNames(), part_of_key(key, update_cols, parts)), touched)
+    return touched
+
+
 def upsert_reviews(target: DataFrame, source: DataFrame, as_of: datetime, source_rows: int | None = None) -> DataFrame:
     """A known review takes new score, title, text and votes; all its other columns keep the first value."""
     return merge(target, source, "id", REVIEW_UPDATES, as_of, source_rows)

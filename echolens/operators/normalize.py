@@ -125,9 +125,13 @@ def normalize_analyses(analyses: DataFrame) -> DataFrame:
     )
 
 
-def analyses_from_columns(rows: DataFrame) -> DataFrame:
-    """The same defaults for analyses that are already typed columns, such as a stored label table."""
+def analyses_from_columns(rows: DataFrame, *others: str) -> DataFrame:
+    """The same defaults for analyses that are already typed columns, such as a stored label table.
+
+    ``others`` are columns that pass through.
+    """
     return rows.select(
+        *others,
         "ord",
         F.lit(False).alias("skipped"),
         text_or(F.col("theme"), S.UNKNOWN_THEME).alias("theme"),

@@ -205,9 +205,12 @@ RESULT_FIELDS = (
 
 
 def _with_members(df: DataFrame, json_col: str, fields: Sequence[Field]) -> DataFrame:
+    """The members as columns ``v_<name>``: one parse and one cast of the object to all of its known members."""
     names = sorted({field.name for field in fields})
-    members = {f"v_{name}": F.expr(f"try_variant_get(_json, '$.{name}', 'variant')") for name in names}
-    return df.withColumn("_json", F.try_parse_json(json_col)).withColumns(members)
+    kind = ", ".join(f"`{name}`: variant" for name in names)
+    parsed = df.withColumn("_json", F.try_parse_json(json_col))
+    known = parsed.withColumn("_members", F.expr(f"try_variant_get(_json, '$', 'struct<{kind}>')"))
+    return known.withColumns({f"v_{name}": F.col(f"_members.`{name}`") for name in names}).drop("_members")
 
 
 _PARTS = {

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from echolens import schemas as S
 from echolens.functions.coercion import is_kind, with_exact_json
+from echolens.sources.split_csv import quoted_records
+from echolens.sources.split_json import array_elements
 
 PAGE_NAMES = {
     "appId": "app_id",
@@ -57,6 +59,21 @@ def read_reviews_csv(spark: SparkSession, path: str, id_col: str = "Review ID",
     return frame.withColumnsRenamed({id_col: "id", text_col: "text"})
 
 
+def read_large_reviews_csv(
+    spark: SparkSession, path: str, id_col: str = "Review ID", text_col: str = "Review Text"
+) -> DataFrame:
+    """The same rows as ``read_reviews_csv``, in no order, where files are too large for one task each.
+
+    Files have the header of the first one. Texts may hold line feeds, quotes and commas, as ``write_reviews_csv`` writes
+    them.
+    """
+    frame = spark.read.options(**CSV_OPTIONS, inferSchema="false").csv(path)
+    schema = ", ".join(f"`{name.replace('`', '``')}` string" for name in frame.columns)
+    options = {name: value for name, value in CSV_OPTIONS.items() if name != "header"}
+    rows = quoted_records(spark, path).select(F.from_csv("record", F.lit(schema), options).alias("_r")).select("_r.*")
+    return rows.withColumnsRenamed({id_col: "id", text_col: "text"})
+
+
 def read_analyses(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Analysis records as (ord, record variant).
 
@@ -79,6 +96,16 @@ def read_analyses(spark: SparkSession, path: str, lines: bool = False) -> DataFr
     return documents.select(F.posexplode(checked).alias("ord", "record")).withColumn("ord", F.col("ord").cast("bigint"))
 
 
+def read_large_analyses(spark: SparkSession, path: str) -> DataFrame:
+    """The same rows as the document form of ``read_analyses``, where a document is too large for one row and task.
+
+    Documents are checked for their shape before rows come back; a wrong one raises here, a wrong element when it is read.
+    """
+    records = with_exact_json(array_elements(spark, path, "analyses"), "element", "record")
+    unreadable = F.raise_error(F.lit("an element of the member 'analyses' cannot be read"))
+    return records.select("ord", F.coalesce("record", unreadable.cast("variant")).alias("record"))
+
+
 def load_taxonomy(spark: SparkSession, path: str | None = None) -> dict | list:
     """The taxonomy document, or the built-in one when there is none or it cannot be read."""
     if path is None:

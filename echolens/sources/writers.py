@@ -36,7 +36,10 @@ def titled_reviews(reviews: DataFrame) -> DataFrame:
 
 
 def write_reviews_csv(reviews: DataFrame, path: str) -> bool:
-    """Write the review CSV; with no rows nothing is left at ``path`` and False returned."""
+    """Write the review CSV; with no rows nothing is left at ``path`` and False returned.
+
+    Taking the empty folder away needs a classic session; Spark Connect has no way to it.
+    """
     counted = Observation()
     rows = titled_reviews(reviews).observe(counted, F.count(F.lit(1)).alias("rows"))
     # Rows are counted while they are written, in one run of the plan. The folder must not have been there before, so
@@ -125,6 +128,26 @@ def write_result(df: DataFrame, path: str, fmt: str = "database") -> None:
         raise ValueError(f"unknown output format: {fmt}")
 
 
+def result_rows(reviews: DataFrame, labels: DataFrame, result_type: str) -> DataFrame:
+    """What a result of a type consists of: the reviews of a crawl, labeled reviews, or an export with what labels it has.
+
+    ``reviews`` and ``labels`` are those of the source job. Labeled reviews are the ones that have a label.
+    """
+    if result_type == "scraped_reviews":
+        return titled_reviews(reviews)
+    if result_type == "labeled_reviews":
+        of = labels.select(F.col("review_id").alias("id"))
+        return labeled_reviews(reviews.join(of, "id", "left_semi"), labels)
+    if result_type == "exported_data":
+        return enrich_reviews(reviews, labels)
+    raise ValueError(f"result type is not supported: {result_type}")
+
+
+def run_process_results(reviews: DataFrame, labels: DataFrame, job: dict, path: str) -> None:
+    """Write the result that a job asks for: its ``resultType`` in its ``outputFormat`` (a table unless given)."""
+    write_result(result_rows(reviews, labels, job["resultType"]), path, job.get("outputFormat", "database"))
+
+
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str) -> None:
     """Store a table bucketed and sorted by its key.
 

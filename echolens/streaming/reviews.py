@@ -17,18 +17,26 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from echolens import schemas as S
-from echolens.operators.crawl import LIST_KEY, apply_early_stop
+from echolens.operators.crawl import LIST_KEY, advance_frontier, split_due
 from echolens.operators.labeling import Labeler, label_reviews, split_unmatched
-from echolens.operators.merge import BROADCAST_ROWS, LABEL_UPDATES, REVIEW_UPDATES, with_label_ids
+from echolens.operators.merge import LABEL_UPDATES, REVIEW_UPDATES, with_label_ids
 from echolens.plans.collect import check_reviews, reviews_to_store
 from echolens.plans.label import last_label_per_review
-from echolens.session import null_safe_join, store
+from echolens.session import store
 from echolens.sources.readers import explode_pages, page_columns
+from echolens.sources.versions import PART, Versions, part_of
 
 REVIEW_LOG, LABEL_LOG, QUARANTINE = "review_log", "label_log", "review_quarantine"
-PAGE_LOG, UNMATCHED = "page_log", "label_unmatched"
-# Entries before the first batch: a compacted log's two, and the empty one that gives a new log its folder.
-COMPACT_FIRST, COMPACT_LAST, EMPTY = -2, -1, -3
+PAGE_STATE, UNMATCHED = "page_state", "label_unmatched"
+#: State of the crawled lists: how far each may be read; and the parts it is dealt into.
+FRONTIER = T.StructType(
+    [*[T.StructField(name, T.StringType()) for name in LIST_KEY], *[T.StructField(n, T.LongType()) for n in ("reached", "bad")]]
+)
+LABEL_STATE = "label_state"
+UNANSWERED = "id string, text string, tries int"
+STATE_PARTS = 16
+# Entries of a compacted log, before those of the first batch.
+COMPACT_FIRST, COMPACT_LAST = -2, -1
 BATCH = "batch_id"
 _STAMPS = ("created_at", "updated_at")
 
@@ -96,22 +104,33 @@ def stream_ingest(
 ) -> StreamingQuery:
     """Ingest landed page files as they arrive, with the early stop of the batch path.
 
-    Pages are logged as they land. Of the lists that a batch touches, the pages before the first empty, failed or
-    missing one *so far* are due, and those that were not due before the batch are ingested with it. So a page that
-    landed ahead of its turn waits in the page log until the gap before it is filled, and once all files are in, the
-    reviews are those of the batch path. A page already ingested is not taken back by a bad copy that lands later.
+    Each list has a frontier, the run of good pages from its first one, and waiting pages, which landed ahead of a gap.
+    A batch moves the frontiers of the lists it touches; pages up to them, arrived or waiting, are due and ingested, so
+    a batch reads its own pages and, of the touched parts of the state, frontiers and waiting pages, however many pages
+    have passed before. Once all files are in, the reviews are those of the batch path. A page already ingested is not
+    taken back by a bad copy that lands later; such a copy ends its list there.
+
+    The state of a batch becomes visible after its reviews are logged. A batch that is repeated starts from the state
+    before it and replaces what its first attempt wrote.
     """
     pages = page_columns(spark.readStream.schema(S.REVIEW_PAGE).json(in_path))
-    logged = T.StructType([*pages.schema.fields, T.StructField(BATCH, T.LongType())])
+    state = Versions(spark, f"{table_root}/{PAGE_STATE}")
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table_root}/{PAGE_LOG}/{BATCH}={batch_id}")
-        log = spark.read.schema(logged).parquet(f"{table_root}/{PAGE_LOG}").where(F.col(BATCH) <= batch_id)
-        touched = log.where(F.col(BATCH) == batch_id).select(*LIST_KEY).distinct()
-        seen = null_safe_join(log, touched, LIST_KEY, "left_semi")
-        before = apply_early_stop(seen.where(F.col(BATCH) < batch_id))
-        due = null_safe_join(apply_early_stop(seen), before.select(*LIST_KEY, "page", BATCH), [*LIST_KEY, "page", BATCH], "left_anti")
-        _log_reviews(explode_pages(due.drop(BATCH)), table_root, batch_id, as_of, strict)
+        batch = batch.persist()
+        try:
+            run = state.begin(batch_id)
+            dealt = part_of(LIST_KEY, STATE_PARTS)
+            touched = [part for (part,) in batch.select(dealt).distinct().collect()]
+            waiting = run.read("waiting", pages.schema, touched)
+            moved = advance_frontier(run.read("frontier", FRONTIER, touched), waiting, batch)
+            run.put("frontier", moved.select("*", dealt), touched)
+            due, ahead = split_due(waiting.unionByName(batch), run.staged("frontier", FRONTIER, touched))
+            _log_reviews(explode_pages(due), table_root, batch_id, as_of, strict)
+            run.put("waiting", ahead.select("*", dealt), touched)
+            run.publish()
+        finally:
+            batch.unpersist()
 
     return start_batches(pages, each, checkpoint, trigger)
 
@@ -167,36 +186,45 @@ def stream_label(
     concurrency: int | None = None,
     trigger: dict | None = None,
     as_of: datetime | None = None,
+    attempts: int = 3,
 ) -> StreamingQuery:
-    """Label reviews as they enter the review log; those an earlier batch has labeled are left out.
+    """Label reviews as they enter the review log; those an earlier batch has asked about are left out.
 
-    Labels logged by a first attempt of the same batch do not count, so a replay labels the whole batch again.
-    Answers for reviews that are not in the review log go to a quarantine folder of the batch.
+    Which ids were met is a table in parts by id; a batch reads the ids in the parts it touches, and neither log. Of several
+    entries of a review in one batch the last one is asked about. Reviews that a call left without an answer wait
+    in a table of their own and are asked about with the next batches, ``attempts`` times in all. Answers nobody
+    asked for count if the review log has their id, which is looked up for them alone; the others go to a
+    quarantine folder of the batch. A batch that is repeated is labeled whole again and replaces its first attempt.
     """
     schema = T.StructType([*_logged(S.REVIEWS).fields, T.StructField(BATCH, T.LongType())])
     arriving = spark.readStream.schema(schema).parquet(f"{table_root}/{REVIEW_LOG}").select("id", "text", BATCH)
-    # An empty entry of the very first batch gives the log a folder to read.
-    nothing = spark.createDataFrame([], S.LABELS)
+    state = Versions(spark, f"{table_root}/{LABEL_STATE}")
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        if batch_id == 0:
-            _append(nothing, table_root, LABEL_LOG, EMPTY, _stamp(as_of))
-        log = _read_log(batch.sparkSession, table_root, LABEL_LOG, S.LABELS)
-        done = log.where(F.col(BATCH) < batch_id).select(F.col("review_id").alias("id"))
-        batch = batch.persist()
-        try:
-            if batch.count() <= BROADCAST_ROWS:
-                # Only the id column of the log is scanned and nothing of it is shuffled.
-                done = F.broadcast(done.join(F.broadcast(batch.select("id")), "id", "left_semi").distinct())
-            fresh = batch.groupBy("id").agg(F.max_by("text", BATCH).alias("text")).join(done, "id", "left_anti")
-            # Answers are written before two results read them, so no call is made twice.
-            answers = store(label_reviews(fresh, taxonomy, labeler, batch_size, model, concurrency), "stream-answers")
+        run = state.begin(batch_id)
+        waiting = run.read("unanswered", UNANSWERED)
+        dealt = part_of(["id"], STATE_PARTS)
+        entered = batch.where(F.col("id").isNotNull()).groupBy("id").agg(F.max_by("text", F.struct(BATCH, "text")).alias("text"))
+        entered = store(entered, "stream-entered")
+        touched = [part for (part,) in entered.select(dealt).distinct().collect()]
+        met = run.read("met", "id string", touched)
+        # Written once: the new reviews and the answers to them are read by several results.
+        fresh = entered.join(met, "id", "left_anti").withColumn("tries", F.lit(0))
+        asked = store(fresh.unionByName(waiting), "stream-asked")
+        run.put("met", met.union(entered.select("id")).distinct().select("id", dealt), touched)
+        answers = store(label_reviews(asked.drop("tries"), taxonomy, labeler, batch_size, model, concurrency), "stream-answers")
+        own, strays = split_unmatched(answers, asked, answers.count())
+        n_strays = strays.count()
+        if n_strays:
             known = spark.read.schema(schema).parquet(f"{table_root}/{REVIEW_LOG}").select("id")
-            matched, unmatched = split_unmatched(answers, known, answers.count())
-            _append(with_label_ids(last_label_per_review(matched)), table_root, LABEL_LOG, batch_id, _stamp(as_of))
-            unmatched.drop("answer_ord").write.mode("overwrite").parquet(f"{table_root}/{UNMATCHED}/{BATCH}={batch_id}")
-        finally:
-            batch.unpersist()
+            matched, strays = split_unmatched(strays, known, n_strays)
+            own = own.unionByName(matched)
+        _append(with_label_ids(last_label_per_review(own)), table_root, LABEL_LOG, batch_id, _stamp(as_of))
+        strays.drop("answer_ord").write.mode("overwrite").parquet(f"{table_root}/{UNMATCHED}/{BATCH}={batch_id}")
+        left = asked.join(answers.select(F.col("review_id").alias("id")).distinct(), "id", "left_anti")
+        left = left.withColumn("tries", F.col("tries") + 1).where(F.col("tries") < attempts)
+        run.put("unanswered", left.withColumn(PART, F.pmod(F.xxhash64("id"), F.lit(STATE_PARTS))))
+        run.publish()
 
     return start_batches(arriving, each, checkpoint, trigger)
 

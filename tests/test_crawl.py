@@ -164,3 +164,33 @@ def test_store_order_brute_force(spark):
     frame = frame.withColumns({"title": F.lit("t"), "helpful_votes": F.lit(0), "country": F.lit("US")})
     got = {r.id: (r.app_id, r.user_name, r.score, r.text) for r in reviews_to_store(frame).collect()}
     assert got == expected
+
+
+def test_frontier_equals_early_stop_over_all_pages(spark):
+    """After each batch what was due so far is what the whole log gives, but for pages taken before a bad copy landed."""
+    import random
+
+    from echolens.session import null_safe_join
+
+    schema = "app_id string, country_code string, sort_method string, page int, n_reviews int, error string, no int"
+    rng = random.Random(11)
+    frontier = spark.createDataFrame([], "app_id string, country_code string, sort_method string, reached long, bad long")
+    waiting, log, done, number = spark.createDataFrame([], schema), [], set(), 0
+    for _ in range(6):
+        batch = []
+        for _ in range(rng.randrange(1, 25)):
+            bad = rng.random() < 0.06
+            batch.append((rng.choice("ab"), rng.choice(["us", None]), "recent", rng.choice([None, 0, *range(1, 9)]),
+                          0 if bad and rng.random() < 0.5 else 2, "timeout" if bad else None, number))
+            number += 1
+        arrived = spark.createDataFrame(batch, schema)
+        moved = spark.createDataFrame(crawl.advance_frontier(frontier, waiting, arrived).collect(), frontier.schema)
+        due, ahead = crawl.split_due(waiting.unionByName(arrived), moved)
+        got, ahead = {r.no for r in due.collect()}, spark.createDataFrame(ahead.collect(), schema)
+        before = {r.no for r in crawl.apply_early_stop(spark.createDataFrame(log, schema)).collect()}
+        log += batch
+        now = {r.no for r in crawl.apply_early_stop(spark.createDataFrame(log, schema)).collect()}
+        assert got == now - before
+        known = null_safe_join(frontier, moved.withColumnsRenamed({"reached": "_r", "bad": "_b"}), crawl.LIST_KEY)
+        assert known.where("_r < reached OR _b > bad").count() == 0 and known.count() == frontier.count()
+        frontier, waiting = moved, ahead

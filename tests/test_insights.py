@@ -114,6 +114,25 @@ def test_job_summary(spark, rows):
     assert bad["error"] == "No reviews found for provided IDs: x0, x1, x2, x3, x4..."
 
 
+def test_job_results_have_their_time(spark, rows):
+    from datetime import datetime
+
+    ids = [f"x{i}" for i in range(12)]
+    summary = I.label_job_summary(
+        spark.createDataFrame([("a", "positive", 0.95), ("x0", "negative", 0.5)], "review_id string, sentiment string, confidence double"),
+        spark.createDataFrame([("j1", ["a"]), ("j2", ["q"]), ("j3", ids)], "job_id string, review_ids array<string>"),
+    )
+    start = datetime(2024, 1, 1)
+    runs = [("j1", ["a"], start, datetime(2024, 1, 1, 0, 0, 2), None), ("j2", ["q"], start, start, None),
+            ("j3", ids, start, datetime(2024, 1, 1, 0, 0, 0, 7000), "boom"), ("j4", ["z"], start, None, "lost")]
+    runs = spark.createDataFrame(runs, "job_id string, review_ids array<string>, started_at timestamp, finished_at timestamp, error string")
+    a, b, c, d = rows(I.label_results(summary, runs), "job_id")
+    assert (a["success"], a["processing_time"], a["items_processed"], a["error"]) == (True, 2000, 1, None)
+    assert (b["success"], b["processing_time"], b["error"][:16]) == (False, 0, "No reviews found")
+    assert (c["success"], c["processing_time"], c["items_processed"], c["error"], c["failed_review_ids"], c["message"]) == (False, 7, 0, "boom", ids[:10], None)
+    assert (d["success"], d["processing_time"], d["error"]) == (False, None, "lost")
+
+
 def test_empty_backlog_is_a_success(spark, rows):
     labels = spark.createDataFrame([], "sentiment string, confidence double")
     assert rows(I.backlog_summary(labels))[0] == {

@@ -93,3 +93,81 @@ def test_analyses_lines(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"ord":1,"analysis":{"theme":"A"}}\n{"ord":0}\n')
     got = {r.ord: r.theme for r in readers.read_analyses(spark, str(tmp_path), lines=True).selectExpr("ord", "try_variant_get(record, '$.analysis.theme', 'string') AS theme").collect()}
     assert got == {0: None, 1: "A"}
+
+
+def test_large_csv_equals_the_reader_of_whole_files(spark, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    odd = ["plain", 'a "quoted" word', "two\nlines", "comma, here", '"', '""', "", " outer ", "\n\n", 'ends"\n', None, "é中", '"\n"', "x" * 400]
+    rows = [(f"r{i}", rng.choice(odd), " ".join(str(rng.choice(odd)) for _ in range(rng.randrange(6)))) for i in range(900)]
+    frame = spark.createDataFrame(rows, "`Review ID` string, Title string, `Review Text` string")
+    path = str(tmp_path / "csv")
+    frame.coalesce(2).write.options(header="true", quote='"', escape='"', quoteAll="true").csv(path)
+    (tmp_path / "csv" / "part-open.csv").write_text('Review ID,Title,Review Text\nlast,t,"never\nclosed')
+    (tmp_path / "csv" / "part-plain.csv").write_text("Review ID,Title,Review Text\n\np1,t,x\n\np2,,y")
+    wanted = readers.read_reviews_csv(spark, path)
+
+    def large():
+        assert spark.read.text(path).rdd.getNumPartitions() > 20
+        found = readers.read_large_reviews_csv(spark, path)
+        assert found.columns == wanted.columns
+        return sorted(map(str, found.collect()))
+
+    assert in_small_ranges(spark, large) == sorted(map(str, wanted.collect()))
+
+
+def in_small_ranges(spark, act):
+    small = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "0"}
+    before = {name: spark.conf.get(name) for name in small}
+    for name, value in small.items():
+        spark.conf.set(name, value)
+    try:
+        return act()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def test_large_document_equals_the_reader_of_whole_files(spark, tmp_path):
+    import random
+
+    rng = random.Random(9)
+
+    def value(depth):
+        kinds = [1, -2.5, "plain", 'a "q" \\ } ] , : {', "\\", "é中}", True, None, "x" * 300]
+        if depth and rng.random() < 0.6:
+            items = [value(depth - 1) for _ in range(rng.randrange(4))]
+            return items if rng.random() < 0.4 else {rng.choice(["a", "b}", "analyses", 'k"']): x for x in items}
+        return rng.choice(kinds)
+
+    for n in range(6):
+        elements = [value(3) for _ in range(rng.randrange(60))]
+        members = {"head": value(2), "list": [{"x": 1}, 2], "analyses": elements, "tail": value(2), "more": {"analyses": [1]}}
+        if n % 2:
+            members = dict(reversed(members.items()))
+        folder = tmp_path / f"d{n}"
+        folder.mkdir()
+        text = json.dumps(members, indent=n % 3 or None, ensure_ascii=n % 2 == 0)
+        (folder / "a.json").write_text(text + ("\n" if n % 2 else ""), encoding="utf-8")
+        (folder / "b.json").write_text('{"analyses": [ ]}' if n % 2 else '{"analyses":[{"only": 1}], "z": "}"}')
+
+        def read(reader, folder=str(folder)):
+            return sorted((r.ord, r.j) for r in reader(spark, folder).selectExpr("ord", "to_json(record) AS j").collect())
+
+        assert in_small_ranges(spark, lambda read=read: read(readers.read_large_analyses)) == read(readers.read_analyses)
+
+
+@pytest.mark.parametrize(
+    "text", ['{"analyses": 5}', '[{"analyses": [1]}]', '{"analyses": [1, {"a": 2}', '{"analyses": [1]', '{"other": []}', '{"analyses": {"a": 1}}', '{"analyses": ["x]}']
+)
+def test_wrong_large_documents_raise(spark, tmp_path, text):
+    (tmp_path / "a.json").write_text(text)
+    with pytest.raises(Exception, match="no array member 'analyses'"):
+        readers.read_large_analyses(spark, str(tmp_path)).collect()
+
+
+def test_wrong_elements_raise(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"analyses": [{"a": 1}, {"a" 2}, 3]}')
+    with pytest.raises(Exception, match="cannot be read"):
+        readers.read_large_analyses(spark, str(tmp_path)).collect()

@@ -9,8 +9,8 @@ import pytest
 
 import __spark_entry__ as entry
 from tools.check_oracles import compare
-
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+from workload.oracles import ORACLES
+from workload.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -22,8 +22,8 @@ def con(sf):
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"sample_logs"}
+    assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

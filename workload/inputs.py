@@ -14,6 +14,7 @@ from echolens.operators.normalize import normalize_reviews
 
 AS_OF = datetime(2024, 3, 1)
 LATER = datetime(2024, 4, 1)
+LATEST = datetime(2024, 5, 1)
 c = F.col
 
 
@@ -187,6 +188,18 @@ def jobs_of(events: DataFrame) -> DataFrame:
     )
 
 
+def job_states_of(events: DataFrame) -> DataFrame:
+    """Four rows to a job, each with a state and a time of its own; the last event comes first in the course of some."""
+    states = F.create_map(*[F.lit(v) for pair in enumerate(("waiting", "active", "completed", "failed", "delayed")) for v in pair])
+    job = F.floor(c("event_id") / 4)
+    return events.select(
+        job.cast("string").alias("id"),
+        F.when(job % 3 == 0, "scrape_reviews").when(job % 3 == 1, "label_reviews").otherwise("export_data").alias("type"),
+        states[((c("event_id") * 7 + c("user_id")) % 5).cast("int")].alias("status"),
+        F.timestamp_seconds(F.lit(1704067200) + (c("event_id") * 13) % 4).alias("updated_at"),
+    )
+
+
 def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = job_table(spark, sf_dir).where(c("status") == "failed")
     return to_dead_letters(failed, c("created_at"))

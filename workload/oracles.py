@@ -4,6 +4,8 @@
 
 from __future__ import annotations
 
+from echolens import schemas as S
+
 AS_OF, LATER = "TIMESTAMP '2024-03-01 00:00:00'", "TIMESTAMP '2024-04-01 00:00:00'"
 AS_OF_ISO, LATER_ISO = "2024-03-01T00:00:00.000Z", "2024-04-01T00:00:00.000Z"
 
@@ -297,11 +299,19 @@ oracle("sanitize_names", "", f"""
 oracle("validate_reviews", "fr", """
     SELECT id, country, helpful_votes, concat_ws('; ', CASE WHEN n % 20 = 8 THEN 'title: required' END, CASE WHEN n % 14 = 3 THEN 'score: range' END,
       CASE WHEN n % 15 = 4 THEN 'url: format' END, CASE WHEN n % 16 = 5 THEN 'helpful_votes: range' END, CASE WHEN n % 18 = 7 THEN 'country: length' END) AS errors FROM fr""")
-oracle("stored_constraints", "sl", """
-    SELECT review_id, id, errors FROM (
-      SELECT review_id, id, concat_ws('; ', CASE WHEN n % 12 = 2 THEN 'confidence: range' END,
+oracle("stored_constraints", "sl reviews apps", """
+    SELECT * FROM (
+      SELECT 'labels' AS table_name, id, concat_ws('; ', CASE WHEN n % 12 = 2 THEN 'confidence: range' END,
         CASE WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'id: duplicate' END) AS errors
-      FROM (SELECT review_id, n, 'L' || CAST(CASE WHEN n % 25 = 1 THEN n - 1 ELSE n END AS VARCHAR) AS id FROM sl)) WHERE errors <> ''""")
+      FROM (SELECT n, 'L' || CAST(CASE WHEN n % 25 = 1 THEN n - 1 ELSE n END AS VARCHAR) AS id FROM sl)
+      UNION ALL
+      SELECT 'reviews', id, concat_ws('; ', CASE WHEN n % 17 = 3 THEN 'app_id: required' END, CASE WHEN n % 19 = 4 THEN 'country: required' END,
+        CASE WHEN n % 14 = 3 THEN 'score: range' END, CASE WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'id: duplicate' END)
+      FROM (SELECT n, 'r' || CAST(CASE WHEN n % 26 = 1 THEN n - 1 ELSE n END AS VARCHAR) AS id FROM reviews)
+      UNION ALL
+      SELECT 'apps', CASE WHEN n % 5 <> 2 THEN app_id END, concat_ws('; ', CASE WHEN n % 5 = 2 THEN 'id: required' END,
+        CASE WHEN n % 3 = 1 THEN 'title: required' END) FROM apps)
+    WHERE errors <> ''""")
 oracle("validate_jobs", "pe", "SELECT n AS id, type, errors FROM pe WHERE errors <> ''")
 oracle("accepted_job_defaults", "pe", """
     SELECT n AS id, type, CAST(CASE WHEN type = 'scrape_reviews' THEN CASE WHEN n % 5 = 0 THEN n % 13 ELSE 5 END END AS INT) AS pages,
@@ -324,6 +334,18 @@ oracle("upsert_reviews", "reviews", f"""
       CASE WHEN n % 6 <> 1 THEN helpful_votes + 100 ELSE helpful_votes END AS helpful_votes, country,
       CASE WHEN n % 3 <> 0 THEN {iso("created_at")} ELSE '{AS_OF_ISO}' END AS created_at,
       CASE WHEN n % 6 <> 1 THEN '{AS_OF_ISO}' ELSE {iso("created_at")} END AS updated_at FROM reviews""")
+ORACLES["upsert_touched_buckets"] = ORACLES["upsert_reviews"]
+oracle("theme_insights_incremental", "l", f"""
+    SELECT theme, count(*) AS mentions, count(*) FILTER (sentiment = 'positive') AS positive, count(*) FILTER (sentiment = 'negative') AS negative,
+      count(*) FILTER (sentiment NOT IN ('positive', 'negative')) AS neutral,
+      CAST(COALESCE(sum(severity) FILTER (sentiment = 'negative'), 0) AS DOUBLE) AS severity_sum,
+      count(*) FILTER (sentiment = 'negative') AS severity_count, count(*) FILTER (asks) AS requests,
+      {iso("min(made)")} AS first_ord, {iso("min(made) FILTER (asks)")} AS first_request_ord
+    FROM (SELECT CASE WHEN ord % 5 = 0 THEN 'theme_' || CAST(ord % 4 AS VARCHAR) ELSE COALESCE(theme, 'none') END AS theme,
+        CASE WHEN ord % 5 = 0 THEN 'negative' ELSE sentiment END AS sentiment, COALESCE(severity, 1) AS severity,
+        CASE WHEN ord % 5 = 0 THEN ord % 2 = 0 ELSE feature_request = 'Y' END AS asks,
+        CASE WHEN ord % 3 = 0 THEN {LATER} ELSE {AS_OF} END AS made FROM l)
+    GROUP BY theme""")
 oracle("upsert_labels", "sl", f"""
     SELECT CASE WHEN n % 2 = 0 THEN id ELSE 'label_' || sha256(review_id) END AS id, review_id, 'Relabeled' AS theme, sentiment, severity, feature_request,
       direct_quote, confidence, 'm2' AS model_version, CASE WHEN n % 2 = 0 THEN '{AS_OF_ISO}' ELSE '{LATER_ISO}' END AS created_at, '{LATER_ISO}' AS updated_at FROM sl""")
@@ -393,6 +415,16 @@ oracle("label_job_summary", "e sl", """
       CASE WHEN count(sl.id) > 0 THEN count(*) FILTER (sl.sentiment = 'negative') END AS negative
     FROM e LEFT JOIN sl ON sl.review_id = e.review_id GROUP BY e.batch_no""")
 
+_SUMMARY = ORACLES["label_job_summary"].partition("SELECT e.batch_no")
+ORACLES["label_job_results"] = f"""{_SUMMARY[0].rstrip()}, summary AS ({"".join(_SUMMARY[1:])}),
+  ids AS (SELECT batch_no, string_agg(review_id, ',' ORDER BY doc_id) AS all_ids FROM e GROUP BY batch_no)
+SELECT job_id, success AND NOT gone AS success, CASE WHEN NOT gone THEN message END AS message,
+  CASE WHEN gone THEN 'Rate limit' ELSE error END AS error, CASE WHEN gone THEN all_ids ELSE failed_review_ids END AS failed_review_ids,
+  CASE WHEN gone THEN 0 ELSE items_processed END AS items_processed, CASE WHEN NOT gone THEN average_confidence END AS average_confidence,
+  CASE WHEN NOT gone THEN positive END AS positive, CASE WHEN NOT gone THEN neutral END AS neutral, CASE WHEN NOT gone THEN negative END AS negative,
+  CAST(job_id * 17 % 1000 AS BIGINT) AS processing_time
+FROM (SELECT *, job_id % 13 = 5 AS gone FROM summary) s JOIN ids ON ids.batch_no = s.job_id"""
+
 # --- jobs and dead letters -----------------------------------------------------------------------------------
 
 oracle("queue_stats", "q", "SELECT type, type_ord, waiting, active, completed, failed, delayed FROM q")
@@ -458,7 +490,15 @@ oracle("dead_letter_all", "d", "SELECT type AS original_job_type, position, id F
 _RETRY = "SELECT * FROM d WHERE type = 'label_reviews' AND failure_reason = 'Rate limit' ORDER BY failed_at DESC, id DESC LIMIT "
 oracle("dlq_retry_by_reason", "d", f"SELECT 'retry_' || original_job_id AS id, type, 5 AS priority, 0 AS delay, 3 AS max_attempts FROM ({_RETRY} 10)")
 oracle("dlq_retry_remaining", "d", f"SELECT id, type AS original_job_type FROM d WHERE id NOT IN (SELECT id FROM ({_RETRY} 3))")
-oracle("dlq_retry_one", "d", "SELECT id, type AS original_job_type FROM d WHERE id NOT IN ('dlq_20', 'dlq_60')")
+oracle("dlq_retry_one", "d", """
+    SELECT 'retried' AS half, 'retry_' || original_job_id AS id, type, 'waiting' AS status, 5 AS priority, 0 AS delay, 0 AS attempts, 3 AS max_attempts
+    FROM d WHERE id IN ('dlq_20', 'dlq_60')
+    UNION ALL SELECT 'remaining', id, type, 'waiting', NULL, NULL, NULL, NULL FROM d WHERE id NOT IN ('dlq_20', 'dlq_60')""")
+oracle("dlq_retry_published", "d", f"""
+    , rest AS (SELECT * FROM d WHERE id NOT IN ('dlq_20', 'dlq_60')),
+      picked AS (SELECT id FROM ({_RETRY.replace("FROM d ", "FROM rest ")} 3) UNION ALL SELECT id FROM d WHERE id IN ('dlq_20', 'dlq_60'))
+    SELECT 'retried' AS half, 'retry_' || original_job_id AS id, type FROM d WHERE id IN (SELECT id FROM picked)
+    UNION ALL SELECT 'remaining', id, type FROM d WHERE id NOT IN (SELECT id FROM picked)""")
 oracle("dlq_clean", "d", f"""
     SELECT id, CASE WHEN n % 40 = 0 THEN 'failed' ELSE 'waiting' END AS status FROM d WHERE NOT (n % 40 = 0 AND failed_at <= {AS_OF} - INTERVAL 30 DAY)""")
 oracle("cleanup_dry_run", "reviews", f"SELECT id, app_id FROM reviews WHERE date < {AS_OF} - INTERVAL 30 DAY")
@@ -470,6 +510,7 @@ oracle("export_reviews", "reviews sl", f"""
     SELECT r.id, {iso("date")} AS date, score, text, theme, sentiment, severity FROM reviews r LEFT JOIN sl ON sl.review_id = r.id WHERE r.app_id = 'src3' AND date <= {AS_OF}""")
 oracle("reviews_csv", "reviews", f"""
     SELECT id, country, user_name, score AS rating, title, text, {iso("date")} AS date, CAST(NULL AS VARCHAR) AS url, helpful_votes AS votes FROM reviews""")
+ORACLES["reviews_csv_large"] = ORACLES["reviews_csv"]
 oracle("reviews_csv_by_app", "reviews app_rows", """
     SELECT replace(a.title, ' ', '_') AS app, count(*) AS n, count(DISTINCT r.id) AS ids FROM reviews r JOIN app_rows a ON a.id = r.app_id GROUP BY 1""")
 oracle("export_job", "reviews", """
@@ -482,8 +523,18 @@ oracle("stored_tables", "reviews sl", """
 oracle("bucketed_tables", "reviews sl", """
     SELECT theme, count(*) AS n, CAST(sum(score) AS BIGINT) AS total_score FROM reviews r LEFT JOIN sl ON sl.review_id = r.id GROUP BY theme""")
 oracle("analyses_json_lines", "t", "SELECT theme, mentions, negative, average_severity, first_ord FROM t")
+ORACLES["analyses_json_document"] = ORACLES["analyses_json_lines"]
+_BUILT_IN = ", ".join(f"({at}, '{t['name']}', '{t['description']}')" for at, t in enumerate(S.DEFAULT_TAXONOMY["themes"]))
+oracle("taxonomy_document", "", f"""
+    SELECT 'whole' AS document, CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INT) AS ord, n_name AS name, r_name AS description
+    FROM nation JOIN region ON r_regionkey = n_regionkey
+    UNION ALL SELECT document, ord, name, description FROM (VALUES ('cut off'), ('missing')) d(document), (VALUES {_BUILT_IN}) t(ord, name, description)""")
 oracle("result_output", "sl", """
     SELECT fmt, theme, count(*) AS n FROM sl, (VALUES ('csv'), ('json'), ('database')) v(fmt) GROUP BY fmt, theme""")
+oracle("result_by_type", "reviews sl", """
+    SELECT id, score, CAST(NULL AS VARCHAR) AS theme, 'scraped_reviews' AS result_type FROM reviews
+    UNION ALL SELECT r.id, score, theme, 'labeled_reviews' FROM reviews r JOIN sl ON sl.review_id = r.id AND severity > 2
+    UNION ALL SELECT r.id, score, theme, 'exported_data' FROM reviews r LEFT JOIN sl ON sl.review_id = r.id AND severity > 2""")
 oracle("health_rollup", "", """
     SELECT 'service' || CAST(user_id % 50 AS VARCHAR) AS service, count(*) AS check_count,
       CASE WHEN bool_or(event_type = 'error' AND (value > 60 OR event_id % 997 = 0)) THEN 'unhealthy'
@@ -508,11 +559,19 @@ oracle("stream_ingest_raw", "reviews", f"SELECT id, app_id, user_name, score, ti
 oracle("stream_label", "k", "SELECT review_id, theme, sentiment, severity, feature_request, direct_quote, confidence FROM k")
 oracle("stream_dedup", "reviews", f"SELECT id, {iso('date')} AS date FROM reviews")
 oracle("stream_queue_status", "j", "SELECT type, status, count(*) AS n FROM j GROUP BY type, status")
+oracle("stream_job_states", "", """
+    SELECT type, status, count(*) AS jobs FROM (
+      SELECT event_id // 4 AS job, CASE (event_id // 4) % 3 WHEN 0 THEN 'scrape_reviews' WHEN 1 THEN 'label_reviews' ELSE 'export_data' END AS type,
+        CASE (event_id * 7 + user_id) % 5 WHEN 0 THEN 'waiting' WHEN 1 THEN 'active' WHEN 2 THEN 'completed' WHEN 3 THEN 'failed' ELSE 'delayed' END AS status
+      FROM events QUALIFY row_number() OVER (PARTITION BY event_id // 4 ORDER BY (event_id * 13) % 4 DESC) = 1)
+    GROUP BY type, status""")
 oracle("stream_queue_activity", "j", """
     SELECT type, count(*) FILTER (status = 'active') AS active, count(*) FILTER (status = 'waiting') AS waiting,
       count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed
     FROM j WHERE type <> 'label_reviews' GROUP BY type HAVING count(*) FILTER (status IN ('active', 'waiting')) > 0""")
 oracle("stream_quarantine", "j", """
-    SELECT CAST(id AS VARCHAR) AS original_job_id, type AS original_job_type, CASE type WHEN 'label_reviews' THEN 'reviewIds: required'
-      WHEN 'process_results' THEN 'sourceJobId: required; resultType: required' WHEN 'cleanup_data' THEN 'targetType: required' ELSE 'appId: required' END AS failure_reason
-    FROM j WHERE id % 5 = 0""")
+    SELECT CASE WHEN id % 5 = 0 THEN 'dead letter' ELSE 'accepted' END AS half, CAST(id AS VARCHAR) AS id, type,
+      CASE WHEN id % 5 = 0 THEN CASE type WHEN 'label_reviews' THEN 'reviewIds: required'
+        WHEN 'process_results' THEN 'sourceJobId: required; resultType: required' WHEN 'cleanup_data' THEN 'targetType: required' ELSE 'appId: required' END
+      END AS failure_reason
+    FROM j""")

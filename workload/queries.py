@@ -25,11 +25,13 @@ from echolens.operators import (
     query,
     validate,
 )
+from echolens.plans import maintain, retry
 from echolens.plans.collect import check_reviews, collect_reviews, reviews_to_store
 from echolens.plans.label import label_backlog
 from echolens.plans.report import insight_report
 from echolens.session import shared_folder
 from echolens.sources import readers, writers
+from echolens.sources.versions import Versions
 from echolens.streaming import jobs as job_streams
 from echolens.streaming import reviews as review_streams
 from workload import inputs as T
@@ -348,16 +350,31 @@ def validate_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def stored_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label rows of which some ids repeat and some confidences are out of range."""
+    """Stored rows of three tables, of which some break a constraint; broken rows with their codes."""
     n = F.substring("id", 2, 20).cast("bigint")
-    rows = T.stored_labels(spark, sf_dir).withColumns(
+    labels = T.stored_labels(spark, sf_dir).withColumns(
         {
             "id": F.concat(F.lit("L"), F.when(n % 25 == 1, n - 1).otherwise(n).cast("string")),
             "confidence": F.when(n % 12 == 2, 1.5).otherwise(c("confidence")).cast("double"),
         }
     )
-    _, bad = validate.check_stored(rows, "labels")
-    return bad.select("review_id", "id", F.array_join("errors", "; ").alias("errors"))
+    reviews = T.stored_reviews(spark, sf_dir).withColumns(
+        {
+            "id": F.when(n % 26 == 1, F.concat(F.lit("r"), (n - 1).cast("string"))).otherwise(c("id")),
+            "app_id": F.when(n % 17 != 3, c("app_id")),
+            "country": F.when(n % 19 != 4, c("country")),
+            "score": F.when(n % 14 == 3, 6).otherwise(c("score")),
+        }
+    )
+    k = F.regexp_extract("app_id", r"([0-9]+)$", 1).cast("int")
+    apps = _apps(spark, sf_dir).select(
+        F.when(k % 5 != 2, c("app_id")).alias("id"), F.when(k % 3 != 1, F.concat(F.lit("App "), "app_id")).alias("title")
+    )
+    found = []
+    for name, rows in (("labels", labels), ("reviews", reviews), ("apps", apps)):
+        _, bad = validate.check_stored(rows, name)
+        found.append(bad.select(F.lit(name).alias("table_name"), "id", F.array_join("errors", "; ").alias("errors")))
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def _payload_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -471,6 +488,38 @@ def upsert_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _iso(merge.upsert_reviews(target, source, T.AS_OF).select(*_UPSERTED), "created_at", "updated_at")
 
 
+@register
+def upsert_touched_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same upsert into a stored table of which only the touched parts are read and written."""
+    target, source = _review_changes(spark, sf_dir)
+    tables = Versions(spark, _scratch(spark, "parts"))
+    run = tables.begin()
+    run.put("reviews", target.select("*", merge.part_of_key("id", merge.REVIEW_UPDATES, 16)))
+    run.publish()
+    maintain.put_reviews(tables, source, T.AS_OF, parts=16)
+    return _iso(maintain.current(tables, "reviews").select(*_UPSERTED), "created_at", "updated_at")
+
+
+@register
+def theme_insights_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Theme statistics kept up over three label batches: new labels, labels of other reviews, relabeled ones."""
+    n = c("ord")
+    rows = T.analysis_columns(spark, sf_dir).select(
+        "ord", "review_id", F.coalesce("theme", F.lit("none")).alias("theme"), "sentiment", "severity",
+        (c("feature_request") == "Y").alias("feature_request"), "direct_quote",
+        c("confidence").cast(S.CONFIDENCE).alias("confidence"), F.lit("m1").alias("model_version"),
+    )
+    again = rows.where(n % 5 == 0).withColumns(
+        {"theme": F.concat(F.lit("theme_"), (n % 4).cast("string")), "sentiment": F.lit("negative"), "feature_request": n % 2 == 0}
+    )
+    tables = Versions(spark, _scratch(spark, "insights"))
+    for batch, day in ((rows.where(n % 3 != 0), T.AS_OF), (rows.where(n % 3 == 0), T.LATER), (again, T.LATEST)):
+        maintain.put_labels(tables, batch.drop("ord"), day, parts=8)
+    stats = maintain.maintained_stats(tables)
+    first = {name: F.timestamp_micros(name) for name in ("first_ord", "first_request_ord")}
+    return _iso(stats.where("mentions > 0").withColumns(first), *first)
+
+
 @register
 def upsert_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the labels stored, all of them coming in again with another theme."""
@@ -712,6 +761,21 @@ def label_job_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.withColumn("failed_review_ids", F.array_join("failed_review_ids", ","))
 
 
+@register
+def label_job_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same jobs as results with the time they took; some ended with an error."""
+    n = c("batch_no")
+    start = T.hours_from_2024(n)
+    runs = _responses(spark, sf_dir).select(
+        n.alias("job_id"), "review_ids", start.alias("started_at"),
+        F.timestamp_millis(F.unix_millis(start) + n * 17 % 1000).alias("finished_at"),
+        F.when(n % 13 == 5, "Rate limit").alias("error"),
+    )
+    summary = insights.label_job_summary(T.stored_labels(spark, sf_dir), runs.select("job_id", "review_ids"))
+    result = insights.label_results(summary, runs)
+    return result.withColumn("failed_review_ids", F.array_join("failed_review_ids", ","))
+
+
 # --- jobs and dead letters -----------------------------------------------------------------------------------
 
 
@@ -882,8 +946,31 @@ def dlq_retry_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def dlq_retry_one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, rest = deadletter.retry_dead_letter(T.dead_letters(spark, sf_dir), ["dlq_20", "dlq_60"])
-    return rest.select("id", "original_job_type")
+    """Both halves of a retry by id: the new jobs and the dead letters that remain."""
+    again, rest = deadletter.retry_dead_letter(T.dead_letters(spark, sf_dir), ["dlq_20", "dlq_60"])
+    made = again.select(
+        F.lit("retried").alias("half"), "id", "type", "status", "priority", "delay", "attempts", "max_attempts"
+    )
+    none = F.lit(None).cast("int")
+    return made.unionByName(
+        rest.select(
+            F.lit("remaining").alias("half"), "id", c("original_job_type").alias("type"), "status",
+            *[none.alias(name) for name in ("priority", "delay", "attempts", "max_attempts")],
+        )
+    )
+
+
+@register
+def dlq_retry_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retries by id and by reason, each published as one step; what the stored tables hold after both."""
+    tables = Versions(spark, _scratch(spark, "letters"))
+    retry.put_dead_letters(tables, T.dead_letters(spark, sf_dir))
+    retry.retry_letters(tables, ["dlq_20", "dlq_60"])
+    retry.retry_reason(tables, "label_reviews", "Rate limit", max_jobs=3)
+    made = retry.retried(tables).select(F.lit("retried").alias("half"), "id", "type")
+    return made.unionByName(
+        retry.dead_letters(tables).select(F.lit("remaining").alias("half"), "id", c("original_job_type").alias("type"))
+    )
 
 
 @register
@@ -931,6 +1018,19 @@ def reviews_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def reviews_csv_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The review CSV in one file, read back by byte ranges."""
+    path = _scratch(spark, "csv-large")
+    writers.write_reviews_csv(T.stored_reviews(spark, sf_dir).coalesce(1), path)
+    rows = readers.read_large_reviews_csv(spark, path)
+    return rows.select(
+        "id", c("Country").alias("country"), c("User Name").alias("user_name"), c("Rating").cast("int").alias("rating"),
+        c("Review Title").alias("title"), "text", c("Review Date").alias("date"), c("Review URL").alias("url"),
+        c("Helpful Votes").cast("int").alias("votes"),
+    )
+
+
 @register
 def reviews_csv_by_app(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per app folder of the CSV files."""
@@ -1001,6 +1101,43 @@ def analyses_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return insights.theme_insights(stats).select("theme", "mentions", "negative", "average_severity", "first_ord")
 
 
+@register
+def analyses_json_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same analyses in one document with an array, split for reading."""
+    path = _scratch(spark, "document")
+    fields = F.struct("theme", "sentiment", "severity", "feature_request")
+    rows = T.analysis_columns(spark, sf_dir).select(F.to_json(F.struct("ord", fields.alias("analysis"))).alias("value"))
+    # The parts of the document are lines of one file, in any order of the records.
+    spaced = rows.select(F.concat("value", F.lit(",")).alias("value"))
+    head = spark.createDataFrame([('{"source": "a \\"}\\" b", "analyses": [',)], "value string")
+    tail = spark.createDataFrame([('{"ord": null, "analysis": null}], "done": true}',)], "value string")
+    head.unionByName(spaced).unionByName(tail).coalesce(1).write.text(path)
+    records = readers.read_large_analyses(spark, path).withColumn("ord", F.try_variant_get("record", "$.ord", "bigint"))
+    stats = insights.insight_stats(normalize.normalize_analyses(records))
+    return insights.theme_insights(stats).select("theme", "mentions", "negative", "average_severity", "first_ord")
+
+
+@register
+def taxonomy_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A taxonomy written as a document and read back, with the built-in one where a document cannot be read."""
+    path, broken = _scratch(spark, "taxonomy"), _scratch(spark, "taxonomy")
+    theme = F.struct(c("n_nationkey"), c("n_name").alias("name"), c("r_comment").alias("description"))
+    joined = T.table(spark, sf_dir, "nation").join(
+        T.table(spark, sf_dir, "region").select(c("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("r_comment")), "n_regionkey"
+    )
+    listed = F.transform(F.sort_array(F.collect_list(theme)), lambda t: t.dropFields("n_nationkey"))
+    document = joined.agg(F.to_json(F.struct(listed.alias("themes"))).alias("value"))
+    document.write.text(path)
+    document.select(F.substring("value", 1, 40).alias("value")).write.text(broken)
+    parts = [
+        readers.taxonomy_table(spark, readers.load_taxonomy(spark, where)).select(
+            F.lit(name).alias("document"), "ord", "name", "description"
+        )
+        for name, where in (("whole", path), ("cut off", broken), ("missing", f"{path}-none"))
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @register
 def result_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A job result written in each of the three formats; rows per format and theme when read back."""
@@ -1018,6 +1155,27 @@ def result_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("fmt", "theme").agg(F.count("*").alias("n"))
 
 
+@register
+def result_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each type of result written in a format of its own as its job asks for it, and read back."""
+    reviews, labels = T.stored_reviews(spark, sf_dir), T.stored_labels(spark, sf_dir).where("severity > 2")
+    jobs_in = [
+        {"sourceJobId": "j1", "resultType": "scraped_reviews", "outputFormat": "csv"},
+        {"sourceJobId": "j2", "resultType": "labeled_reviews", "outputFormat": "json"},
+        {"sourceJobId": "j3", "resultType": "exported_data"},
+    ]
+    paths = [_scratch(spark, job["resultType"]) for job in jobs_in]
+    for job, path in zip(jobs_in, paths):
+        writers.run_process_results(reviews, labels, job, path)
+    none = F.lit(None).cast("string")
+    scraped = readers.read_reviews_csv(spark, paths[0]).select("id", c("Rating").cast("int").alias("score"), none.alias("theme"))
+    labeled = spark.read.schema("`Review ID` string, Rating int, theme string").json(paths[1])
+    exported = spark.read.schema("id string, score int, theme string").parquet(paths[2])
+    kinds = [job["resultType"] for job in jobs_in]
+    found = [df.toDF("id", "score", "theme").withColumn("result_type", F.lit(kind)) for df, kind in zip((scraped, labeled, exported), kinds)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @register
 def health_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     checks = T.table(spark, sf_dir, "events").select(
@@ -1144,15 +1302,18 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def stream_queue_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _scratch(spark, "status")
-    counts = job_streams.stream_queue_status(T.jobs_of(_stream(spark, sf_dir, "events")))
+    jobs_in = T.jobs_of(_stream(spark, sf_dir, "events"))
+    job_streams.stream_queue_status(jobs_in, root, f"{root}/checkpoint", DRAIN, "created_at").awaitTermination()
+    return job_streams.queue_status(spark, root).withColumnRenamed("jobs", "n")
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")
 
-    sink = counts.writeStream.outputMode("update").foreachBatch(each)
-    sink.option("checkpointLocation", f"{root}/checkpoint").trigger(**DRAIN).start().awaitTermination()
-    updates = spark.read.schema("type string, status string, count bigint, batch_id bigint").parquet(f"{root}/out")
-    return updates.groupBy("type", "status").agg(F.max_by("count", "batch_id").alias("n"))
+@register
+def stream_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several states of each job in one stream: each job counts once, in its last state."""
+    root = _scratch(spark, "states")
+    told = T.job_states_of(_stream(spark, sf_dir, "events"))
+    job_streams.stream_queue_status(told, root, f"{root}/checkpoint", DRAIN).awaitTermination()
+    return job_streams.queue_status(spark, root)
 
 
 @register
@@ -1161,12 +1322,11 @@ def stream_queue_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs_in = T.jobs_of(_stream(spark, sf_dir, "events"))
     # Label jobs are all finished here, so that their type is idle.
     finished = F.when(c("type") == "label_reviews", "completed").otherwise(c("status"))
-    stream = job_streams.stream_queue_activity(jobs_in.withColumn("status", finished), f"{root}/out", f"{root}/checkpoint", DRAIN)
+    stream = job_streams.stream_queue_status(
+        jobs_in.withColumn("status", finished), root, f"{root}/checkpoint", DRAIN, "created_at"
+    )
     stream.awaitTermination()
-    schema = "type string, active bigint, waiting bigint, completed bigint, failed bigint, batch_id bigint"
-    written = spark.read.schema(schema).parquet(f"{root}/out")
-    last = written.agg(F.max("batch_id")).scalar()
-    return written.where(c("batch_id") == last).drop("batch_id")
+    return job_streams.queue_activity(spark, root)
 
 
 @register
@@ -1177,4 +1337,8 @@ def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     job_streams.stream_quarantine(jobs_in, root, f"{root}/checkpoint", DRAIN).awaitTermination()
     letters = spark.read.schema(S.DEAD_LETTERS).parquet(f"{root}/dead_letters")
-    return letters.select("original_job_id", "original_job_type", "failure_reason")
+    accepted = spark.read.schema("id bigint, type string, payload string").parquet(f"{root}/accepted")
+    half = F.lit("dead letter").alias("half")
+    return letters.select(half, c("original_job_id").alias("id"), c("original_job_type").alias("type"), "failure_reason").unionByName(
+        accepted.select(F.lit("accepted").alias("half"), c("id").cast("string").alias("id"), "type", F.lit(None).cast("string").alias("failure_reason"))
+    )
