@@ -2,7 +2,8 @@
 
 A task parses pages into text nodes, each with its path of tags from the root. Everything after that is relational:
 text length and punctuation are aggregated per path, smoothed over neighbouring paths, fused to a score and cut at a
-threshold; the nodes of the chosen paths become blocks of text.
+threshold. The nodes of the paths above it, and what stands next to them in the same part of the page, become blocks of
+text.
 """
 
 from __future__ import annotations
@@ -76,11 +77,18 @@ def _holder(stack: list[tuple[str, bool, str]]) -> str:
     return "/".join(parts)
 
 
-def text_nodes(html: str) -> list[tuple[str, str, bool, int, str]]:
-    """The text nodes of a page in order: path, block container's path, furniture flag, block number, text.
+def text_nodes(html: str) -> list[tuple[str, str, bool, bool, int, str]]:
+    """The text nodes of a page in order: path, block container's path, furniture and link flags, block number, text.
 
-    White space alone and line breaks have no path; they only separate what stands around them.
+    White space alone and line breaks have no path; they only separate what stands around them. The link flag says that
+    all the text of the node's block stands in links.
     """
+    found = _nodes(html)
+    spoken = {block for path, _, _, linked, block, _ in found if path and not linked}
+    return [(path, holder, marked, block not in spoken, block, text) for path, holder, marked, _, block, text in found]
+
+
+def _nodes(html: str) -> list[tuple[str, str, bool, bool, int, str]]:
     stack: list[tuple[str, bool, str]] = []  # tag, furniture here or above, name in paths
     nodes, block, at = [], 0, 0
     lowered = None
@@ -91,10 +99,10 @@ def text_nodes(html: str) -> list[tuple[str, str, bool, int, str]]:
             marked = bool(stack) and stack[-1][1]
             text = text if match["cdata"] is not None else unescape(text)
             if text.isspace():
-                nodes.append(("", "", marked, block, " "))
+                nodes.append(("", "", marked, False, block, " "))
             else:
-                path = "/".join(name for _, _, name in stack)
-                nodes.append((path, _holder(stack), marked, block, text))
+                path = "/".join(name for _, _, name in stack) or "-"
+                nodes.append((path, _holder(stack), marked, any(tag == "a" for tag, _, _ in stack), block, text))
         elif (tag := match["open"]) is not None:
             tag, attrs = tag.lower(), match["attrs"] or ""
             if tag in _RAW and not attrs.rstrip().endswith("/"):
@@ -110,7 +118,7 @@ def text_nodes(html: str) -> list[tuple[str, str, bool, int, str]]:
                     at = len(html) if close < 0 else close + 1
                 continue
             if tag == "br":
-                nodes.append(("", "", bool(stack) and stack[-1][1], block, " "))
+                nodes.append(("", "", bool(stack) and stack[-1][1], False, block, " "))
                 continue
             if tag in _BLOCK:
                 block += 1
@@ -148,56 +156,73 @@ def _parse(batches: Iterator) -> Iterator:
                 for i in range(start, min(start + 64, batch.num_rows))
                 for place, node in enumerate(text_nodes(pages[i].as_py() or ""))
             ]
-            columns = list(zip(*found)) if found else [[]] * 8
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.int32(), pa.string())
-            names = (*ROW_KEY, "_place", "_path", "_holder", "_marked", "_block", "_text")
+            columns = list(zip(*found)) if found else [[]] * 9
+            kinds = (
+                pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int32(), pa.string()
+            )
+            names = (*ROW_KEY, "_place", "_path", "_holder", "_marked", "_linked", "_block", "_text")
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=list(names))
 
 
+#: Parts of a page that are not one part of its text.
+_WHOLE_PAGE = ("", "body")
+# A closing mark counts as much as so many characters; a path of links alone is a list from so many of them on.
+_MARK_CHARS, _LINKS = 100, 3
+
+
 def extract_main_text(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 1.0
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.15
 ) -> DataFrame:
-    """One row per page: ``page_id, url, text, n_chars``.
-
-    Per page and path, the text ratio is characters per text node and the punctuation ratio closing marks per node.
-    Both are smoothed over the paths before and after in order of first appearance (weights 1, 2, 1) and fused to
-    ``text ratio * (1 + punctuation ratio)``. Paths that run through furniture (menus, headers, footers, side bars,
-    notices, adverts, forms, comments, by element or by class, id and role) score nothing. Each path's own score,
-    times its nodes, counts for the part of the page that holds it (article, main part or nearest division); the best of
-    these is the article's, and with it come the parts inside it and every part with a path whose smoothed score
-    reaches ``threshold`` times the page's mean. A block is the text between
-    two borders of block elements: references decoded, white space joined to single spaces, trimmed; blocks follow in
-    page order, two line feeds apart. A null or empty page, or one without content, gives an empty text. Pages are
-    rows, so repeated ids stay apart. A page's nodes meet in one task, since its text is one value; pages are dealt
+    """One row per page: ``page_id, url, text, n_chars`` and the row key.
+
+    Furniture goes first: menus, headers (but an article's own), footers, side bars, notices, adverts, forms and comments,
+    known by element, class, id and role. Of what is left, each path has a text ratio, its characters per text node, and
+    a punctuation ratio, its closing marks per node. Both are smoothed over the paths before and after in order of first
+    appearance (weights 1, 2, 1) and fused to ``text ratio + 100 * punctuation ratio``. A path's score is the lesser of
+    its own and its smoothed value, so neither a lone long line nor the neighbour of an article stands out. Content paths
+    are those that reach ``threshold`` times the page's mean, which is weighted by characters.
+
+    Besides their nodes, a page keeps what stands beside them, so that headings, short paragraphs and lists of an article
+    are not lost: all nodes of a part of the page (article, main part or nearest division) that has a content path, and
+    of the divisions inside it, but for the page as a whole, those between its first and last content node. Paths of
+    three or more blocks of links alone are kept only as content paths.
+
+    A block is the text between two borders of block elements: references decoded, white space joined to single spaces,
+    trimmed; blocks follow in page order, two line feeds apart. A null or empty page, or one without content, gives an
+    empty text. Pages are rows, so repeated ids and repeated rows stay apart; an empty table gives no rows; of other
+    columns the names do not matter. A page's nodes meet in one task, since its text is one value; pages are dealt
     once, and all windows below share that dealing.
     """
     keyed = with_row_key(pages)
     key = list(ROW_KEY)
     nodes = (
-        keyed.select(*key, F.col(html_col).cast("string").alias("_html"))
+        keyed.select(*key, F.col(f"`{html_col}`").cast("string").alias("_html"))
         .mapInArrow(
             _parse,
             ", ".join(f"{c} long" for c in key)
-            + ", _place int, _path string, _holder string, _marked boolean, _block int, _text string",
+            + ", _place int, _path string, _holder string, _marked boolean, _linked boolean, _block int, _text string",
         )
         .where(~F.col("_marked"))
         .drop("_marked")
         .repartition(*key)
     )
-    words = F.length(F.trim(F.regexp_replace("_text", r"(?U)\s+", " ")))
+    said = F.col("_path") != ""
+    chars = F.length(F.trim(F.regexp_replace("_text", r"(?U)\s+", " ")))
     marks = F.length(F.regexp_replace("_text", r"[^.,;:!?…。，、！？]+", ""))
+    nodes = nodes.withColumn("_chars", F.when(said, chars))
     by_path = Window.partitionBy(*key, "_path")
     whole = by_path.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     measured = nodes.select(
-        "*", (F.sum(words).over(whole) / F.count("*").over(whole)).alias("_length"),
-        (F.sum(marks).over(whole) / F.count("*").over(whole)).alias("_stops"), F.count("*").over(whole).alias("_nodes"),
+        "*", (F.sum("_chars").over(whole) / F.count("*").over(whole)).alias("_length"),
+        (F.sum(marks).over(whole) / F.count("*").over(whole)).alias("_stops"),
         F.min("_place").over(whole).alias("_from"), F.max("_place").over(whole).alias("_until"),
+        (F.min("_linked").over(whole) & (F.count("*").over(whole) >= _LINKS)).alias("_list"),
     )
     # In this order a path's first node follows the path before it, and its last node precedes the path after it.
-    paths = Window.partitionBy(*key).orderBy("_from", "_place")
+    paths = Window.partitionBy(*key).orderBy(~said, "_from", "_place")
 
     def neighbour(name: str, edge: str, shifted):
-        at_edge = F.when((F.col("_place") == F.col(edge)) & (F.col("_path") != ""), shifted(F.when(F.col("_path") != "", F.col(name))).over(paths))
+        at_edge = F.when((F.col("_place") == F.col(edge)) & said, shifted(F.when(said, F.col(name))).over(paths))
         return at_edge.alias(f"{name}{edge}")
 
     edges = measured.select(
@@ -209,27 +234,32 @@ def extract_main_text(
         own = F.col(name)
         return (F.coalesce(before, own) + 2 * own + F.coalesce(after, own)) / 4
 
-    score = F.when(F.col("_path") != "", smooth("_length") * (1 + smooth("_stops")))
-    fused = edges.select(
-        *key, "_place", "_path", "_from", "_nodes", "_holder", "_block", "_text", score.alias("_score"),
-        F.when(F.col("_path") != "", F.col("_length") * (1 + F.col("_stops"))).alias("_own"),
-    )
-    stands = F.col("_place") == F.col("_from")
-    by_holder, by_page = Window.partitionBy(*key, "_holder"), Window.partitionBy(*key)
-    held = fused.select(
-        "*", F.sum(F.when(stands, F.col("_own") * F.col("_nodes"))).over(by_holder).alias("_mass"),
-        F.max("_score").over(by_holder).alias("_top"),
+    def fused(length, stops):
+        return length + _MARK_CHARS * stops
+
+    scored = edges.select(
+        *key, "_place", "_path", "_holder", "_block", "_text", "_chars", "_list",
+        F.when(said, fused(F.col("_length"), F.col("_stops"))).alias("_own"),
+        F.when(said, fused(smooth("_length"), smooth("_stops"))).alias("_smooth"),
     )
-    judged = held.select(
-        "*", F.avg(F.when(stands, F.col("_score"))).over(by_page).alias("_mean"),
-        F.max(F.when(F.col("_path") != "", F.struct("_mass", "_holder"))).over(by_page).alias("_best"),
+    page = Window.partitionBy(*key).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    by_holder = Window.partitionBy(*key, "_holder").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    mean = F.sum(F.col("_own") * F.col("_chars")).over(page) / F.nullif(F.sum("_chars").over(page), F.lit(0))
+    content = F.coalesce(F.least("_own", "_smooth") >= threshold * F.col("_mean"), F.lit(False))
+    judged = scored.withColumn("_mean", mean).withColumn("_content", content)
+    # First and last content node of the part that holds a node; null where it has none.
+    held = judged.select(
+        "*", *[f(F.when(F.col("_content"), F.col("_place"))).over(by_holder).alias(n) for n, f in (("_first", F.min), ("_last", F.max))]
     )
-    inside = (
-        (F.col("_holder") == F.col("_best._holder"))
-        | F.startswith("_holder", F.concat(F.col("_best._holder"), F.lit("/")))
-        | (F.col("_top") >= threshold * F.col("_mean"))
+    part = F.struct(F.concat("_holder", F.lit("/")).alias("inside"), "_first", "_last")
+    is_part = F.col("_first").isNotNull() & ~F.col("_holder").isin(*_WHOLE_PAGE)
+    around = held.withColumn("_parts", F.collect_set(F.when(is_part, part)).over(page))
+    within = F.exists(
+        "_parts",
+        lambda x: F.startswith(F.col("_holder"), x["inside"]) & F.col("_place").between(x["_first"], x["_last"]),
     )
-    kept = judged.where((F.col("_path") == "") | inside)
+    beside = (F.col("_first").isNotNull() | within) & ~F.col("_list")
+    kept = around.where(~said | F.col("_content") | beside)
     gathered = kept.groupBy(*key).agg(
         F.sort_array(F.collect_list(F.struct("_place", "_block", "_text"))).alias("_nodes")
     )
@@ -242,9 +272,9 @@ def extract_main_text(
 
     joined = F.array_join(F.transform("_nodes", piece), "")
     tidy = F.transform(F.split(joined, "\0"), lambda b: F.trim(F.regexp_replace(b, r"(?U)\s+", " ")))
-    texts = gathered.select(*key, F.array_join(F.filter(tidy, lambda b: b != ""), "\n\n").alias("text"))
-    own = keyed.select(*key, F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
-    text = F.coalesce("text", F.lit(""))
+    texts = gathered.select(*key, F.array_join(F.filter(tidy, lambda b: b != ""), "\n\n").alias("_text"))
+    own = keyed.select(*key, F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"))
+    text = F.coalesce("_text", F.lit(""))
     return own.join(texts, key, "left").select(
         "page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), *key
     )
