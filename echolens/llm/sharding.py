@@ -28,22 +28,18 @@ def magnitude(column: Column) -> Column:
     return F.least(value * (1 << 25), F.lit(float(_COORDINATE - 1))).cast("long")
 
 
-def _assign(rows: DataFrame, splits: Sequence[DataFrame]) -> DataFrame:
-    """Set each row's node (``_lo``, ``_hi``: its shards) after the given levels of splits.
+def _assign(rows: DataFrame, splits: DataFrame) -> DataFrame:
+    """Set each row's node (``_lo``, ``_hi``: its shards) after a level of splits.
 
     The splits of a level are at most one row per shard, so they are broadcast.
     """
-    placed = rows
-    for level in splits:
-        cut = level.select("_lo", "_mid", "_dim", "_cut")
-        placed = placed.join(F.broadcast(cut), "_lo", "left")
-        left = _key(F.col("_dim")) <= F.col("_cut")
-        placed = placed.select(
-            *rows.columns[:-2],
-            F.when(F.col("_mid").isNull() | left, F.col("_lo")).otherwise(F.col("_mid")).alias("_lo"),
-            F.when(F.col("_mid").isNull() | ~left, F.col("_hi")).otherwise(F.col("_mid")).alias("_hi"),
-        )
-    return placed
+    placed = rows.join(F.broadcast(splits.select("_lo", "_mid", "_dim", "_cut")), "_lo", "left")
+    left = _key(F.col("_dim")) <= F.col("_cut")
+    return placed.select(
+        *[c for c in rows.columns if c not in ("_lo", "_hi")],
+        F.when(F.col("_mid").isNull() | left, F.col("_lo")).otherwise(F.col("_mid")).alias("_lo"),
+        F.when(F.col("_mid").isNull() | ~left, F.col("_hi")).otherwise(F.col("_mid")).alias("_hi"),
+    )
 
 
 def _key(dim: Column) -> Column:
@@ -51,10 +47,11 @@ def _key(dim: Column) -> Column:
     return F.shiftleft(F.get("_at", dim), _TIE_BITS).bitwiseOR(F.col("_tie"))
 
 
-def _split(rows: DataFrame, spans: Sequence[int]) -> DataFrame:
-    """One split per open node: the widest dimension and the key up to which rows go left.
+def _split(rows: DataFrame, starts: DataFrame, spans: Sequence[int], total: int, shards: int) -> DataFrame:
+    """One split per open node: the widest dimension, the key up to which rows go left, and the bytes on the left.
 
-    The weighted median (for odd shard counts: the proportionate quantile) is narrowed in rounds: each looks at
+    ``starts`` has the bytes before each node (``_before``). The weighted median (for odd shard counts: the
+    proportionate quantile) is narrowed in rounds: each looks at
     4,096 buckets of the interval that holds it, summed in each task before the shuffle, and goes on with the span of
     the keys actually seen in the right bucket. It ends at a single key, the one at which the left side comes nearest.
     """
@@ -68,18 +65,20 @@ def _split(rows: DataFrame, spans: Sequence[int]) -> DataFrame:
     for d in reversed(range(dims)):
         dim = F.when(width[d] == widest, d).otherwise(dim)
     share = F.floor((F.col("_hi") - F.col("_lo")) / 2)
+    # All cuts aim at the same marks, equal parts of the whole, so that errors of earlier cuts are made up and do not
+    # add up; a node that has less than its part leaves no side without a share.
+    aim = F.col("_mid") * total / shards - F.col("_before")
     nodes = stored(
         rows.where("_hi - _lo > 1")
         .groupBy("_lo", "_hi")
-        .agg(F.sum("_weight").alias("_total"), *widths)
-        .select(
-            "_lo", "_hi", (F.col("_lo") + share).cast("int").alias("_mid"), dim.alias("_dim"),
-            (F.col("_total") * share / (F.col("_hi") - F.col("_lo"))).alias("_need"),
-        ),
+        .agg(*widths)
+        .join(F.broadcast(starts), "_lo")
+        .withColumn("_mid", (F.col("_lo") + share).cast("int"))
+        .select("_lo", "_hi", "_mid", dim.alias("_dim"), F.greatest(aim, F.lit(0.0)).alias("_need"), "_before"),
         "nodes",
     )
     keyed = rows.drop("_hi").join(F.broadcast(nodes), "_lo").withColumn("_k", _key(F.col("_dim")))
-    here = ["_lo", "_hi", "_mid", "_dim", "_need"]
+    here = ["_lo", "_hi", "_mid", "_dim", "_need", "_before"]
     state = stored(
         keyed.groupBy(*here)
         .agg(F.min("_k").alias("_from"), F.max("_k").alias("_to"))
@@ -122,11 +121,10 @@ def _split(rows: DataFrame, spans: Sequence[int]) -> DataFrame:
             "medians",
         )
     # The row at the median goes to the side that then is nearer to its share.
+    left = F.col("_below") + F.col("_at_key") / 2 <= F.col("_need")
     return state.select(
-        *here,
-        F.when(F.col("_below") + F.col("_at_key") / 2 <= F.col("_need"), F.col("_from"))
-        .otherwise(F.col("_from") - 1)
-        .alias("_cut"),
+        *here, F.when(left, F.col("_from")).otherwise(F.col("_from") - 1).alias("_cut"),
+        (F.col("_before") + F.col("_below") + F.when(left, F.col("_at_key")).otherwise(0)).alias("_middle"),
     )
 
 
@@ -142,8 +140,9 @@ def shard(
     """One row per document: ``doc_id, size, text_crc32, shard, slot`` and the row key.
 
     ``dims`` are long coordinates in [0, 2**31) (see ``category`` and ``magnitude``). A node that must give n shards
-    is split along the dimension in which it is widest relative to the whole table, at floor(n/2)/n of its bytes, until
-    each leaf is one shard. Give the number of shards, or ``target_bytes`` for as many as the bytes need. ``size``
+    is split along the dimension in which it is widest relative to the whole table, where the bytes up to there are
+    nearest to the like part of all bytes, floor(n/2) shards on the left, until each leaf is one shard. So a shard is at
+    most one text away from the mean. Give the number of shards, or ``target_bytes`` for as many as the bytes need. ``size``
     is the UTF-8 bytes of the text (null: none) plus ``overhead``. Ties along a dimension are split by a hash of
     row and text, so a value, a length or a copied text that fills a third of the table does not stick to one shard;
     ``slot`` counts the rows of each shard from 0. An empty table gives no rows; fewer rows than shards leave
@@ -159,16 +158,21 @@ def shard(
         ),
         "shard-rows",
     )
+    total = base.agg(F.sum("_weight")).first()[0] or 0
     if shards is None:
-        total = base.agg(F.sum("_weight")).first()[0] or 0
         shards = max(1, math.ceil(total / target_bytes))
     widths = [F.max(F.get("_at", F.lit(d))) - F.min(F.get("_at", F.lit(d))) for d in range(len(dims))]
     spans = [value or 0 for value in base.agg(*widths).first()]
     rows = base.withColumn("_hi", F.lit(shards))
-    splits: list[DataFrame] = []
-    for _ in range(math.ceil(math.log2(shards))):
-        splits.append(stored(_split(_assign(rows, splits), spans), "splits"))
-    placed = _assign(rows, splits).select("_id", "_weight", "_crc", "_tie", *ROW_KEY, F.col("_lo").alias("shard"))
+    starts = docs.sparkSession.createDataFrame([(0, 0)], "_lo int, _before long")
+    # Every level is stored with its rows' nodes, so that the passes of the next one need no earlier split.
+    for level in range(math.ceil(math.log2(shards))):
+        splits = stored(_split(rows, starts, spans, total, shards), "splits")
+        rows = stored(_assign(rows, splits), f"shard-rows-{level + 1}")
+        starts = stored(
+            starts.unionByName(splits.select(F.col("_mid").alias("_lo"), F.col("_middle").cast("long").alias("_before"))), "starts"
+        )
+    placed = rows.select("_id", "_weight", "_crc", "_tie", *ROW_KEY, F.col("_lo").alias("shard"))
     return gapless(placed, ["shard"], ["_tie", "_id", *ROW_KEY], "slot", F.col("_tie")).select(
         F.col("_id").alias("doc_id"), F.col("_weight").alias("size"), F.col("_crc").alias("text_crc32"), "shard", "slot",
         *ROW_KEY,
