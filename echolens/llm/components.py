@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from echolens.llm.common import stored
 
 
+def _stored(least: DataFrame) -> DataFrame:
+    """Written, so that the join below deals both sides out itself and Spark may split a hub's links there."""
+    return stored(least, "least")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node hands its larger neighbours to the least node of its neighbourhood."""
     both = edges.union(edges.select("b", "a").toDF("a", "b"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+    least = _stored(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node hands its smaller neighbours and itself to the least of them; links point from larger to smaller."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = _stored(edges.groupBy("a").agg(F.min("b").alias("m")))
     joined = edges.join(least, "a")
     handed = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return handed.union(least.select("a", F.col("m").alias("b"))).distinct()
@@ -36,7 +41,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     checksum = F.expr("count(*)"), F.expr("coalesce(bit_xor(xxhash64(a, b)), 0)")
     before = tuple(edges.agg(*checksum).first())
     while True:
-        edges = stored(_small_star(_large_star(edges)), "edges")
+        edges = stored(_small_star(stored(_large_star(edges), "edges")), "edges")
         after = tuple(edges.agg(*checksum).first())
         if after == before:
             break

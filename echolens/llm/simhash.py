@@ -24,6 +24,8 @@ _SEED = 42
 _THRESHOLD = 3
 # Hashes whose bits are counted at a time.
 _HASHES = 1 << 16
+# An anchor with more fingerprints is cut into blocks of about so many; each pair of blocks is compared by itself.
+_ANCHOR_PRINTS = 20_000
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -108,6 +110,29 @@ def _replicate(batches: Iterator) -> Iterator:
                 )
 
 
+def _dealt(replicas: DataFrame) -> DataFrame:
+    """``_key, _print``: fingerprints by anchor, those of a large anchor by anchor and pair of blocks.
+
+    Each fingerprint of a large anchor goes to every pair its block is part of, so all of them still meet.
+    """
+    large = stored(
+        replicas.groupBy("_anchor").count().where(F.col("count") > _ANCHOR_PRINTS)
+        .select("_anchor", F.ceil(F.col("count") / _ANCHOR_PRINTS).cast("int").alias("_blocks")),
+        "large-anchors",
+    )
+    if large.isEmpty():
+        return replicas.withColumnRenamed("_anchor", "_key")
+    own = F.pmod(F.xxhash64("_print"), F.col("_blocks"))
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.col("_blocks") - 1),
+        lambda other: F.xxhash64("_anchor", F.least(own, other.cast("long")), F.greatest(own, other.cast("long"))),
+    )
+    alone = F.array(F.col("_anchor"))
+    return replicas.join(large, "_anchor", "left").select(
+        F.explode(F.when(F.col("_blocks").isNull(), alone).otherwise(pairs)).alias("_key"), "_print"
+    )
+
+
 def _spanning(members: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
     """Trees of the links among fingerprints that share an anchor: (fingerprints, root), each tree found once.
 
@@ -130,7 +155,10 @@ def _spanning(members: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
 
 
 def _compare(batches: Iterator) -> Iterator:
-    """Links within each anchor; batches come sorted by anchor, and an anchor may go on in the next batch."""
+    """Links within each key; batches come sorted by key, and a key may go on in the next batch.
+
+    Keys that meet by chance only bring more fingerprints together; links are told by their bits.
+    """
     import pyarrow as pa
 
     rest_keys, rest_prints = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -147,7 +175,7 @@ def _compare(batches: Iterator) -> Iterator:
         return pa.RecordBatch.from_arrays([pa.array(join[0]), pa.array(join[1])], names=["a", "b"])
 
     for batch in batches:
-        keys = np.concatenate((rest_keys, batch.column("_anchor").to_numpy(zero_copy_only=False)))
+        keys = np.concatenate((rest_keys, batch.column("_key").to_numpy(zero_copy_only=False)))
         prints = np.concatenate((rest_prints, batch.column("_print").to_numpy(zero_copy_only=False)))
         if not len(keys):
             continue
@@ -166,8 +194,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if there are fewer). Texts without words, null among them, have fingerprint zero and are linked like any other.
     Fingerprints link at three or fewer differing bits; ``component_id`` is the smallest id reachable (null only if
     all are), and exactly one row of each component is kept, the one with that id, of several the one with the least
-    row key. Copies are reduced to distinct fingerprints first; those meet at their anchors, an anchor's
-    fingerprints are compared in blocks, and only spanning links leave the task. An empty table gives no rows.
+    row key. Copies are reduced to distinct fingerprints first; those meet at their anchors, the fingerprints of an
+    anchor with more than 20,000 are compared by pairs of blocks, and only spanning links leave the task. An empty table
+    gives no rows; rows that repeat are members of one component; other columns are not read.
     """
     keyed = with_row_key(docs)
     kind = dict(docs.dtypes)[id_col]
@@ -181,10 +210,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     first = F.min(F.struct(F.col("_id").isNull().alias("unnamed"), "_id", *ROW_KEY))
     distinct = stored(prints.groupBy("_print").agg(first.alias("_first")), "distinct-fingerprints")
     links = stored(
-        distinct.select("_print")
-        .mapInArrow(_replicate, "_anchor long, _print long")
-        .repartition("_anchor")
-        .sortWithinPartitions("_anchor")
+        _dealt(distinct.select("_print").mapInArrow(_replicate, "_anchor long, _print long"))
+        .repartition("_key")
+        .sortWithinPartitions("_key")
         .mapInArrow(_compare, "a long, b long")
         .distinct(),
         "links",
@@ -194,7 +222,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "_print", F.coalesce("component", "_print").alias("_root"), "_first"
     )
     heads = member.groupBy("_root").agg(F.min("_first").alias("_head"))
-    labelled = member.join(heads, "_root").select("_print", "_head")
+    # Stored, so that the join deals both sides out itself and Spark may split a fingerprint that many rows share.
+    labelled = stored(member.join(heads, "_root").select("_print", "_head"), "labelled")
     own = F.lit(True)
     for name in ROW_KEY:
         own = own & (F.col(f"_head.{name}") == F.col(name))
@@ -205,7 +234,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, all columns and texts as they are."""
+    """``docs`` with one document of each component, all columns and texts as they are; cases are those of ``near_copies``."""
     keyed = with_row_key(docs)
     dropped = near_copies(keyed, id_col, text_col).where(~F.col("kept")).select(*ROW_KEY)
     return keyed.join(dropped, list(ROW_KEY), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -135,3 +135,15 @@ def test_components(spark):
     found = {r.node: r.component for r in got.collect()}
     assert got.count() == len(found)
     assert found == {**{i: 1 for i in range(1, 41)}, **{i: 100 for i in range(100, 160)}, 200: 200, 201: 200}
+
+
+def test_large_anchors_are_compared_by_pairs_of_blocks(spark, texts, monkeypatch):
+    near = [(1000 + i, " ".join(f"w{(7 * k + (k == 5 * i)) % 50}" for k in range(400))) for i in range(40)]
+    docs = frame(spark, texts + near)
+
+    def found():
+        return sorted(map(str, simhash.near_copies(docs).select("doc_id", "fingerprint", "component_id", "kept").collect()))
+
+    whole = found()
+    monkeypatch.setattr(simhash, "_ANCHOR_PRINTS", 2)
+    assert found() == whole
