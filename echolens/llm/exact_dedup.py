@@ -56,7 +56,8 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ),
         "digests",
     )
-    classes = merge_runs(rows, fan_in)
+    # Stored, so that the join deals both sides out itself and Spark may split a text that many rows share.
+    classes = stored(merge_runs(rows, fan_in), "classes")
     same_row = F.lit(True)
     for name in ROW_KEY:
         same_row = same_row & (F.col(f"_keep.{name}") == F.col(name))
