@@ -42,37 +42,49 @@ def token_counts(
     """One row per document: ``doc_id, n_bytes, n_tokens, content`` (the digest of its normalised text).
 
     ``normalise`` must not change what the tokenizer sees; the default only makes null empty. ``cache_path`` is a
-    Parquet table (content, tokenizer, n_tokens) in storage that all executors reach; it is made at the first run.
-    Digests are joined to the counts stored for this tokenizer's version, only distinct misses are encoded, and they
-    are appended before the documents are joined to the cache again, so a lost executor costs no stored count.
+    Parquet table (content, n_tokens) by tokenizer version in storage that all executors reach; it is made at the first
+    run. Digests are joined to the counts stored for this version, only distinct misses are encoded, and they are
+    appended before the documents are joined to the cache again, so a lost executor costs no stored count. Of the cache
+    only this version's counts are read, and only those of digests in ``docs`` are grouped.
+
     Copies are reduced in each task before texts are shuffled, so a text in a third of the rows is sent once per
-    task. No begin, end or padding tokens count; special strings in a text count as the library has it. The tokenizer
-    file must be at the same path on all executors.
+    task, whichever way the misses are found. No begin, end or padding tokens count; special strings in a text count as
+    the library has it. Null ids and rows that repeat are rows of their own. An empty table gives no rows and stores
+    nothing. Other columns are not read. The tokenizer file must be at the same path on all executors.
     """
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer_path)
-    text = normalise(F.col(text_col))
+    text = normalise(F.col(f"`{text_col}`"))
     content = F.unhex(F.sha2(text, 256)).alias("content")
 
-    def known() -> DataFrame | None:
+    def known(wanted: DataFrame) -> DataFrame | None:
         try:
-            cache = spark.read.schema("content binary, tokenizer string, n_tokens long").parquet(cache_path)
+            cache = spark.read.schema("content binary, n_tokens long, tokenizer string").parquet(cache_path)
         except AnalysisException:
             return None
+        counts = cache.where(F.col("tokenizer") == version).join(wanted, "content", "left_semi")
         # Two runs that filled the cache at the same time may both have stored a text.
-        return cache.where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+        return counts.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
 
     texts = docs.select(content, text.alias("_text"))
-    if (cached := known()) is not None:
-        missing = docs.select(content).distinct().join(cached.select("content"), "content", "left_anti")
+    wanted = docs.select(content).distinct()
+    if (cached := known(wanted)) is None:
+        misses = texts.groupBy("content").agg(F.first("_text").alias("_text"))
+    else:
+        # Found without the texts; a few misses then pick their texts, more of them are what is left of all distinct ones.
+        missing = stored(wanted.join(cached.select("content"), "content", "left_anti"), "missing")
         few = missing.limit(_BROADCAST_DIGESTS + 1).count() <= _BROADCAST_DIGESTS
-        texts = texts.join(F.broadcast(missing) if few else missing, "content", "left_semi")
-    misses = texts.groupBy("content").agg(F.first("_text").alias("_text"))
+        if few:
+            texts = texts.join(F.broadcast(missing), "content", "left_semi")
+        misses = texts.groupBy("content").agg(F.first("_text").alias("_text"))
+        if not few:
+            misses = misses.join(missing, "content", "left_semi")
     counted = misses.mapInArrow(_count_batches(tokenizer_path), "content binary, n_tokens long")
-    counted.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
+    stamped = counted.select("content", "n_tokens", F.lit(version).alias("tokenizer"))
+    stamped.write.mode("append").partitionBy("tokenizer").parquet(cache_path)
     keys = [c for c in ROW_KEY if c in docs.columns]
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_bytes"),
-        content, *keys,
+        F.col(f"`{id_col}`").alias("doc_id"),
+        F.octet_length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).cast("long").alias("n_bytes"), content, *keys,
     )
     # Stored, so that the join deals both sides out itself and Spark may split a text that many rows share.
-    return rows.join(stored(known(), "counts"), "content").select("doc_id", "n_bytes", "n_tokens", "content", *keys)
+    return rows.join(stored(known(wanted), "counts"), "content").select("doc_id", "n_bytes", "n_tokens", "content", *keys)
