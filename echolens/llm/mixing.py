@@ -103,6 +103,8 @@ def solve_multipliers(cells: DataFrame, sources: DataFrame, tilt: float, cap: in
             (F.col("_done") | near | (high - low <= F.abs(low) * 1e-15)).alias("_done"),
         )
         state = stored(stepped, "multipliers")
+    if not state.where(~F.col("_done")).isEmpty():
+        raise RuntimeError(f"no multiplier of every source meets its target after {_MAX_STEPS} steps")
     return state
 
 
@@ -191,11 +193,15 @@ def mix(
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row repeated as often as ``mix`` decides; rows with no copy go."""
+    """``docs`` with each row repeated as often as ``mix`` decides; rows with no copy go.
+
+    The given columns travel as one, so that their names meet no others. Cases are those of ``mix``.
+    """
     keyed = with_row_key(docs)
-    copies = mix(keyed, **options).select(*ROW_KEY, F.col("copies").alias("__copies"))
+    copies = mix(keyed, **options).select(*ROW_KEY, "copies")
+    given = keyed.select(*ROW_KEY, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("given"))
     return (
-        keyed.join(copies, list(ROW_KEY))
-        .withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int"))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+        given.join(copies, list(ROW_KEY))
+        .select("given", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+        .select(*[F.col(f"given.`{c}`") for c in docs.columns])
     )
