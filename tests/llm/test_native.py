@@ -131,7 +131,7 @@ def test_shards(spark, rows):
     for shard in range(7):
         own = [r for r in got if r.shard == shard]
         assert sorted(r.slot for r in own) == list(range(len(own)))
-        assert abs(sum(r.size for r in own) - total / 7) <= 2 * largest
+        assert abs(sum(r.size for r in own) - total / 7) <= largest
     by_bytes = sharding.shard(docs, dims, target_bytes=total // 3)
     assert by_bytes.select("shard").distinct().count() in (3, 4)
     assert sharding.shard(docs_frame(spark, []), dims, shards=5).collect() == []
@@ -142,30 +142,45 @@ def test_shards(spark, rows):
 def brute_tree(rows, shards):
     """Recursive splits over the same keys, for rows of (coordinates, tie, weight)."""
     spans = [max(r[0][d] for r in rows) - min(r[0][d] for r in rows) for d in range(2)]
-    out = {}
+    out, whole = {}, sum(r[2] for r in rows)
 
-    def split(part, low, high):
+    def split(part, low, high, before):
         if high - low == 1 or not part:
             out.update({r[1]: low for r in part})
             return
         width = [(max(r[0][d] for r in part) - min(r[0][d] for r in part)) / max(1, spans[d]) for d in range(2)]
         dim = width.index(max(width))
         part = sorted(part, key=lambda r: (r[0][dim], r[1]))
-        need = sum(r[2] for r in part) * ((high - low) // 2) / (high - low)
-        below = 0
+        middle = low + (high - low) // 2
+        need = max(0, middle * whole / shards - before)
+        below, cut = 0, len(part)
         for k, r in enumerate(part):
             if below + r[2] >= need:
                 cut = k + 1 if below + r[2] / 2 <= need else k
                 break
             below += r[2]
-        middle = low + (high - low) // 2
-        split(part[:cut], low, middle)
-        split(part[cut:], middle, high)
+        split(part[:cut], low, middle, before)
+        split(part[cut:], middle, high, before + sum(r[2] for r in part[:cut]))
 
-    split(rows, 0, shards)
+    split(rows, 0, shards, 0)
     return out
 
 
+def test_columns_of_clashing_names(spark, rows):
+    docs = docs_frame(spark, rows).withColumns({n: F.lit(7) for n in ("__quality", "__copies", "given", "quality", "copies", "t", "w")})
+    cleaned, mixed = quality.clean_lines(docs), mixing.apply_mix(docs)
+    assert cleaned.columns == mixed.columns == docs.columns
+    assert all(r.given == r.copies == r["__copies"] == 7 for df in (cleaned, mixed) for r in df.collect())
+    judged = quality.with_line_rules(docs)
+    assert judged.count() == len(rows) and "kept" in judged.schema["__quality"].dataType.fieldNames()
+
+
+def test_no_multipliers_is_an_error(spark, rows, monkeypatch):
+    monkeypatch.setattr(mixing, "_MAX_STEPS", 0)
+    with pytest.raises(RuntimeError):
+        mixing.mix(docs_frame(spark, rows)).collect()
+
+
 def test_shards_equal_brute_force(spark):
     rng = random.Random(2)
     rows = [(i, "x" * rng.randint(0, 400), rng.randint(0, 1000), rng.choice([3, 900, 40_000])) for i in range(300)]
