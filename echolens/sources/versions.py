@@ -9,6 +9,7 @@ Parts that a run did not change stay where they are.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -97,10 +98,10 @@ class Run:
         """Stage new contents of ``parts``, or of the whole table, from ``rows`` with a column ``part``."""
         path = f"{self.tables.root}/data/{name}/version={self.version}"
         rows.repartition(PART).write.partitionBy(PART).mode("overwrite").format(fmt).options(**options).save(path)
-        # Which parts have rows is told by the names of the files.
+        # Which parts have rows is told by the names of the files, one or a few for each part.
         files = self.tables.spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="part-*")
-        at = F.regexp_extract("path", rf"/{PART}=(\d+)/[^/]*$", 1)
-        made = [int(x) for (x,) in files.load(path).select(at).distinct().collect() if x]
+        found = (re.search(rf"/{PART}=(\d+)/[^/]*$", file) for (file,) in files.load(path).select("path").collect())
+        made = sorted({int(at[1]) for at in found if at})
         held = self.changed.setdefault(name, {})
         if parts is not None and not set(made) <= set(parts):
             raise ValueError(f"rows of {name} belong to parts that the run does not rewrite: {sorted(set(made) - set(parts))}")
