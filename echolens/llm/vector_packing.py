@@ -206,5 +206,7 @@ def pack_best_fit(
     loose = first.where(~well)
     size = loose.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     tasks = max(1, -(-size[0] // _SHARD_PIECES), -(-size[1] // _SHARD_TOKENS))
-    again = loose.repartition(tasks, F.xxhash64("sequence_id", "offset")).mapInArrow(_pack_again(capacity, weights, rule), schema)
+    # In one order, so that a task that is repeated packs as it did before.
+    dealt = loose.repartition(tasks, F.xxhash64("sequence_id", "offset")).sortWithinPartitions("sequence_id", "offset")
+    again = dealt.mapInArrow(_pack_again(capacity, weights, rule), schema)
     return first.where(well).unionByName(again).drop("_filled")
