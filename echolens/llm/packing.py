@@ -80,26 +80,27 @@ class _Index:
         weights = counts * (_K1 + 1) / (counts + norm[self.owners])
         self.weights = weights * np.repeat(idf, self.frequency)
 
-    def neighbours(self, rest: np.ndarray, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with ``rest``, best first; none only if no unused document does.
+    def question(self, rest: np.ndarray) -> np.ndarray:
+        """Places of the terms of ``rest`` that other documents have, rarest first."""
+        at = np.searchsorted(self.terms, np.unique(rest))
+        at = at[self.frequency[at] > 1]
+        return at[np.argsort(self.frequency[at], kind="stable")]
+
+    def neighbours(self, question: np.ndarray, used: np.ndarray) -> np.ndarray:
+        """Unused documents that share a term of the question, best first; none only if no unused document does.
 
         Slices of terms, rarest first, are looked up until one leads to unused documents.
         """
-        at = np.searchsorted(self.terms, np.unique(rest))
-        at = at[self.frequency[at] > 1]
-        at = at[np.argsort(self.frequency[at], kind="stable")]
-        for first in range(0, len(at), _QUERY_TERMS):
-            spans = [slice(self.bounds[t], self.bounds[t + 1]) for t in at[first : first + _QUERY_TERMS]]
+        for first in range(0, len(question), _QUERY_TERMS):
+            spans = [slice(self.bounds[t], self.bounds[t + 1]) for t in question[first : first + _QUERY_TERMS]]
             owners = np.concatenate([self.owners[s] for s in spans])
-            open_ = ~used[owners]
-            if not open_.any():
-                continue
             weights = np.concatenate([self.weights[s] for s in spans])
-            found, place = np.unique(owners[open_], return_inverse=True)
-            scores = np.bincount(place, weights[open_])
-            top = np.lexsort((found, -scores))[:_NEIGHBOURS]
-            return found[top]
-        return at[:0]
+            scores = np.bincount(owners, weights, self.size)
+            scores[used] = 0
+            found = np.flatnonzero(scores)
+            if len(found):
+                return found[np.argsort(-scores[found], kind="stable")[:_NEIGHBOURS]]
+        return question[:0]
 
 
 def fill_windows(rests: list[np.ndarray], window: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -120,7 +121,7 @@ def fill_windows(rests: list[np.ndarray], window: int) -> Iterator[list[tuple[in
         if following == len(rests):
             return
         seed, room, line, queue, alone = following, window, [], iter(()), False
-        choice = seed
+        choice, question = seed, None
         while True:
             take = min(room, len(rests[choice]) - int(done[choice]))
             line.append((choice, int(done[choice]), take))
@@ -131,7 +132,8 @@ def fill_windows(rests: list[np.ndarray], window: int) -> Iterator[list[tuple[in
                 break
             choice = next((n for n in queue if not used[n]), None)
             if choice is None and not alone:
-                queue = iter(index.neighbours(rests[seed], used).tolist())
+                question = index.question(rests[seed]) if question is None else question
+                queue = iter(index.neighbours(question, used).tolist())
                 choice = next(queue, None)
                 alone = choice is None
             if choice is None:
@@ -143,17 +145,12 @@ def fill_windows(rests: list[np.ndarray], window: int) -> Iterator[list[tuple[in
         yield line
 
 
-def _pack(window: int) -> Callable:
-    """One partition is one shard of the index."""
+def _pack(window: int, shard_rows: int) -> Callable:
+    """Each run of ``shard_rows`` rows of a partition is one shard of the index."""
 
-    def pack(batches: Iterator) -> Iterator:
+    def packed(rows, task: int, made: int) -> Iterator:
         import pyarrow as pa
 
-        shard = [b for b in batches if b.num_rows]
-        if not shard:
-            return
-        rows = pa.Table.from_batches(shard)
-        number = rows.column("_shard")[0].as_py()
         starts = rows.column("start").to_pylist()
         rests = [np.frombuffer(b, "<u4") for b in rows.column("ids").to_pylist()]
         source, start, length, blobs, sequence, offset = [], [], [], [], [], []
@@ -164,7 +161,7 @@ def _pack(window: int) -> Callable:
                 start.append(starts[doc] + first)
                 length.append(size)
                 blobs.append(rests[doc][first : first + size].tobytes())
-                sequence.append(number << 33 | k << 1 | 1)
+                sequence.append(task << 33 | (made + k) << 1 | 1)
                 offset.append(at)
                 at += size
         for begin in range(0, len(source), 4096):
@@ -172,7 +169,7 @@ def _pack(window: int) -> Callable:
             take = pa.array(source[part], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    *[rows.column(c).take(take).combine_chunks() for c in ("doc_id",)],
+                    rows.column("doc_id").take(take).combine_chunks(),
                     pa.array(start[part], pa.int64()), pa.array(length[part], pa.int64()),
                     rows.column("doc_tokens").take(take).combine_chunks(), pa.array(blobs[part], pa.binary()),
                     pa.array(sequence[part], pa.int64()), pa.array(offset[part], pa.int64()),
@@ -180,23 +177,64 @@ def _pack(window: int) -> Callable:
                 names=["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"],
             )
 
+    def pack(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        task, made, waiting, n = TaskContext.get().partitionId(), 0, [], 0
+        for batch in batches:
+            while batch.num_rows:
+                part = batch.slice(0, shard_rows - n)
+                batch = batch.slice(part.num_rows)
+                waiting.append(part)
+                n += part.num_rows
+                if n == shard_rows:
+                    yield from packed(pa.Table.from_batches(waiting), task, made)
+                    made, waiting, n = made + n, [], 0  # a shard has no more windows than rests
+        if waiting:
+            yield from packed(pa.Table.from_batches(waiting), task, made)
+
     return pack
 
 
+def _dealt(rests: DataFrame, task_rows: int) -> DataFrame:
+    """Rests in partitions of about ``task_rows`` by their first routing id, so that like rests meet.
+
+    The rests are counted per first id, at most as many as the vocabulary has. Ids in order share partitions, and an id
+    that more rests have than fit into one gets several, dealt by a hash of the row, since copies share all their ids.
+    """
+    first = F.shiftright("_route", 24)
+    counts = sorted(tuple(r) for r in rests.groupBy(first.alias("id")).count().collect())
+    plan, part, room = [], 0, task_rows
+    for route, n in counts:
+        if n > room and room < task_rows:
+            part, room = part + 1, task_rows
+        parts = -(-n // task_rows)
+        plan.append((route, part, parts))
+        part, room = (part, room - n) if parts == 1 and n < room else (part + parts, task_rows)
+    kinds = "_first long, _from int, _parts int"
+    deal = F.broadcast(rests.sparkSession.createDataFrame(plan, kinds))
+    placed = rests.withColumn("_first", first).join(deal, "_first").withColumn("_place", F.xxhash64("doc_id", "start", "ids"))
+    at = F.col("_from") + F.pmod("_place", "_parts")
+    return placed.repartitionById(part + 1, at.cast("int")).sortWithinPartitions("_route", "_place", "start")
+
+
 def pack_documents(
     docs: DataFrame,
     tokenizer_path: str,
     window: int = 1024,
     eod: int = 0,
     shard_rows: int = 4096,
+    task_rows: int = 16_384,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """One row per piece: ``doc_id, start, length, doc_tokens, ids, sequence_id, offset``.
 
     A document's ids (null text: none) and ``eod`` are cut into whole windows, each a sequence of its own, and a rest.
-    Rests are dealt to shards of about ``shard_rows`` by range of a route, the two rarest-ranked ids they hold, so
-    that like rests meet; a route that many share is cut by id and place. Each shard has a BM25 index of its rests.
+    Rests are dealt to tasks of about ``task_rows`` by the two rarest-ranked ids they hold, so that like rests meet; what
+    many share is cut by a hash. A task takes shards of ``shard_rows`` one after the other, each with a BM25 index of its
+    rests.
     ``ids`` are little-endian unsigned 32-bit numbers. Rows that repeat are documents of their own. An empty table
     gives no pieces. Encoded pieces are stored once, so a lost executor repeats no encoding.
     """
@@ -211,10 +249,7 @@ def pack_documents(
         F.shiftleft(F.monotonically_increasing_id(), 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
     )
     rests = pieces.where(F.col("_route").isNotNull())
-    shards = max(1, -(-rests.count() // shard_rows))
-    packed = (
-        rests.repartitionByRange(shards, "_route", F.xxhash64("doc_id", "start"), "start")
-        .withColumn("_shard", F.spark_partition_id().cast("long"))
-        .mapInArrow(_pack(window), _PIECE.format(kind=kind) + ", sequence_id long, offset long")
+    packed = _dealt(rests, max(task_rows, shard_rows)).mapInArrow(
+        _pack(window, shard_rows), _PIECE.format(kind=kind) + ", sequence_id long, offset long"
     )
     return packed.unionByName(whole)
