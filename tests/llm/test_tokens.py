@@ -83,7 +83,7 @@ def test_plain_texts_take_the_faster_library(library):
     assert all(encoder.quick(text) is None for text in ("two  blanks", "a \n", "“q”", "tab\t", "x<|endoftext|>"))
 
 
-def test_counts_and_cache(spark, texts, library, tmp_path):
+def test_counts_and_cache(spark, texts, library, tmp_path, monkeypatch):
     cache = str(tmp_path / "cache")
     expected = sorted((i is None, i or 0, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in texts)
 
@@ -99,6 +99,10 @@ def test_counts_and_cache(spark, texts, library, tmp_path):
     assert spark.read.parquet(cache).count() == stored + 1
     other = token_counts.token_counts(frame(spark, texts[:3]), public_tokenizers.path("word_bpe_49k.json"), cache)
     assert other.count() == 3 and spark.read.parquet(cache).count() == stored + 4
+    # Many misses are found another way than a few; nothing is encoded again.
+    monkeypatch.setattr(token_counts, "_BROADCAST_DIGESTS", 1)
+    assert counts([*more, *[(100 + i, f"other {i} text") for i in range(9)]])[: len(expected)] == counts(more)[: len(expected)]
+    assert spark.read.parquet(cache).groupBy("tokenizer", "content").count().where("count > 1").count() == 0
     empty = token_counts.token_counts(frame(spark, texts).limit(0), PATH, str(tmp_path / "none"))
     assert empty.collect() == []
 
@@ -150,8 +154,78 @@ def test_neighbours_beyond_the_rarest_terms():
     rests = [np.array(x, "<u4") for x in ([*rare, 200], rare, [200, 300], [200, 301], [302])]
     index = packing._Index(rests)
     used = np.array([True, True, False, False, False])
-    assert sorted(index.neighbours(rests[0], used).tolist()) == [2, 3]
-    assert index.neighbours(rests[0], np.array([True, True, True, True, False])).tolist() == []
+    assert sorted(index.neighbours(index.question(rests[0]), used).tolist()) == [2, 3]
+    assert index.neighbours(index.question(rests[0]), np.array([True, True, True, True, False])).tolist() == []
+
+
+def test_index_ranks_as_plain_bm25():
+    rng = random.Random(6)
+    rests = [np.array([rng.choice(range(30)) for _ in range(rng.randrange(1, 12))], "<u4") for _ in range(60)]
+    index, mean = packing._Index(rests), sum(map(len, rests)) / len(rests)
+    frequency = {t: sum(t in r for r in rests) for t in range(30)}
+    for seed in range(0, 60, 7):
+        used = np.array([i == seed or i % 11 == 3 for i in range(60)])
+        scores = {}
+        for i, r in enumerate(rests):
+            for t in set(rests[seed].tolist()) & set(r.tolist()):
+                idf = np.log1p((60 - frequency[t] + 0.5) / (frequency[t] + 0.5))
+                tf = r.tolist().count(t)
+                scores[i] = scores.get(i, 0) + idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(r) / mean))
+        wanted = sorted((-round(s, 9), i) for i, s in scores.items() if not used[i])
+        got = index.neighbours(index.question(rests[seed]), used).tolist()
+        assert [(-round(scores[i], 9), i) for i in got] == wanted[:16]
+
+
+def test_common_routes_are_dealt_over_tasks(spark):
+    """Copies, which share all their ids, and documents of their own, in tasks of ten."""
+    rows = [(i, 5 << 24 | 7, i, b"x") for i in range(95)] + [(100 + i, (6 + i) << 24, 0, b"x") for i in range(40)]
+    rests = spark.createDataFrame(rows, "doc_id long, _route long, start long, ids binary")
+    dealt = packing._dealt(rests, 10).groupBy(F.spark_partition_id().alias("p")).agg(F.collect_list("doc_id").alias("d")).collect()
+    assert sorted(x for r in dealt for x in r.d) == sorted(r[0] for r in rows)
+    assert max(len(r.d) for r in dealt) < 25 and all(len(r.d) <= 10 for r in dealt if min(r.d) >= 100)
+    assert all(max(r.d) < 95 or min(r.d) >= 100 for r in dealt)
+
+
+def plain_permute(x, domain, key):
+    """The same network over whole numbers."""
+    half = max(1, -(-max(1, (domain - 1).bit_length()) // 2))
+    keys = np.random.default_rng(key).integers(0, 1 << 63, 6, np.uint64).tolist()
+    whole, mask = (1 << 64) - 1, (1 << half) - 1
+    while True:
+        left, right = x >> half, x & mask
+        for k in keys:
+            y = (right + k) * 0x9E3779B97F4A7C15 & whole
+            y ^= y >> 29
+            y = y * 0xBF58476D1CE4E5B9 & whole
+            left, right = right, left ^ ((y ^ y >> 32) & mask)
+        x = left << half | right
+        if x < domain:
+            return x
+
+
+def test_order_equals_a_plain_permutation(spark, texts, library, tmp_path):
+    out, docs = str(tmp_path / "shards"), frame(spark, texts)
+    training_order.write_training_order(docs, PATH, out, window=64, shards=5, key=3)
+    tasks = {}
+    for r in docs.select("doc_id", "text", F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("n")).collect():
+        tasks.setdefault(r.task, []).append((r.n, r.doc_id, r.text))
+    wanted = []
+    for task, found in tasks.items():
+        n = 0
+        for _, doc, text in sorted(found, key=lambda x: x[0]):
+            size = len(library.encode(text or "", add_special_tokens=False).ids) + 1
+            for start in range(0, size, 64):
+                wanted.append((plain_permute(task << 33 | n, 3 << 33, 3), doc, start, min(64, size - start)))
+                n += 1
+    read = training_order.read_training_order(spark, out, window=64).orderBy("slot").collect()
+    assert [(r.doc_id, r.start, r.length) for r in read] == [x[1:] for x in sorted(wanted, key=lambda x: x[0])]
+    shards = [r.shard for r in read]
+    assert shards == sorted(shards) and len(set(shards)) == 5
+
+
+@pytest.mark.parametrize("total, shards", [(0, 1), (1e6, 1), (160e6, 10), (65e9, 4062), (1e15, 3_906_250)])
+def test_shards_follow_the_bytes(total, shards):
+    assert training_order.shard_count(total) == shards
 
 
 @pytest.mark.parametrize("domain", [1, 2, 3, 100, 4096, 5000])
@@ -162,7 +236,7 @@ def test_permutation_is_one_to_one(domain):
 
 def test_training_order_round_trip(spark, texts, library, tmp_path):
     out = str(tmp_path / "shards")
-    training_order.write_training_order(frame(spark, texts), PATH, out, window=128, shard_records=40)
+    training_order.write_training_order(frame(spark, texts), PATH, out, window=128, shards=9)
     read = training_order.read_training_order(spark, out, window=128).orderBy("slot").collect()
     assert [r.slot for r in read] == list(range(len(read)))
     assert len({r.shard for r in read}) > 3
