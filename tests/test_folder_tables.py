@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark import cloudpickle
 
 from tools.check_oracles import compare
 from workload import queries
@@ -31,3 +35,14 @@ def test_stream_over_a_folder_matches_sql(spark, folder, name):
     for table in Path(folder).glob("*.parquet"):
         con.execute(f"CREATE VIEW {table.stem} AS SELECT * FROM '{table}/*.parquet'")
     assert compare(queries.QUERIES[name](spark, str(folder)).toPandas(), con.execute(ORACLES[name]).df()) == ""
+
+
+def test_labelers_of_the_queries_travel_by_value(tmp_path):
+    """Executors have neither package installed and another working folder."""
+    script = "import pickle, sys; print(pickle.load(sys.stdin.buffer)('', [('r3', 't')]))"
+    for labeler, told in ((queries._Ghosts(), b"ghost3"), (queries.LABELER, b"r3")):
+        run = subprocess.run(
+            [sys.executable, "-I", "-c", script], input=cloudpickle.dumps(labeler, pickle.HIGHEST_PROTOCOL), cwd=tmp_path, capture_output=True
+        )
+        assert run.returncode == 0, run.stderr
+        assert told in run.stdout
