@@ -67,7 +67,7 @@ def _split(rows: DataFrame, starts: DataFrame, spans: Sequence[int], total: int,
     share = F.floor((F.col("_hi") - F.col("_lo")) / 2)
     # All cuts aim at the same marks, equal parts of the whole, so that errors of earlier cuts are made up and do not
     # add up; a node that has less than its part leaves no side without a share.
-    aim = F.col("_mid") * total / shards - F.col("_before")
+    aim = F.col("_mid").cast("long") * total / shards - F.col("_before")
     nodes = stored(
         rows.where("_hi - _lo > 1")
         .groupBy("_lo", "_hi")
