@@ -8,11 +8,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echolens.llm.common import ROW_KEY, stored
+from echolens.llm.common import ROW_KEY, stored, with_row_key
 from echolens.llm.tokens import chunks, encoder, tokenizer_digest
 
-# So many digests of missing texts (32 bytes each) are sent to all tasks; more are joined by shuffle.
-_BROADCAST_DIGESTS = 100_000
+# Rows to encode are told by bits, a map for each run of so many rows of a file (the size of Spark's bitmaps, 4 kB).
+_RUN = 32_768
+# Maps that take as many bytes as so many digests (32 bytes each) are sent to all tasks; more are joined by shuffle.
+_BROADCAST_DIGESTS = 1 << 19
 
 
 def _count_batches(path: str) -> Callable:
@@ -47,8 +49,8 @@ def token_counts(
     appended before the documents are joined to the cache again, so a lost executor costs no stored count. Of the cache
     only this version's counts are read, and only those of digests in ``docs`` are grouped.
 
-    Copies are reduced in each task before texts are shuffled, so a text in a third of the rows is sent once per
-    task, whichever way the misses are found. No begin, end or padding tokens count; special strings in a text count as
+    Texts are not shuffled: the rows to encode are told to the tasks that read them by a bit per row. Only a table of
+    more than about 130 million rows, or very many small files, joins its texts to these bits by shuffle. No begin, end or padding tokens count; special strings in a text count as
     the library has it. Null ids and rows that repeat are rows of their own. An empty table gives no rows and stores
     nothing. Other columns are not read. The tokenizer file must be at the same path on all executors.
     """
@@ -65,23 +67,27 @@ def token_counts(
         # Two runs that filled the cache at the same time may both have stored a text.
         return counts.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
 
-    texts = docs.select(content, text.alias("_text"))
+    keys = [c for c in ROW_KEY if c in docs.columns]
+    columns = dict.fromkeys([id_col, text_col, *keys])
+    named = with_row_key(docs.select(*[F.col(f"`{c}`") for c in columns]))
+    file, row = ROW_KEY
+    run, place = F.floor(F.col(row) / _RUN).alias("_run"), F.pmod(F.col(row), F.lit(_RUN))
     wanted = docs.select(content).distinct()
-    if (cached := known(wanted)) is None:
-        misses = texts.groupBy("content").agg(F.first("_text").alias("_text"))
-    else:
-        # Found without the texts; a few misses then pick their texts, more of them are what is left of all distinct ones.
-        missing = stored(wanted.join(cached.select("content"), "content", "left_anti"), "missing")
-        few = missing.limit(_BROADCAST_DIGESTS + 1).count() <= _BROADCAST_DIGESTS
-        if few:
-            texts = texts.join(F.broadcast(missing), "content", "left_semi")
-        misses = texts.groupBy("content").agg(F.first("_text").alias("_text"))
-        if not few:
-            misses = misses.join(missing, "content", "left_semi")
+    # One row of each distinct text that has no count is encoded where it is read; only digests and names of rows travel.
+    firsts = named.select(content, *ROW_KEY).groupBy("content").agg(F.min(F.struct(*ROW_KEY)).alias("_first"))
+    if (cached := known(wanted)) is not None:
+        firsts = firsts.join(cached.select("content"), "content", "left_anti")
+    maps = firsts.select("_first.*").select(file, run, place.alias("_place")).repartition(file, "_run").groupBy(file, "_run")
+    maps = stored(maps.agg(F.bitmap_construct_agg("_place").alias("_map")), "missing")
+    sent = _BROADCAST_DIGESTS * 32 * 8 // _RUN
+    few = maps.limit(sent + 1).count() <= sent
+    byte = F.conv(F.hex(F.substring("_map", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    chosen = F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1
+    texts = named.withColumn("_run", run).join(F.broadcast(maps) if few else maps, [file, "_run"])
+    misses = texts.where(chosen).select(content, text.alias("_text"))
     counted = misses.mapInArrow(_count_batches(tokenizer_path), "content binary, n_tokens long")
     stamped = counted.select("content", "n_tokens", F.lit(version).alias("tokenizer"))
     stamped.write.mode("append").partitionBy("tokenizer").parquet(cache_path)
-    keys = [c for c in ROW_KEY if c in docs.columns]
     rows = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),
         F.octet_length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).cast("long").alias("n_bytes"), content, *keys,
