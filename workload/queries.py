@@ -1020,9 +1020,9 @@ def reviews_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def reviews_csv_large(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The review CSV in one file, read back by byte ranges."""
+    """The review CSV, written by all tasks, read back by byte ranges."""
     path = _scratch(spark, "csv-large")
-    writers.write_reviews_csv(T.stored_reviews(spark, sf_dir).coalesce(1), path)
+    writers.write_reviews_csv(T.stored_reviews(spark, sf_dir), path)
     rows = readers.read_large_reviews_csv(spark, path)
     return rows.select(
         "id", c("Country").alias("country"), c("User Name").alias("user_name"), c("Rating").cast("int").alias("rating"),
