@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +31,8 @@ def system_prompt(taxonomy: dict | list) -> str:
 
 # So many ids of answers may be sent to all tasks.
 ANSWER_ROWS = 100_000
+# A task passes its answers on when it has so many, or so many characters of them.
+ANSWERS, ANSWER_CHARS = 1_000, 1 << 20
 
 # Layout of the user prompt, and how it shows a value that is not there.
 ABSENT = "null"
@@ -146,7 +147,8 @@ def call_labeler(
 
     Batches form inside each partition, so the number of partitions bounds the number of calls at a time.
     ``concurrency`` sets it, at the price of a shuffle that is small beside the calls; without it the input keeps
-    its partitions. A call that raises leaves its batch with NULL content and the message in ``error``.
+    its partitions. A call that raises leaves its batch with NULL content and the message in ``error``. A task holds the
+    texts of one batch and answers of about a megabyte, however many reviews it has.
     """
     prompt = system_prompt(taxonomy)
 
@@ -157,23 +159,39 @@ def call_labeler(
         except Exception as problem:  # a failed call only costs its own batch
             return ids, None, str(problem)
 
-    def frame(batches: list[list[tuple[str, str]]]) -> pd.DataFrame:
-        return pd.DataFrame([answer(batch) for batch in batches], columns=["review_ids", "content", "error"])
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kinds = [("review_ids", pa.list_(pa.string())), ("content", pa.string()), ("error", pa.string())]
+        made: list[tuple] = []
         rest: list[tuple[str, str]] = []
-        for pdf in frames:
-            rest += zip(pdf["id"], pdf["text"], strict=True)
-            full = len(rest) - len(rest) % batch_size
-            yield frame([rest[at : at + batch_size] for at in range(0, full, batch_size)])
-            rest = rest[full:]
+        size = 0
+
+        def written() -> pa.RecordBatch:
+            columns = zip(*made, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], schema=pa.schema(kinds))
+
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, batch_size - len(rest))
+                at += part.num_rows
+                rest += zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True)
+                if len(rest) == batch_size:
+                    made.append(answer(rest))
+                    size, rest = size + len(made[-1][1] or ""), []
+                if len(made) >= ANSWERS or size >= ANSWER_CHARS:
+                    yield written()
+                    made, size = [], 0
         if rest:
-            yield frame([rest])
+            made.append(answer(rest))
+        if made:
+            yield written()
 
     texts = reviews.select("id", "text")
     if concurrency is not None:
         texts = texts.repartition(concurrency, "id")  # by key, so that a recomputed partition holds the same rows
-    return texts.mapInPandas(run, RESPONSE_SCHEMA)
+    return texts.mapInArrow(run, RESPONSE_SCHEMA)
 
 
 def label_reviews(
